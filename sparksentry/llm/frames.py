@@ -78,6 +78,7 @@ def map_arrow(df: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[dict]
             made = of_batch(batch)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names)
+        pa.default_memory_pool().release_unused()  # the worker process stays for later tasks
 
     return df.mapInArrow(run, schema)
 

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Expected bounds of the sample: labelled rows, and bytes of their texts.
-SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 48_000_000
+SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 24_000_000
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

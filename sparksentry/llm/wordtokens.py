@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .arrowtext import doc_blocks, ragged_sum_index, text_buffers
 
 #: Chunks in each of the two generations that a worker remembers.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
 TOKEN_BLOCK_BYTES = 4 << 20
 _MARK = "\x01"
 #: A simple word and punctuation: characters whose case, class and composition no Unicode version changes.
