@@ -30,6 +30,8 @@ SAMPLE, BOOKS, WORDS, BEAM = 8_192, 24, 64, 6
 #: share of the rows, so recall doesn't fall as tables grow.
 QUERY_BLOCK, SHORTLIST = 4_096, 100
 CODE_BLOCK = 2_048
+#: Queries whose look-up tables are read together.
+LOOKUP_QUERIES = 256
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -163,34 +165,42 @@ def _search_block(index: DataFrame, shared, k: int, shortlist: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, query_ids, queries = shared.value
         best: list[list[tuple[float, int]]] = [[] for _ in query_ids]
-        tables = [(units(queries).astype(np.float32) @ book.T) for book in books] if len(query_ids) else []
+        blocks = range(0, len(query_ids), LOOKUP_QUERIES)
+        # [words, queries] for each block and book: a code's look-up reads its row, for all queries of the block
+        tables = [[book @ units(queries[lo : lo + LOOKUP_QUERIES]).astype(np.float32).T for book in books] for lo in blocks]
         for batch in batches:
             if not len(query_ids) or not batch.num_rows:
                 continue
             ids = batch.column("vec_id").to_numpy()
             x = matrix(batch.column("_v"))
-            codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in batch.column("_codes")])
-            norm = batch.column("_norm").to_numpy()
-            top = min(shortlist, len(ids))
             if x.shape[1] != queries.shape[1]:
                 continue
-            for i, (own, q) in enumerate(zip(query_ids.tolist(), queries)):
-                score = tables[0][i][codes[:, 0]].copy()
+            codes = np.frombuffer(b"".join(batch.column("_codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            norm = np.maximum(batch.column("_norm").to_numpy(), 1e-12).astype(np.float32)
+            top = min(shortlist, len(ids))
+            for lo, of_book in zip(blocks, tables):
+                scores = of_book[0][codes[:, 0]]
                 for j in range(1, len(books)):
-                    score += tables[j][i][codes[:, j]]
-                score /= np.maximum(norm, 1e-12)
-                near = np.argpartition(-score, top - 1)[:top] if top < len(ids) else np.arange(len(ids))
-                if top < len(ids):
-                    # codes that tie with the last one all stay: copies of a vector must not be split
-                    edge = score[near].min()
-                    near = np.flatnonzero(score >= edge)
-                if len(near) > 4 * top:
-                    near = near[np.lexsort((ids[near], -score[near]))][: 4 * top + k]
-                near = near[ids[near] != own]
-                exact = exact_cosine(x[near], q)
-                order = np.lexsort((ids[near], -exact))[:k]
-                merged = {(-s, v) for s, v in zip(exact[order].tolist(), ids[near][order].tolist())} | {(-s, v) for s, v in best[i]}
-                best[i] = [(-s, v) for s, v in sorted(merged)[:k]]
+                    scores += of_book[j][codes[:, j]]
+                scores /= norm[:, None]
+                for i, score in enumerate(np.ascontiguousarray(scores.T), lo):
+                    near = np.arange(len(ids))
+                    if top < len(ids):
+                        # codes that tie with the last one all stay: copies of a vector must not be split
+                        near = np.flatnonzero(score >= np.partition(score, len(ids) - top)[len(ids) - top])
+                    if len(near) > 4 * top:
+                        near = near[np.lexsort((ids[near], -score[near]))][: 4 * top + k]
+                    near = near[ids[near] != query_ids[i]]
+                    exact = exact_cosine(x[near], queries[i])
+                    if len(best[i]) == k:
+                        # only what reaches the k-th best so far
+                        reach = exact >= best[i][-1][0]
+                        near, exact = near[reach], exact[reach]
+                        if not len(near):
+                            continue
+                    order = np.lexsort((ids[near], -exact))[:k]
+                    merged = {(-s, v) for s, v in zip(exact[order].tolist(), ids[near][order].tolist())} | {(-s, v) for s, v in best[i]}
+                    best[i] = [(-s, v) for s, v in sorted(merged)[:k]]
         if len(query_ids):
             hits = pa.array([[{"vec_id": v, "score": s} for s, v in b] for b in best], kind)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids), hits], ["query_id", "_hits"])
