@@ -151,7 +151,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the smallest node that is connected with it.
 
     Alternating large-star and small-star steps keep as many edges as there were at most;
-    lineage is cut in every round, and rounds end when the edges no longer change.
+    lineage is cut in every round, and rounds end when the edges no longer change.  The
+    smallest neighbours are materialised before they are joined, so both sides of the join
+    are shuffled for it and AQE can split a hub that holds many edges.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -161,9 +163,10 @@ def components(edges: DataFrame) -> DataFrame:
     before, now = None, state(e)
     while now != before:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = cut(small.filter("u <> v").distinct())
         before, now = now, state(e)

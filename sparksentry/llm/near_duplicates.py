@@ -108,7 +108,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def candidate_clusters(rows: DataFrame) -> DataFrame:
     """(_half, _cluster) of the nodes that share a band with another node."""
     bands = rows.filter("_node is not null").select("_half", F.explode("_bands").alias("_band")).distinct()
-    buckets = bands.groupBy("_band").agg(F.min("_half").alias("_low"), F.max("_half").alias("_high")).filter("_low < _high")
+    # materialised, so that AQE can split a bucket that holds many texts
+    buckets = cut(bands.groupBy("_band").agg(F.min("_half").alias("_low"), F.max("_half").alias("_high")).filter("_low < _high"))
     joined = bands.join(buckets.select("_band", "_low"), "_band").filter("_half <> _low")
     roots = components(joined.select(F.col("_half").alias("u"), F.col("_low").alias("v")).distinct())
     return roots.select(F.col("node").alias("_half"), F.col("root").alias("_cluster"))
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_copies"), F.min("doc_id").alias("_first"))
     texts = texts.join(roots.distinct(), F.col("_node") == F.col("node"), "left").join(links, "_node", "left")
     texts = cut(texts.select("_node", F.coalesce("root", "_node").alias("_root"), "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links")))
-    classes = texts.groupBy("_root").agg(F.min("_first").alias("class_id"))
+    classes = cut(texts.groupBy("_root").agg(F.min("_first").alias("class_id")))
     named = texts.join(classes, "_root").select("_node", "class_id", "n_links")
     out = rows.select("doc_id", "_key", "_node").join(named, "_node", "left")
     alone = F.col("_node").isNull()
