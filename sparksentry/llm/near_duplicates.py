@@ -107,7 +107,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def candidate_clusters(rows: DataFrame) -> DataFrame:
     """(_half, _cluster) of the nodes that share a band with another node."""
-    bands = rows.filter("_node is not null").select("_half", F.explode("_bands").alias("_band")).distinct()
+    # one row for each word sequence before the bands are spread out
+    once = cut(rows.filter("_node is not null").select("_half", "_bands").dropDuplicates(["_half"]))
+    bands = once.select("_half", F.explode("_bands").alias("_band"))
     # materialised, so that AQE can split a bucket that holds many texts
     buckets = cut(bands.groupBy("_band").agg(F.min("_half").alias("_low"), F.max("_half").alias("_high")).filter("_low < _high"))
     joined = bands.join(buckets.select("_band", "_low"), "_band").filter("_half <> _low")
