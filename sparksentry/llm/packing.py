@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import cut, map_arrow, prepare, ranked
-from .wordtokens import encoded_blocks, encoder_of, tokenizer_path
+from .wordtokens import MEMO_CHUNKS, encoded_blocks, encoder_of, tokenizer_path
 
 
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,12 +37,12 @@ def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return out, at + np.arange(n + 1)
 
 
-def token_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, memo: int = MEMO_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents cut only where they exceed the capacity."""
 
     def of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         ids_of = batch.column("doc_id")
-        for first, last, ids, at in encoded_blocks(encoder_of(vocabulary), batch.column("text")):
+        for first, last, ids, at in encoded_blocks(encoder_of(vocabulary, memo), batch.column("text")):
             ids, at = with_end(ids, at, end_id)
             sizes = np.diff(at)
             pieces = -(-sizes // capacity)
@@ -98,11 +98,11 @@ def plan_steps(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(steps), np.int64).reshape(-1, 5)
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """Packs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
+def best_fit_pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, memo: int = MEMO_CHUNKS) -> DataFrame:
+    """Packs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece; memo: chunks that a worker remembers."""
     spark = docs.sparkSession
     prepare(spark)
-    pieces = cut(token_pieces(docs, capacity, vocabulary or tokenizer_path("word_bpe_49k.json"), end_id))
+    pieces = cut(token_pieces(docs, capacity, vocabulary or tokenizer_path("word_bpe_49k.json"), end_id, memo))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     steps = spark.sparkContext.broadcast(plan_steps(counts, capacity))
 
