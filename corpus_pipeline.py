@@ -20,6 +20,9 @@ from sparksentry.llm import decontaminate, near_duplicates, packing, quality, to
 from sparksentry.llm.frames import cut, if_small, shared_folder, table
 from sparksentry.llm.labelled import fold
 
+#: Chunks that a worker remembers while it packs: fewer than by default, since it also holds what earlier stages left.
+PACKING_MEMO = 200_000
+
 
 def _rejected(docs: DataFrame, scored: DataFrame, reject) -> DataFrame:
     """docs without the rows whose `_row` is rejected; scored: (`_key`, ...) for every row."""
@@ -54,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(docs, 2048, packing.tokenizer_path("word_bpe_49k.json"), end_id=0)
+    return packing.best_fit_pack(docs, 2048, packing.tokenizer_path("word_bpe_49k.json"), end_id=0, memo=PACKING_MEMO)
 
 
 STAGES = [
