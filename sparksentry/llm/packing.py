@@ -23,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import cut, map_arrow, prepare, ranked
-from .wordtokens import MEMO_CHUNKS, encoded_blocks, encoder_of, tokenizer_path
+from .wordtokens import encoded_blocks, encoder_of, tokenizer_path
+
+#: Chunks in each generation that a worker remembers; fewer than the encoder's own, as packing comes close to a worker's memory.
+MEMO_CHUNKS = 300_000
 
 
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
