@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksentry.llm import decontaminate, near_duplicates, packing, quality, toxicity
@@ -24,17 +24,22 @@ from sparksentry.llm.labelled import fold
 PACKING_MEMO = 200_000
 
 
+def _text_key() -> Column:
+    return near_duplicates.text_key(F.coalesce("text", F.lit("")))
+
+
 def _rejected(docs: DataFrame, scored: DataFrame, reject) -> DataFrame:
-    """docs without the rows whose `_row` is rejected; scored: (`_key`, ...) for every row."""
-    gone = cut(scored.filter(reject).select("doc_id", "_key").distinct())
-    keyed = docs.withColumn("_key", near_duplicates.text_key(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_key"] == gone["_key"])
-    return keyed.join(if_small(gone), same, "left_anti").select(*docs.columns)
+    """docs without the rows whose doc_id and text are rejected; scored: (doc_id, `_key`, ...) for every row."""
+    gone = cut(scored.filter(reject).select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct())
+    # the row in one column, so that no name of its columns can clash
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), _text_key().alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key"))
+    return keyed.join(if_small(gone), same, "left_anti").select("_row.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     lang = ["lang"] if "lang" in docs.columns else []
-    return docs.select("doc_id", "text", *lang, near_duplicates.text_key(F.coalesce("text", F.lit(""))).alias("_key"))
+    return docs.select("doc_id", "text", *lang, _text_key().alias("_key"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifiers and the packing can't be said in SQL; tests/llm compares the stages with brute force.
+#: The classifiers and the packing can't be said in SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
