@@ -9,7 +9,8 @@ again by exact cosine in double precision.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do
 vectors of another length than most.  Equal vectors tie, smaller vec_id first.  A row isn't
-a candidate for queries of its own vec_id.  Repeated rows count once.
+a candidate for queries of its own vec_id.  Repeated rows count once; an id with several
+vectors asks with the smallest of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .frames import map_arrow, partitions, prepare, stored
 
 #: Vectors in the fitting sample, codebooks, codewords in each, and beam width.
 SAMPLE, BOOKS, WORDS, BEAM = 8_192, 24, 64, 6
+#: Values of the sample's coin: far more than vectors.
+COIN = 1 << 40
 #: Queries broadcast at once, and codes of each Arrow batch (1,000 rows) that are ranked again for a query: a
 #: share of the rows, so recall doesn't fall as tables grow.
 QUERY_BLOCK, SHORTLIST = 4_096, 100
@@ -34,14 +37,20 @@ CODE_BLOCK = 2_048
 LOOKUP_QUERIES = 256
 
 
-def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and _v (doubles) of the rows that take part, once each."""
+def usable(vectors: DataFrame, vector: str = "embedding", length: int | None = None) -> DataFrame:
+    """vec_id and _v (doubles) of the rows that take part; length: theirs, by default that of most."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     df = vectors.select(F.col("vec_id"), v.alias("_v")).filter(F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0))
     df = df.filter(~bad & F.exists("_v", lambda x: x != 0))
-    most = df.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.filter(F.size("_v") == (most["d"] if most else 0))
+    if length is None:
+        most = df.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        length = most["d"] if most else 0
+    return df.filter(F.size("_v") == length)
+
+
+def one_each(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("vec_id").agg(F.min("_v").alias("_v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -114,8 +123,8 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np
     prepare(spark)
     base = usable(vectors)
     n = base.count()
-    coin = F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(1 << 20))
-    drawn = base.filter(coin < int((1 << 20) * min(1.0, sample / max(n, 1))) + (n <= sample)).toArrow()
+    coin = F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(COIN))
+    drawn = one_each(base.filter(coin < int(COIN * min(1.0, sample / max(n, 1))))).toArrow()
     order = drawn.sort_by([("vec_id", "ascending")]) if len(drawn) else drawn
     x = matrix(order.column("_v"))
     books = fit_books(units(x)) if len(x) else np.zeros((BOOKS, WORDS, 1), np.float32)
@@ -144,13 +153,18 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 5,
     searched in every partition of the index, which returns its k best for each query.
     """
     spark = index.sparkSession
-    q = usable(queries)
+    q = stored(one_each(usable(queries, length=books.shape[2])))
     blocks = q.count() // QUERY_BLOCK + 1
     parts = []
     for b in range(blocks):
-        own = q.filter(F.pmod(F.xxhash64("vec_id", F.lit(29)), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).toArrow()
+        own = q.filter(F.pmod(F.xxhash64("vec_id", F.lit(29)), F.lit(blocks)) == b).toArrow()
         own = own.sort_by([("vec_id", "ascending")]) if len(own) else own
-        parts.append(_search_block(index, spark.sparkContext.broadcast((books, own.column("vec_id").to_numpy(), matrix(own.column("_v")))), k, shortlist))
+        shared = spark.sparkContext.broadcast((books, own.column("vec_id").to_numpy(), matrix(own.column("_v"))))
+        part = _search_block(index, shared, k, shortlist)
+        if blocks > 1:  # written block by block, so that one block's queries are held at a time
+            part = stored(part)
+            shared.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

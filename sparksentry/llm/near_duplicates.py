@@ -226,10 +226,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = near_duplicates(docs, threshold)
     gone = cut(found.filter("doc_id <> class_id").select("doc_id", "_key"))
     twice = cut(found.filter("doc_id = class_id and n_links > 0").groupBy("doc_id", "_key").count().filter("count > 1").select("doc_id", "_key"))
-    names = docs.columns
-    keyed = docs.withColumn("_key", text_key("text"))
+    # the row in one column, so that no name of its columns can clash
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", text_key("text").alias("_key"))
     kept = keyed.join(if_small(gone), ["doc_id", "_key"], "left_anti")
     if not twice.head(1):
-        return kept.select(*names)
+        return kept.select("_row.*")
     once = kept.join(twice, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return kept.join(twice, ["doc_id", "_key"], "left_anti").unionByName(once).select(*names)
+    return kept.join(twice, ["doc_id", "_key"], "left_anti").unionByName(once).select("_row.*")

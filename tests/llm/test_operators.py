@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparksentry.llm import ann, decontaminate, licenses, near_duplicates, packing, quality, queries, sharding, token_counts, token_files, toxicity
+from sparksentry.llm import ann, decontaminate, labelled, licenses, near_duplicates, packing, quality, queries, sharding, token_counts, token_files, toxicity
+from sparksentry.llm.arrowtext import Words, text_buffers
 from sparksentry.llm.wordtokens import ChunkEncoder, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -166,7 +167,8 @@ def jaccard_brute(texts):
     links = [set() for _ in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            shared = len(sets[i] & sets[j])
+            if shared and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
                 links[i].add(j)
                 links[j].add(i)
     return links
@@ -246,7 +248,7 @@ def test_licenses(spark, odd, none):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(none).count() == 0
 
 
-def test_neighbours_against_brute_force(spark):
+def test_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)) + np.repeat(rng.normal(size=(15, 16)) * 2, 100, axis=0)
     x[700:760] = x[700]
@@ -265,6 +267,9 @@ def test_neighbours_against_brute_force(spark):
         assert all(abs(cosine[v] - s) < 1e-9 for v, s in got[q])
     assert sorted(got) == list(range(0, 1500, 50)) and hits >= 0.9 * 150
     assert [v for v, _ in got[700]] == [701, 702, 703, 704, 705]
+    whole = set(ann.search(index, books, vectors.filter("vec_id % 50 = 0")).collect())
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    assert set(ann.search(index, books, vectors.filter("vec_id % 50 = 0")).collect()) == whole
     empty = vectors.limit(0)
     index, books = ann.build_index(empty)
     assert ann.search(index, books, empty).count() == 0
@@ -291,6 +296,108 @@ def test_classifiers_on_odd_tables(spark, odd, none):
         assert toxicity.score_toxicity(none, net).count() == quality.score_quality(none, votes).count() == 0
 
 
+def test_a_sample_holds_an_id_once_and_isn_t_empty_for_billions_of_labels(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("case when id < 2000 then 1 else id end as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = labelled.labelled_sample(docs, labels, "quality", F.lit(True))
+    assert len(got) == 1001 and got.column("text").to_pylist().count("text 0") == 1
+    assert 20 < len(labelled.labelled_sample(docs, labels, "quality", F.lit(True), rows=300)) < 300
+    assert 20 < len(labelled.labelled_sample(docs, labels, "quality", F.lit(True), size=1000)) < 300
+
+
+def words_of(text):
+    return Words(*text_buffers(pa.array([text or ""])))
+
+
+def plain_score(net, text):
+    """Every window of one text, one after the other."""
+    words = words_of(text)
+    e = net.embed[net.slots[toxicity.buckets(words)]].sum(axis=1).astype(np.float64)
+    pools = []
+    for w, f, bias in zip(toxicity.WIDTHS, net.filters, net.bias.reshape(len(toxicity.WIDTHS), -1)):
+        best = bias.astype(np.float64)
+        for i in range(len(e)):
+            window = np.zeros((w, toxicity.DIM))
+            window[: len(e[i : i + w])] = e[i : i + w]
+            best = np.maximum(best, window.ravel() @ f + bias)
+        pools.append(np.maximum(best, 0))
+    return 1 / (1 + np.exp(-(np.concatenate(pools) @ net.out + net.base)))
+
+
+def plain_vote(votes, text):
+    """Vote of the nearest by a full sort, and whether the last voter is told apart."""
+    counts = quality.term_counts(words_of(text))
+    if not counts.any():
+        return votes.share, True
+    cosine = (votes.vectors.astype(np.float64) @ votes.latent(counts)[0].astype(np.float64)).tolist()
+    order = sorted(range(len(cosine)), key=lambda i: -cosine[i])
+    k = min(quality.NEIGHBOURS, len(order))
+    weight = [max(cosine[i], 0) ** 4 for i in order[:k]]
+    clear = k == len(order) or cosine[order[k - 1]] - cosine[order[k]] > 1e-5
+    return sum(w * votes.labels[i] for w, i in zip(weight, order)) / sum(weight) if sum(weight) else votes.share, clear
+
+
+def test_scores_against_plain_loops(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    net, votes = toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels)
+    texts = [r["text"] for r in docs.select("text").orderBy("doc_id").collect()] + ODD
+    found = toxicity.score_texts(net, pa.array(texts, pa.string()))
+    assert np.abs(found - [plain_score(net, t) for t in texts]).max() < 1e-5 and found.max() > 0.5 > found.min()
+    wanted = [plain_vote(votes, t) for t in texts]
+    clear = np.array([c for _, c in wanted])
+    assert clear.mean() > 0.5 and np.abs(quality.score_votes(votes, pa.array(texts, pa.string())) - [v for v, _ in wanted])[clear].max() < 1e-3
+
+
+def test_pipeline_against_brute_force(spark, library, tmp_path):
+    """run() on whole small tables, against plain loops for every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    small = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = small.orderBy("doc_id").first()["text"]
+    docs = small.select("doc_id", "text", "lang").withColumn("_key", F.concat(F.lit("own "), "doc_id")).withColumn("_row", F.lit(5))
+    odd = [(100_000 + i, t, None, "own", None) for i, t in enumerate([*ODD, clean, clean + " and more"])]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, _key string, _row int"))
+    for name, df in (("documents", docs), ("labels", spark.read.parquet(f"{sf}/labels.parquet")), ("benchmark", spark.read.parquet(f"{sf}/benchmark.parquet"))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, labels, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    net = toxicity.fit_toxicity(docs, labels, labelled.fold("_id", 5) != 0)
+    kept = {d: t for d, t in texts.items() if plain_score(net, t) < 0.5}
+    left = docs.filter(F.col("doc_id").isin(list(kept)))
+    votes = quality.fit_quality(left, labels, labelled.fold("_id", 4) != 2)
+    good = {d: t for d, t in kept.items() if plain_vote(votes, t)[0] >= 0.7}
+    ids = sorted(good)
+    links = jaccard_brute([good[d] for d in ids])
+    root = list(range(len(ids)))
+    for _ in ids:
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(ids))]
+    single = {ids[i]: good[ids[i]] for i in range(len(ids)) if root[i] == i}
+    judged = contamination_brute(list(single.items()), [tuple(r) for r in items.select("item_id", "text").collect()])
+    last = {d: t for d, t in single.items() if not judged[d][3]}
+    assert len(texts) > len(kept) > len(good) > len(single) > len(last) > 0
+
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == set(last)
+    wanted = []
+    for d, t in last.items():
+        own = encoded(library, t, 0)
+        wanted += [(d, k, 2048 * k, len(own[2048 * k : 2048 * (k + 1)]), crc(own[2048 * k : 2048 * (k + 1)])) for k in range(-(-len(own) // 2048))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(wanted)
+
+
+def test_stages_carry_clashing_columns_along(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", F.concat(F.lit("own "), "doc_id").alias("_key"), F.col("doc_id").alias("_row"), F.lit(1).alias("_gone"), F.lit(2).alias("a.b"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert out.schema.names == docs.schema.names and rows
+        assert all(r["_key"] == f"own {r['doc_id']}" and r["_row"] == r["doc_id"] and r["a.b"] == 2 for r in rows)
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, odd):
     import corpus_pipeline
 
