@@ -3,9 +3,11 @@
 A unit vector is coded as a sum of one full-dimensional codeword from each of several
 codebooks.  Codebooks are fitted on a bounded sample: k-means on residuals first, then
 alternately beam-search codes and least-squares codewords.  Every vector is coded by beam
-search and keeps the norm of its code sum.  A query scores a code by table look-ups (its dot
-products with all codewords) over that norm, and each batch's best codes are ranked
-again by exact cosine in double precision.
+search and keeps the norm of its code sum and its own angle to it.  A query scores a code by
+table look-ups (its dot products with all codewords) over that norm, and each batch's best
+codes are ranked again by exact cosine in double precision.  So is every other row that its
+code can't rule out: a row is at least as far from the query as its code is, less the row's
+own angle to the code, and is left out only if that is farther than the k-th best.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do
 vectors of another length than most.  Equal vectors tie, smaller vec_id first.  A row isn't
@@ -29,8 +31,7 @@ from .frames import map_arrow, partitions, prepare, stored
 SAMPLE, BOOKS, WORDS, BEAM = 8_192, 24, 64, 6
 #: Values of the sample's coin: far more than vectors.
 COIN = 1 << 40
-#: Queries broadcast at once, and codes of each Arrow batch (1,000 rows) that are ranked again for a query: a
-#: share of the rows, so recall doesn't fall as tables grow.
+#: Queries broadcast at once, and codes of each Arrow batch (1,000 rows) that are ranked again first for a query.
 QUERY_BLOCK, SHORTLIST = 4_096, 100
 CODE_BLOCK = 2_048
 #: Queries whose look-up tables are read together.
@@ -90,6 +91,22 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
+def code_angles(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit rows: the norm of the code sum, its cosine with the row, and how far look-ups in single precision may err."""
+    words = books.astype(np.float64)
+    total = decode(codes, words)
+    norm = np.maximum(np.linalg.norm(total, axis=1), 1e-12)
+    lengths = np.linalg.norm(words, axis=2)
+    error = 2.0**-23 * (sum(books.shape) + 4) * sum(lengths[j][codes[:, j]] for j in range(len(books))) / norm
+    return norm, (x * total).sum(axis=1) / norm, error
+
+
+def highest_cosine(score: np.ndarray, own: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """The most that the cosine with a query can be, of rows whose code's cosine with it is score and with the row is own."""
+    s, a = np.clip(score + error, -1, 1), np.clip(own - 1e-9, -1, 1)
+    return np.where(s >= a, 1.0, a * s + np.sqrt((1 - a * a) * (1 - s * s))) + 1e-9
+
+
 def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, refits: int = 1, seed: int = 5) -> np.ndarray:
     """Codebooks for unit vectors."""
     rng = np.random.default_rng(seed)
@@ -118,7 +135,7 @@ def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
 
 
 def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, _v, codes, norm of the code sum) of every vector, and the codebooks."""
+    """(vec_id, _v, codes, and what code_angles gives) of every vector, and the codebooks."""
     spark = vectors.sparkSession
     prepare(spark)
     base = usable(vectors)
@@ -133,12 +150,12 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np
     def of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         for lo in range(0, batch.num_rows, CODE_BLOCK):
             part = batch.slice(lo, CODE_BLOCK)
-            x = units(matrix(part.column("_v"))).astype(np.float32)
-            codes = encode(x, shared.value)
-            norm = np.linalg.norm(decode(codes, shared.value), axis=1).astype(np.float64)
-            yield {"vec_id": part.column("vec_id"), "_v": part.column("_v"), "_codes": pa.array([c.tobytes() for c in codes], pa.binary()), "_norm": norm}
+            x = units(matrix(part.column("_v")))
+            codes = encode(x.astype(np.float32), shared.value)
+            norm, own, error = code_angles(x, codes, shared.value)
+            yield {"vec_id": part.column("vec_id"), "_v": part.column("_v"), "_codes": pa.array([c.tobytes() for c in codes], pa.binary()), "_norm": norm, "_own": own, "_error": error}
 
-    return stored(map_arrow(base, of_batch, "vec_id long, _v array<double>, _codes binary, _norm double")), books
+    return stored(map_arrow(base, of_batch, "vec_id long, _v array<double>, _codes binary, _norm double, _own double, _error double")), books
 
 
 def exact_cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -173,6 +190,21 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 5,
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _merged(best: list[tuple[float, int]], ids: np.ndarray, x: np.ndarray, rows: np.ndarray, query: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """The k best (score, vec_id) of those so far and the marked rows by exact cosine."""
+    near = np.flatnonzero(rows)
+    exact = exact_cosine(x[near], query)
+    if len(best) == k:
+        # only what reaches the k-th best so far
+        reach = exact >= best[-1][0]
+        near, exact = near[reach], exact[reach]
+    if not len(near):
+        return best
+    order = np.lexsort((ids[near], -exact))[:k]
+    merged = {(-s, v) for s, v in zip(exact[order].tolist(), ids[near][order].tolist())} | {(-s, v) for s, v in best}
+    return [(-s, v) for s, v in sorted(merged)[:k]]
+
+
 def _search_block(index: DataFrame, shared, k: int, shortlist: int) -> DataFrame:
     kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
 
@@ -190,7 +222,8 @@ def _search_block(index: DataFrame, shared, k: int, shortlist: int) -> DataFrame
             if x.shape[1] != queries.shape[1]:
                 continue
             codes = np.frombuffer(b"".join(batch.column("_codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            norm = np.maximum(batch.column("_norm").to_numpy(), 1e-12).astype(np.float32)
+            norm = batch.column("_norm").to_numpy().astype(np.float32)
+            own, error = batch.column("_own").to_numpy(), batch.column("_error").to_numpy()
             top = min(shortlist, len(ids))
             for lo, of_book in zip(blocks, tables):
                 scores = of_book[0][codes[:, 0]]
@@ -198,25 +231,16 @@ def _search_block(index: DataFrame, shared, k: int, shortlist: int) -> DataFrame
                     scores += of_book[j][codes[:, j]]
                 scores /= norm[:, None]
                 for i, score in enumerate(np.ascontiguousarray(scores.T), lo):
-                    near = np.arange(len(ids))
-                    if top < len(ids):
-                        # codes that tie with the last one all stay: copies of a vector must not be split
-                        near = np.flatnonzero(score >= np.partition(score, len(ids) - top)[len(ids) - top])
-                    if len(near) > 4 * top:
-                        near = near[np.lexsort((ids[near], -score[near]))][: 4 * top + k]
-                    near = near[ids[near] != query_ids[i]]
-                    exact = exact_cosine(x[near], queries[i])
+                    tried = np.zeros(len(ids), bool)
+                    tried[np.argpartition(score, len(ids) - top)[len(ids) - top :]] = True
+                    best[i] = _merged(best[i], ids, x, tried & (ids != query_ids[i]), queries[i], k)
+                    rest = ~tried & (ids != query_ids[i])
                     if len(best[i]) == k:
-                        # only what reaches the k-th best so far
-                        reach = exact >= best[i][-1][0]
-                        near, exact = near[reach], exact[reach]
-                        if not len(near):
-                            continue
-                    order = np.lexsort((ids[near], -exact))[:k]
-                    merged = {(-s, v) for s, v in zip(exact[order].tolist(), ids[near][order].tolist())} | {(-s, v) for s, v in best[i]}
-                    best[i] = [(-s, v) for s, v in sorted(merged)[:k]]
+                        # codes that can't be told apart from the k-th best all stay
+                        rest &= highest_cosine(score, own, error) >= best[i][-1][0]
+                    best[i] = _merged(best[i], ids, x, rest, queries[i], k)
         if len(query_ids):
             hits = pa.array([[{"vec_id": v, "score": s} for s, v in b] for b in best], kind)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids), hits], ["query_id", "_hits"])
 
-    return index.select("vec_id", "_v", "_codes", "_norm").mapInArrow(run, "query_id long, _hits array<struct<vec_id: long, score: double>>")
+    return index.select("vec_id", "_v", "_codes", "_norm", "_own", "_error").mapInArrow(run, "query_id long, _hits array<struct<vec_id: long, score: double>>")

@@ -275,6 +275,29 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert ann.search(index, books, empty).count() == 0
 
 
+def hot_vectors():
+    """A third of the rows lies together in one tight cluster."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    x[1000:2000] = x[1000] + rng.normal(size=(1000, 32)) * 1e-4
+    return x
+
+
+def neighbours_brute(x, q):
+    cosine = ann.exact_cosine(x, x[q])
+    return [int(i) for i in np.lexsort((np.arange(len(x)), -cosine)) if i != q][:5]
+
+
+def test_neighbours_in_a_tight_cluster(spark):
+    x = hot_vectors()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    index, books = ann.build_index(vectors)
+    got = defaultdict(list)
+    for r in ann.search(index, books, vectors.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: neighbours_brute(x, q) for q in range(0, 3000, 50)} == got
+
+
 def held_out(spark, sf, name, threshold, label):
     rows = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     return [(r["score"], int(r["score"] >= threshold) == r["predicted"], r["predicted"] == r[label]) for r in rows]
