@@ -200,7 +200,10 @@ def _merged(best: list[tuple[float, int]], ids: np.ndarray, x: np.ndarray, rows:
         near, exact = near[reach], exact[reach]
     if not len(near):
         return best
-    order = np.lexsort((ids[near], -exact))[:k]
+    order = np.lexsort((ids[near], -exact))
+    # repeated rows count once, so they go before the cut
+    again = (np.diff(exact[order]) == 0) & (np.diff(ids[near][order]) == 0)
+    order = order[np.concatenate([[True], ~again])][:k]
     merged = {(-s, v) for s, v in zip(exact[order].tolist(), ids[near][order].tolist())} | {(-s, v) for s, v in best}
     return [(-s, v) for s, v in sorted(merged)[:k]]
 

@@ -298,6 +298,16 @@ def test_neighbours_in_a_tight_cluster(spark):
     assert {q: neighbours_brute(x, q) for q in range(0, 3000, 50)} == got
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = hot_vectors()[:150]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(6)], "vec_id long, embedding array<double>").coalesce(1)
+    index, books = ann.build_index(vectors)
+    got = defaultdict(list)
+    for r in ann.search(index, books, vectors.filter("vec_id % 10 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: neighbours_brute(x, q) for q in range(0, 150, 10)} == got
+
+
 def held_out(spark, sf, name, threshold, label):
     rows = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     return [(r["score"], int(r["score"] >= threshold) == r["predicted"], r["predicted"] == r[label]) for r in rows]
