@@ -11,13 +11,15 @@ or a gap -1.  Reported are the template's share of matched words and the span in
 in bytes of the text.
 
 Null, empty and wordless texts have no findings.  Repeated rows have repeated findings.
-Overlapping places of a template are reported once, the better one.
+Overlapping places of a template are reported once, the better one; places that follow one
+another without a word between are all reported.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,21 +131,54 @@ def find_licenses(index: TemplateIndex, words: Words, least: float = LEAST_COVER
         places[doc, t].add(p - int(words.at[doc]) - at)
     for (doc, t), diagonals in sorted(places.items()):
         text = words.hashes[words.at[doc] : words.at[doc + 1]]
-        found, last = [], None
-        for d in sorted(diagonals):
-            if last is not None and d - last <= BAND // 2:
-                continue
-            last = d
-            lo, hi = max(0, d - BAND), min(len(text), d + len(index.words[t]) + BAND)
-            _, matches, first, end = align(index.words[t], text[lo:hi], d - lo)
-            coverage = matches / len(index.words[t])
-            if coverage >= least:
-                found.append((coverage, first + lo, end + lo))
-        taken: list[tuple[int, int]] = []
+        for coverage, first, end in places_of(index.words[t], text, diagonals, least):
+            yield doc, t, coverage, first, end
+
+
+def places_of(template: np.ndarray, text: np.ndarray, diagonals: Iterable[int], least: float) -> list[tuple[float, int, int]]:
+    """(coverage, first word, end word) near the diagonals, without overlaps, better ones first.
+
+    A window can hold several places, of which an alignment gives one; so windows are aligned
+    again in the words that no place has taken, until that gives nothing new.
+    """
+    taken: list[tuple[int, int]] = []
+    out: list[tuple[float, int, int]] = []
+    pending = sorted(diagonals)
+    whole = [d for d in pending if 0 <= d <= len(text) - len(template) and (text[d : d + len(template)] == template).all()]
+    found = {(1.0, d, d + len(template)) for d in whole}
+    while True:
         for coverage, first, end in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if all(end <= a or first >= b for a, b in taken):
-                taken.append((first, end))
-                yield doc, t, coverage, first, end
+            at = bisect_left(taken, (first, end))
+            if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (first, end))
+                out.append((coverage, first, end))
+        found, left = set(), []
+        for d in pending:
+            lo, hi = max(0, d - BAND), min(len(text), d + len(template) + BAND)
+            fits = []
+            for a, b in free(taken, lo, hi):
+                if b - a >= least * len(template):  # fewer words can't match enough
+                    _, matches, first, end = align(template, text[a:b], d - a)
+                    if matches / len(template) >= least:
+                        fits.append((matches / len(template), first + a, end + a))
+            if fits:
+                found.update(fits)
+                left.append(d)
+        pending = left
+        if not found:
+            return out
+
+
+def free(taken: list[tuple[int, int]], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The parts of lo to hi outside the spans, which are in order and don't overlap."""
+    for a, b in taken[max(0, bisect_left(taken, (lo,)) - 1) :]:
+        if a >= hi:
+            break
+        if lo < a:
+            yield lo, a
+        lo = max(lo, b)
+    if lo < hi:
+        yield lo, hi
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:

@@ -275,6 +275,25 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert ann.search(index, books, empty).count() == 0
 
 
+def test_licenses_back_to_back():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    random.seed(3)
+    short = ["MIT", "Apache-2.0", "CC-BY-NC-4.0", "All-rights-reserved", "GPL-3.0"]
+    cases = [["All-rights-reserved"] * 1000, ["MIT"] * 2, ["MIT"] * 10, ["MIT-permission"] * 5]
+    cases += [[random.choice(short + [None]) for _ in range(60)] for _ in range(20)]
+    for case in cases:
+        text = " ".join(licenses.TEMPLATES[x] if x else "other" for x in case)
+        # brute force: every place where the words of a template stand
+        w, wanted = words(text), set()
+        for t, x in enumerate(index.names):
+            own = words(licenses.TEMPLATES[x])
+            if x in case:
+                wanted |= {(t, i, i + len(own)) for i in range(len(w) - len(own) + 1) if w[i : i + len(own)] == own}
+        got = [r[1:] for r in licenses.find_licenses(index, licenses.words_of(text)) if index.names[r[1]] in case]
+        assert len(wanted) == sum(x is not None for x in case)
+        assert {(t, a, b) for t, c, a, b in got if c == 1} == wanted and len(got) == len(wanted)
+
+
 def hot_vectors():
     """A third of the rows lies together in one tight cluster."""
     rng = np.random.default_rng(9)
