@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import percent_decode
+from . import ratelimit
 
 POLICIES = ("any", "majority", "all")
 DETECTORS: dict[str, Callable[[Column], Column]] = {
@@ -72,22 +73,53 @@ def cascade(requests: DataFrame, headers: Column, trusted: list[str], denied: li
     return df.withColumns(columns).drop("_recon", "_integrity", "_ws", "_body", "_head")
 
 
+def with_bans(decided: DataFrame, limits: ratelimit.Limits) -> DataFrame:
+    """Cascade rows after the limiter, with ban_triggered and seconds_banned.
+
+    All rows but the static denials look at their client's ban, in the order of (ts, id); those under
+    it lose their own decision and count no offence.  A ban that bad framing headers set off holds
+    like any other, but isn't marked in ban_triggered: the original doesn't count it.
+    """
+    denied = F.coalesce(F.col("decision") == "static_denied", F.lit(False))
+    row = F.struct("id", *(c for c in decided.columns if c != "id"))
+    weight = F.when(F.col("offense_weight") > 0, F.col("offense_weight"))
+    limited = ratelimit.rate_limit(decided.filter(~denied).select(row.alias("id"), F.col("client").alias("ip"), "ts", weight.alias("weight")), limits)
+    df = limited.select("id.*", F.col("status").alias("_limit"), "seconds_banned")
+    banned = F.col("_limit") == "banned"
+    of_ban = {"decision": "blocked_ratelimit", "label": "banned_ip", "status": 429, "offense_weight": 0, "triggered_by": "rate_limiter"}
+    counted = (F.col("_limit") == "ban_triggered") & F.col("decision").isin("blocked_recon", "blocked")
+    df = df.withColumns({"ban_triggered": counted} | {c: F.when(banned, v).otherwise(F.col(c)) for c, v in of_ban.items()}).drop("_limit")
+    return df.unionByName(decided.filter(denied).withColumns({"ban_triggered": F.lit(False), "seconds_banned": F.lit(0).cast("long")}))
+
+
 def log_json() -> Column:
     """The decision event of a cascade row as one JSON object."""
     return F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("decision"), F.col("client").alias("client_ip"), F.col("method"), F.left("rel_url", F.lit(300)).alias("path"), F.col("label"), F.col("triggered_by")))
 
 
-def decision_counters(decided: DataFrame) -> DataFrame:
+def _counts() -> list[Column]:
     is_ = lambda *d: F.count_if(F.col("decision").isin(*d))
-    return decided.agg(is_("allowed").alias("allowed"), F.count_if(F.col("decision").startswith("blocked")).alias("blocked"), is_("static_denied").alias("static_denied"))
+    return [is_("allowed").alias("allowed"), F.count_if(F.col("decision").startswith("blocked")).alias("blocked"), is_("static_denied").alias("static_denied")]
+
+
+def decision_counters(decided: DataFrame) -> DataFrame:
+    return decided.agg(*_counts())
+
+
+def counters_with_bans(banned: DataFrame) -> DataFrame:
+    """decision_counters and the bans that were set off, of what with_bans gives."""
+    return banned.agg(*_counts(), F.count_if("ban_triggered").alias("banned_ips_triggered"))
 
 
 # Names and help texts of the exported counters.
 METRICS = {"waf_requests_allowed_total": ("allowed", "Requests forwarded to the backend"), "waf_requests_blocked_total": ("blocked", "Requests blocked by the WAF"), "waf_static_denied_total": ("static_denied", "Requests rejected by the static deny list")}
 
 
-def prometheus_text(counters: DataFrame) -> DataFrame:
-    lines = [x for metric, (column, text) in METRICS.items() for x in (F.lit(f"# HELP {metric} {text}"), F.lit(f"# TYPE {metric} counter"), F.concat(F.lit(f"{metric} "), F.col(column).cast("string")))]
+BAN_METRICS = METRICS | {"waf_bans_triggered_total": ("banned_ips_triggered", "Times an IP crossed the auto-ban threshold")}
+
+
+def prometheus_text(counters: DataFrame, metrics: dict[str, tuple[str, str]] = METRICS) -> DataFrame:
+    lines = [x for metric, (column, text) in metrics.items() for x in (F.lit(f"# HELP {metric} {text}"), F.lit(f"# TYPE {metric} counter"), F.concat(F.lit(f"{metric} "), F.col(column).cast("string")))]
     return counters.select(F.concat_ws("\n", *lines).alias("exposition"))
 
 

@@ -27,10 +27,12 @@ class Client:
     offences: deque = field(default_factory=deque)
     until: int = 0
 
-    def step(self, ts: int, weight: int, limits: Limits) -> str:
-        """banned: no effect; ban_triggered: the window is full, it is emptied and a ban begins; offence."""
+    def step(self, ts: int, weight: int | None, limits: Limits) -> str:
+        """banned: no effect; ban_triggered: the window is full, it is emptied and a ban begins; offence; passed: no weight, so only the ban is looked at."""
         if ts < self.until:
             return "banned"
+        if weight is None:
+            return "passed"
         self.offences.extend([ts] * max(1, weight))
         while self.offences and self.offences[0] < ts - limits.window * 1_000_000:
             self.offences.popleft()
@@ -42,7 +44,7 @@ class Client:
 
 
 def rate_limit(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """id, ip, status, seconds_banned for every row of (id, ip, ts, weight).
+    """id, ip, status, seconds_banned for every row of (id, ip, ts, weight); a null weight is no offence.
 
     Rows are partitioned by client, sorted by (ts, id) and streamed through one state, so a
     client's offences are never gathered: memory is bounded by the window's threshold.

@@ -277,13 +277,40 @@ def cascade_status(spark, sf_dir):
     return decided(spark, sf_dir).groupBy("decision", "status").agg(F.count("*").alias("n"), F.sum("offense_weight").cast("long").alias("weight"))
 
 
+LIMITS = ratelimit.Limits(window=86_400, threshold=4, ban=43_200)
+
+
 @query
 def cascade_with_bans(spark, sf_dir):
-    """The stateful stage over the cascade: banned requests lose their own decision."""
+    """The limiter over the cascade's offences alone; ban_decisions applies it to all requests."""
     rows = decided(spark, sf_dir).select("id", "client", "decision", F.col("offense_weight").alias("weight"), "ts")
-    limits = ratelimit.Limits(window=86_400, threshold=4, ban=43_200)
     offences = rows.filter("weight > 0").select("id", F.col("client").alias("ip"), "ts", "weight")
-    return ratelimit.rate_limit(offences, limits).groupBy("status").agg(F.count("*").alias("n"))
+    return ratelimit.rate_limit(offences, LIMITS).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def banned(spark, sf_dir):
+    return decision.with_bans(decided(spark, sf_dir), LIMITS)
+
+
+@query
+def ban_decisions(spark, sf_dir):
+    """The stateful stage over the cascade: banned requests lose their own decision."""
+    return banned(spark, sf_dir).select("id", "client", "decision", "label", "status", "offense_weight", "triggered_by", "ban_triggered", "seconds_banned")
+
+
+@query
+def ban_counters(spark, sf_dir):
+    return decision.counters_with_bans(banned(spark, sf_dir))
+
+
+@query
+def ban_prometheus_text(spark, sf_dir):
+    return decision.prometheus_text(decision.counters_with_bans(banned(spark, sf_dir)), decision.BAN_METRICS)
+
+
+@query
+def ban_log_json(spark, sf_dir):
+    return banned(spark, sf_dir).select("id", decision.log_json().alias("event"))
 
 
 @query

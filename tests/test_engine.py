@@ -31,6 +31,35 @@ def test_published_limiter_totals(spark):
     assert got == {"offence": 1658, "ban_triggered": 247, "banned": 109}
 
 
+def test_bans_apply_to_all_requests(spark):
+    from sparksentry.plans.queries import LIMITS, QUERIES, decided
+
+    rows = decided(spark, SMALL).select("id", "client", "ts", "decision", "label", "status", "offense_weight", "triggered_by").collect()
+    wanted, offences, until, bans = {}, {}, {}, 0
+    for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+        own, client = (r["decision"], r["label"], r["status"], r["offense_weight"], r["triggered_by"]), r["client"]
+        if r["decision"] == "static_denied":
+            pass
+        elif client in until and r["ts"] < until[client]:
+            own = ("blocked_ratelimit", "banned_ip", 429, 0, "rate_limiter")
+        elif r["offense_weight"]:
+            past = [t for t in offences.get(client, []) if t >= r["ts"] - dt.timedelta(seconds=LIMITS.window)] + [r["ts"]] * r["offense_weight"]
+            if len(past) >= LIMITS.threshold:
+                past, until[client] = [], r["ts"] + dt.timedelta(seconds=LIMITS.ban)
+                bans += r["decision"] in ("blocked_recon", "blocked")
+            offences[client] = past
+        wanted[r["id"]] = own
+    got = {r["id"]: tuple(r[2:7]) for r in QUERIES["ban_decisions"](spark, SMALL).collect()}
+    assert got == wanted
+    ids = {r["id"]: r["decision"] for r in rows}
+    assert {"allowed", "blocked_websocket"} <= {ids[i] for i, v in wanted.items() if v[0] == "blocked_ratelimit"}
+    counts = QUERIES["ban_counters"](spark, SMALL).first()
+    kinds = [v[0] for v in wanted.values()]
+    assert tuple(counts) == (kinds.count("allowed"), sum(k.startswith("blocked") for k in kinds), kinds.count("static_denied"), bans) and bans
+    assert f"waf_bans_triggered_total {bans}" in QUERIES["ban_prometheus_text"](spark, SMALL).first()[0].splitlines()
+    assert sum('"blocked_ratelimit"' in r["event"] for r in QUERIES["ban_log_json"](spark, SMALL).collect()) == kinds.count("blocked_ratelimit")
+
+
 def test_variants_change_and_repeat(spark):
     df = payloads(spark, SMALL).filter("label <> 'benign'").limit(60)
     make = lambda: augment.with_random_variant(df, "payload", F.col("id").cast("string")).orderBy("id").collect()
