@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import augment, rules, text
+from ..llm.frames import stored
 from ..operators import decision, json_leaves, models, ratelimit
 from ..sources import corpus
 from ..sources.scratch import scratch
@@ -184,32 +185,30 @@ def nb_confusion(spark, sf_dir):
     return decision.confusion(found, ["de", "en", "es", "fr"])
 
 
-def _ml(spark, sf_dir):
-    """text, id, features, label (a number) and weight of the payloads' distinct strings, by TF-IDF."""
-    y = F.array_position(F.array(*map(F.lit, corpus.LABELS)), F.col("label")).cast("double") - 1
-    docs = payloads(spark, sf_dir).groupBy(F.col("payload").alias("text"), y.alias("label")).agg(F.min("id").alias("id"), F.count("*").cast("double").alias("weight")).cache()
-    counted = models.terms(docs)
-    vocabulary = models.fit_vocabulary(counted, docs.count()).cache()
-    weights = models.transform(counted, vocabulary)
-    return models.vectors(weights, docs, vocabulary).join(docs, "id").cache()
+def _ml(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """id, features and label (a number, null without a language) of the documents, by TF-IDF; and the languages."""
+    docs, counted, vocabulary = _features(spark, sf_dir)
+    langs = [r[0] for r in docs.select("lang").filter("lang is not null").distinct().orderBy("lang").collect()]  # a few
+    y = F.array_position(F.array(*map(F.lit, langs)), F.min("lang")).cast("double") - 1
+    ids = docs.groupBy("id").agg(y.alias("label"))
+    found = models.vectors(models.transform(counted, vocabulary), ids, vocabulary).join(ids, "id")
+    return stored(found), langs
 
 
-def _named(spark, sf_dir, found: DataFrame, train: DataFrame) -> DataFrame:
-    label = F.element_at(F.array(*map(F.lit, corpus.LABELS)), (F.col("prediction") + 1).cast("int"))
-    by_text = found.select("id", label.alias("predicted")).join(train.select("id", "text"), "id").select("text", "predicted")
-    return payloads(spark, sf_dir).join(by_text, F.col("payload") == F.col("text")).select("id", "predicted")
+def _named(found: DataFrame, langs: list[str]) -> DataFrame:
+    return found.select("id", F.element_at(F.array(*map(F.lit, langs)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
 @query
 def lr_predict(spark, sf_dir):
-    train = _ml(spark, sf_dir)
-    return _named(spark, sf_dir, models.fit_logistic(train, max_iter=30).transform(train), train)
+    rows, langs = _ml(spark, sf_dir)
+    return _named(models.fit_logistic(rows.filter("label is not null"), max_iter=1000).transform(rows), langs)
 
 
 @query
 def svm_predict(spark, sf_dir):
-    train = _ml(spark, sf_dir)
-    return _named(spark, sf_dir, models.CalibratedSVM(3, max_iter=10).fit(train).transform(train.select("id", "features")), train)
+    rows, langs = _ml(spark, sf_dir)
+    return _named(models.CalibratedSVM(len(langs)).fit(rows.filter("label is not null")).transform(rows.select("id", "features")), langs)
 
 
 def _ensemble(spark, sf_dir, policy):

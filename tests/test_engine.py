@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparksentry.functions import augment
@@ -31,6 +32,16 @@ def test_published_limiter_totals(spark):
     assert got == {"offence": 1658, "ban_triggered": 247, "banned": 109}
 
 
+@pytest.mark.parametrize("name", ["lr_predict", "svm_predict"])
+def test_linear_models_see_the_documents(spark, name):
+    from sparksentry.plans.queries import QUERIES
+
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").collect()}
+    got = {r["id"]: r["predicted"] for r in QUERIES[name](spark, SMALL).collect()}
+    assert set(got) == set(lang)
+    assert sum(got[i] == lang[i] for i in lang) >= 0.9 * len(lang)
+
+
 def test_bans_apply_to_all_requests(spark):
     from sparksentry.plans.queries import LIMITS, QUERIES, decided
 
