@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import augment, rules, text
-from ..llm.frames import stored
 from ..operators import decision, json_leaves, models, ratelimit
 from ..sources import corpus
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..sources.views import ALLOWED, DENIED, TRUSTED, headers_map, payloads, requests, table
 from ..streaming import traffic
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -15,3 +15,10 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="scratch")
     return f"{folder}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: lineage is cut and columns can be read alone."""
+    path = f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
