@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _lut() -> tuple[np.ndarray, np.ndarray]:
@@ -30,13 +30,17 @@ IS_WORD, LOWER = _lut()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+    """base**i and base**-i modulo 2**64 for i < n; those of usual lengths are kept."""
+
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
         up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"][:n], _powers["down"][:n]
+        return np.cumprod(up), np.cumprod(down)
+
+    if not _powers:
+        _powers.append(made(2 * BLOCK_BYTES))
+    up, down = _powers[0] if n <= len(_powers[0][0]) else made(n)
+    return up[:n], down[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,6 +64,19 @@ class PolyHash:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """Hashes of spans with ascending starts, a bounded stretch of the values at a time (longer only for a longer span)."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, base + limit)))
+        top = max(base, int(ends[i:j].max()))
+        out[i:j] = PolyHash(values[base:top])(starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -102,10 +119,14 @@ class Words:
         stops = ~inside[1:] & inside[:-1]
         stops[cuts] = inside[:-1][cuts]
         self.ends = np.flatnonzero(stops)
-        self.poly = PolyHash(LOWER[raw])
-        self.hashes = self.poly(self.starts, self.ends)
+        self.lower = LOWER[raw]
+        self.hashes = span_hashes(self.lower, self.starts, self.ends)
         self.at = np.searchsorted(self.starts, offsets)
 
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word."""
+        return span_hashes(self.lower, self.starts, np.minimum(self.starts + n, self.ends))
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.at))
 
@@ -133,7 +154,5 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     runs = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     at = np.concatenate([[0], np.cumsum(runs)])
     starts = ragged_sum_index(words.at[:-1], runs)
-    poly = PolyHash(words.hashes)
-    ends = starts + width
-    ends = np.minimum(ends, np.repeat(words.at[1:], runs))
-    return poly(starts, ends), at
+    ends = np.minimum(starts + width, np.repeat(words.at[1:], runs))
+    return span_hashes(words.hashes, starts, ends), at

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrowtext import PolyHash, Words, text_buffers, word_blocks
+from .arrowtext import Words, span_hashes, text_buffers, word_blocks
 from .frames import map_arrow, prepare
 
 GRAM, WINDOW, BAND = 3, 2, 8
@@ -70,7 +70,7 @@ class TemplateIndex:
             if len(h) < gram:
                 raise ValueError(f"the template {self.names[t]!r} has fewer than {gram} words")
             starts = np.arange(len(h) - gram + 1)
-            grams = PolyHash(h)(starts, starts + gram)
+            grams = span_hashes(h, starts, starts + gram)
             postings += [(int(grams[p]), t, int(p)) for p in winnow(grams, window)]
         postings.sort()
         self.fingerprints = np.array([p[0] for p in postings], np.uint64)
@@ -86,7 +86,7 @@ class TemplateIndex:
         if n <= 0:
             return
         starts = np.arange(n)
-        grams = PolyHash(words.hashes)(starts, starts + self.gram)
+        grams = span_hashes(words.hashes, starts, starts + self.gram)
         maybe = np.flatnonzero(self.maybe[(grams >> np.uint64(48)).astype(np.int64)])
         doc = np.searchsorted(words.at, maybe, side="right")
         maybe = maybe[maybe + self.gram <= words.at[doc]]

@@ -5,10 +5,12 @@ separator behind it, word lengths, and repetitions of a word close before.  Coun
 damped by a logarithm, weighted by inverse document frequency and projected on the first
 singular vectors of the labelled sample.  The labelled latent vectors, bounded in number,
 are broadcast; every document's cosine with all of them is computed in blocks, and the
-nearest ones vote with their similarities.
+nearest ones vote, each weighted by the fourth power of its similarity.
 
 Null, empty and wordless texts have a zero vector; they get the share of good labels, as all
-documents do if there are no labels (then 0.5).  Repeated rows get equal scores.
+documents do if there are no labels (then 0.5).  Scores are rounded to 6 digits, as sums in
+single precision depend on the block a row is scored in: repeated rows get equal scores but
+for that rounding.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import PolyHash, Words, mix64, word_blocks
+from .arrowtext import Words, mix64, span_hashes, word_blocks
 from .frames import map_arrow, prepare
 from .labelled import labelled_sample
 
@@ -43,7 +45,7 @@ def term_counts(words: Words) -> np.ndarray:
     case = np.where(n_upper == 0, 0, np.where(n_upper * 2 > length, np.where(length > 1, 2, 1), np.where(first_upper, 1, 3)))
     doc_end = words.offsets[1:][doc]
     after = np.minimum(np.concatenate([s[1:], [len(words.raw)]]), doc_end)
-    separator = PolyHash(words.raw)(e, np.minimum(after, e + 6))
+    separator = span_hashes(words.raw, e, np.minimum(after, e + 6))
     last = np.concatenate([doc[1:] != doc[:-1], [True]])
     shape = mix64(np.where(last, np.uint64(1), separator) * np.uint64(4) + case.astype(np.uint64))
     terms = [(h % np.uint64(WORD_TERMS)).astype(np.int64), WORD_TERMS + (shape % np.uint64(SHAPE_TERMS)).astype(np.int64), WORD_TERMS + SHAPE_TERMS + np.minimum(length, LENGTH_TERMS - 1)]
@@ -126,6 +128,6 @@ def score_quality(docs: DataFrame, votes: LatentVotes, keep: tuple[str, ...] = (
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
 
     def of_batch(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(c) for c in keep} | {"score": score_votes(model.value, batch.column("_text"))}
+        return {c: batch.column(c) for c in keep} | {"score": score_votes(model.value, batch.column("_text")).round(6)}
 
     return map_arrow(docs.select(*keep, F.col("text").alias("_text")), of_batch, schema)

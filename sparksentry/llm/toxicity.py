@@ -1,28 +1,33 @@
 """Toxicity by a small convolutional text classifier, trained in numpy.
 
 A word is the sum of three hashed embeddings: of the word, and of its first four and first
-five bytes.  Only hash buckets whose share of toxic training documents departs clearly
-from the others' have an embedding, all others are the zero vector; so only windows that
-hold such a word need work.  Filters of widths 1, 2 and 3 run over the words, each is max
-pooled over the whole document, and a logistic unit reads the pools.  Embeddings, filters
-and output are trained together by Adam.  The language is no input of the score: it only
-chooses among thresholds, which are calibrated on training rows set aside.
-
-Null, empty and wordless texts get the score of an empty document.  Repeated rows get equal
-scores.  Without labels of both kinds every score is the toxic share (0.5 without labels).
+five bytes.  Every hash bucket met in at least LEAST_DOCS training documents has an
+embedding, rarer ones are the zero vector.  Filters of widths 1, 2 and 3 run over all
+words, each is max pooled over the whole document, and a logistic unit reads the pools.
+Embeddings, filters and output all start from noise and are trained together by Adam, with
+word dropout, until the loss on training rows set aside no longer falls.  The language is no
+input of the score: it only chooses among thresholds, which are calibrated on the rows set
+aside and drawn towards the common threshold where a language has few toxic rows there.  A
+sample with too few toxic rows to set some aside is fitted whole, and its thresholds are 0.5.
+
+Null, empty and wordless texts get the score of an empty document.  Scores are rounded to 6
+digits, as sums in single precision depend on the block a row is scored in: repeated rows
+get equal scores but for that rounding.  Without labels of both kinds every score is the toxic
+share (0.5 without labels).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Words, word_blocks
+from .arrowtext import Words, ragged_sum_index, word_blocks
 from .frames import map_arrow, prepare
 from .labelled import labelled_sample
 
@@ -30,30 +35,34 @@ HASH_BITS = 21
 PREFIXES = (4, 5)
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 12, 8
-#: Least departure of a bucket, in standard deviations, and most buckets.
-LEAST_Z, MOST_BUCKETS = 3.0, 30_000
 SPAN = max(WIDTHS)
+#: Training documents that a bucket is met in, to have an embedding.
+LEAST_DOCS = 3
+#: Labelled rows and bytes of text that are fitted on, in expectation.
+FIT_ROWS, FIT_BYTES = 8_000, 12_000_000
+EPOCHS, BATCH, RATE, DROPOUT, DECAY = 14, 64, 0.01, 0.2, 1e-4
+#: Epochs, and steps, after which training ends if the loss on rows set aside hasn't fallen.
+PATIENCE, PATIENCE_STEPS = 2, 100
+#: Fewest toxic rows that the rows set aside are worth setting aside for.
+LEAST_ASIDE = 10
+#: Toxic rows set aside that weigh as much as the threshold they are drawn towards.
+SHRINK = 20
+#: Words scored together, so that memory doesn't grow with a text.
+SCORE_WORDS = 1 << 17
 
 
 def buckets(words: Words) -> np.ndarray:
     """[words, 3] hash buckets, each kind in its own range."""
-    kinds = [words.hashes, *(words.poly(words.starts, np.minimum(words.starts + n, words.ends)) for n in PREFIXES)]
+    kinds = [words.hashes, *map(words.prefix_hashes, PREFIXES)]
     top = np.uint64(64 - HASH_BITS)
     return np.stack([(k >> top).astype(np.int64) + (i << HASH_BITS) for i, k in enumerate(kinds)], axis=1)
 
 
-@dataclass
-class Windows:
-    """Windows that hold an embedded word: rows[w, position, kind] of the embedding table, and document of each."""
-
-    rows: np.ndarray
-    doc: np.ndarray
-    docs: int
-
-
 @dataclass
 class ConvNet:
-    slots: np.ndarray
+    """known: ascending buckets with an embedding; embed[0] is the zero vector of all others."""
+
+    known: np.ndarray
     embed: np.ndarray
     filters: list[np.ndarray]
     bias: np.ndarray
@@ -61,139 +70,228 @@ class ConvNet:
     base: float
     thresholds: dict[str | None, float] = field(default_factory=dict)
 
-    def windows(self, words: Words) -> Windows:
-        rows = self.slots[buckets(words)]
-        n = len(rows)
-        doc = words.doc_of()
-        active = np.flatnonzero(rows.any(axis=1))
-        begin = (active[:, None] - np.arange(SPAN)).ravel()
-        whose = np.repeat(doc[active], SPAN)
-        ok = begin >= words.at[:-1][whose]
-        begin = np.unique(begin[ok])
-        whose = doc[begin]
-        span = begin[:, None] + np.arange(SPAN)
-        inside = span < words.at[1:][whose][:, None]
-        picked = rows[np.minimum(span, max(n - 1, 0))] * inside[:, :, None] if n else np.zeros((0, SPAN, 1 + len(PREFIXES)), rows.dtype)
-        return Windows(picked, whose, len(words.at) - 1)
-
-    def pooled(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pools before and after the rectifier, and the inputs of the windows."""
-        x = self.embed[w.rows].sum(axis=2).reshape(len(w.rows), SPAN * DIM)
-        y = np.concatenate([x[:, : n * DIM] @ f for n, f in zip(WIDTHS, self.filters)], axis=1) + self.bias if len(x) else np.zeros((0, len(self.bias)), np.float32)
-        most = np.tile(self.bias, (w.docs, 1))
-        if len(y):
-            begins = np.flatnonzero(np.diff(w.doc, prepend=-1))
-            most[w.doc[begins]] = np.maximum(np.maximum.reduceat(y, begins, axis=0), self.bias)
-        return most, y, x
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """The row of the embedding table for each bucket."""
+        out = np.zeros((1 + len(PREFIXES)) << HASH_BITS, np.int32)
+        out[self.known] = np.arange(1, len(self.known) + 1)
+        return out
+
+    def convolved(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word vectors, and what each filter gives for the window that begins at each word, without bias."""
+        x = self.embed[rows].sum(axis=1)
+        y = np.zeros((len(rows), len(self.bias)), x.dtype)
+        for k, (width, f) in enumerate(zip(WIDTHS, self.filters)):
+            own = y[:, k * FILTERS : (k + 1) * FILTERS]
+            for i in range(width):
+                own[: len(x) - i] += x[i:] @ f[i * DIM : (i + 1) * DIM]
+        return x, y
+
+    def read(self, most: np.ndarray) -> np.ndarray:
+        """Scores of pools without bias."""
+        return 1 / (1 + np.exp(-(np.maximum(most + self.bias, 0) @ self.out + self.base).astype(np.float64)))
 
     def score(self, words: Words) -> np.ndarray:
-        most, _, _ = self.pooled(self.windows(words))
-        return 1 / (1 + np.exp(-(np.maximum(most, 0) @ self.out + self.base).astype(np.float64)))
+        sizes = np.diff(words.at)
+        most = np.zeros((len(sizes), len(self.bias)), np.float32)
+        if len(words.hashes):
+            slots = self.slots[buckets(words)]
+            for rows, doc, starts, ends in stretches(slots, words.at):
+                most[doc] = np.maximum(most[doc], pooled(self.convolved(rows)[1], starts, ends))
+        return self.read(most)
+
+
+def stretches(slots: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, documents, starts, ends) of bounded stretches of the words; of a document's part all windows fit in but at its own end."""
+    for lo in range(0, len(slots), SCORE_WORDS):
+        hi = min(lo + SCORE_WORDS, len(slots))
+        doc = np.arange(np.searchsorted(at, lo, side="right") - 1, np.searchsorted(at, hi, side="left"))
+        doc = doc[at[1:][doc] > at[:-1][doc]]
+        first, last = np.maximum(at[:-1][doc], lo), np.minimum(at[1:][doc], hi)
+        # the words behind the stretch that its last windows reach
+        more = np.minimum(at[1:][doc], last + SPAN - 1)
+        rows, starts = padded(slots, first, more - first)
+        yield rows, doc, starts, starts + (last - first)
+
+
+def padded(slots: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of word rows one after the other, each followed by zero rows that its last windows reach; and their starts."""
+    room = sizes + SPAN - 1
+    starts = np.cumsum(room) - room
+    rows = np.zeros((int(room.sum()), slots.shape[1]), slots.dtype)
+    rows[ragged_sum_index(starts, sizes)] = slots[ragged_sum_index(first, sizes)]
+    return rows, starts
+
+
+def pooled(y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The most of each filter over the windows that begin from start to end, 0 (no word) at least."""
+    spans = np.minimum(np.stack([starts, ends], axis=1).ravel(), len(y) - 1)
+    return np.maximum(np.maximum.reduceat(y, spans, axis=0)[::2], 0)
 
 
 def constant_net(share: float) -> ConvNet:
     share = min(max(share, 1e-3), 1 - 1e-3)
     n = FILTERS * len(WIDTHS)
-    return ConvNet(np.zeros(3 << HASH_BITS, np.uint16), np.zeros((1, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), float(np.log(share / (1 - share))))
+    return ConvNet(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), float(np.log(share / (1 - share))))
 
 
-def departures(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and how far, in standard deviations, their count of toxic documents is from what is expected."""
-    docs_of = np.zeros((2, 3 << HASH_BITS), np.int32)
-    for first, _, words in word_blocks(texts):
-        b = buckets(words)
-        doc = words.doc_of()
+def common_buckets(texts: pa.Array, least: int = LEAST_DOCS) -> np.ndarray:
+    """Buckets met in at least that many documents, ascending."""
+    kinds = (1 + len(PREFIXES)) << HASH_BITS
+    docs_of = np.zeros(kinds, np.int32)
+    for _, _, words in word_blocks(texts):
+        b, doc = buckets(words), words.doc_of()
         for kind in range(b.shape[1]):
-            own = np.unique(doc * np.int64(3 << HASH_BITS) + b[:, kind])
-            whose, bucket = own // (3 << HASH_BITS), own % (3 << HASH_BITS)
-            for y in (0, 1):
-                np.add.at(docs_of[y], bucket[labels[first + whose] == y], 1)
-    seen = np.flatnonzero(docs_of[1] + docs_of[0])
-    both = docs_of[:, seen].astype(np.float64)
-    expected = both.sum(axis=0) * labels.mean()
-    return seen, (both[1] - expected) / np.sqrt(expected + 1)
+            np.add.at(docs_of, np.unique(doc * np.int64(kinds) + b[:, kind]) % kinds, 1)
+    return np.flatnonzero(docs_of >= least)
 
 
-def train(texts: pa.Array, labels: np.ndarray, langs: list[str | None], epochs: int = 12, seed: int = 7) -> ConvNet:
+@dataclass
+class Batch:
+    """Padded word rows of some documents, where each begins and ends, and its label."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    labels: np.ndarray
+
+
+def gradients(net: ConvNet, b: Batch) -> tuple[float, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Loss; embedding rows with a gradient, those gradients; and the gradients of filters, bias, out and base."""
+    x, y = net.convolved(b.rows)
+    n = len(b.labels)
+    place = np.zeros((n, len(net.bias)), np.int64)
+    most = np.zeros((n, len(net.bias)), x.dtype)
+    for i in np.flatnonzero(b.ends > b.starts).tolist():
+        own = y[b.starts[i] : b.ends[i]]
+        at = own.argmax(axis=0)
+        place[i], most[i] = at + b.starts[i], own[at, np.arange(own.shape[1])]
+    pool = np.maximum(np.maximum(most, 0) + net.bias, 0)
+    z = pool @ net.out + net.base
+    loss = float((np.logaddexp(0, z) - b.labels * z).sum() / n) + DECAY / 2 * float((net.out**2).sum() + sum((f**2).sum() for f in net.filters))
+    d = ((1 / (1 + np.exp(-z)) - b.labels) / n).astype(x.dtype)
+    of_out = pool.T @ d + DECAY * net.out
+    of_pool = d[:, None] * net.out * (pool > 0)
+    of_window = of_pool * (most > 0)
+    of_filters, rows, parts = [], [], []
+    for k, (width, f) in enumerate(zip(WIDTHS, net.filters)):
+        own = slice(k * FILTERS, (k + 1) * FILTERS)
+        g, at = of_window[:, own], place[:, own]
+        of_filter = DECAY * f
+        for i in range(width):
+            of_filter[i * DIM : (i + 1) * DIM] += np.einsum("df,dfc->cf", g, x[at + i])
+            rows.append(b.rows[at + i].reshape(-1, b.rows.shape[1]))
+            parts.append((g[:, :, None] * f[i * DIM : (i + 1) * DIM].T).reshape(-1, DIM))
+        of_filters.append(of_filter)
+    rows, parts = np.concatenate(rows), np.concatenate(parts)
+    some = parts.any(axis=1)
+    flat, parts = rows[some].ravel(), np.repeat(parts[some], rows.shape[1], axis=0)
+    touched, where = np.unique(flat[flat > 0], return_inverse=True)
+    of_embed = np.zeros((len(touched), DIM), x.dtype)
+    np.add.at(of_embed, where, parts[flat > 0])
+    return loss, touched, of_embed, [*of_filters, of_pool.sum(axis=0), of_out, np.array([d.sum()], x.dtype)]
+
+
+class Adam:
+    """Adam's moments of each parameter; rows: only those are stepped."""
+
+    def __init__(self, params: list[np.ndarray]):
+        self.params, self.steps = params, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+    def step(self, grads: list[np.ndarray], rows: list[np.ndarray | None]) -> None:
+        self.steps += 1
+        for p, (first, second), g, r in zip(self.params, self.moments, grads, rows):
+            r = slice(None) if r is None else r
+            m, v = first[r], second[r]
+            m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
+            first[r], second[r] = m, v
+            p[r] -= RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def train(texts: pa.Array, labels: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, seed: int = 7) -> ConvNet:
     share = float(labels.mean()) if len(labels) else 0.5
     if not 0 < labels.sum() < len(labels):
         return constant_net(share)
     rng = np.random.default_rng(seed)
-    aside = rng.random(len(labels)) < 0.2
-    if not (0 < labels[~aside].sum() < (~aside).sum()):
-        aside[:] = False
-    kept, y = texts.filter(pa.array(~aside)), labels[~aside].astype(np.float32)
-    seen, z = departures(kept, y.astype(int))
-    far = np.argsort(-np.abs(z), kind="stable")[:MOST_BUCKETS]
-    far = far[np.abs(z[far]) >= LEAST_Z]
+    aside = rng.random(len(labels)) < 0.15
+    if not 0 < labels[~aside].sum() < (~aside).sum() or labels[aside].sum() < LEAST_ASIDE:
+        aside[:] = False  # too few to judge by: all rows are fitted on, for all epochs
+    own, check = np.flatnonzero(~aside), np.flatnonzero(aside if aside.any() else ~aside)
+    y = labels.astype(np.float32)
     net = constant_net(share)
-    net.slots[seen[far]] = np.arange(1, len(far) + 1)
-    net.embed = rng.normal(0, 0.05, (len(far) + 1, DIM)).astype(np.float32)
-    net.embed[1:, 0] = np.tanh(z[far] / 6)
+    net.known = common_buckets(texts.filter(pa.array(~aside)))
+    net.embed = rng.normal(0, 0.1, (len(net.known) + 1, DIM)).astype(np.float32)
     net.embed[0] = 0
-    net.filters = [rng.normal(0, 0.2, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for w, f in zip(WIDTHS, net.filters):
-        for k in range(w):
-            f[k * DIM] = np.abs(f[k * DIM]) + (0.6 if k == 0 else 0.1)
-    net.bias = np.full(FILTERS * len(WIDTHS), -0.2, np.float32)
-    net.out = np.full(FILTERS * len(WIDTHS), 0.3, np.float32)
-    net.base = -2.0
-    rows, doc, first = [], [], 0
-    for lo, hi, words in word_blocks(kept):
-        w = net.windows(words)
-        rows.append(w.rows)
-        doc.append(w.doc + lo)
-    rows, doc = np.concatenate(rows), np.concatenate(doc)
-    begins = np.searchsorted(doc, np.arange(len(y) + 1))
-    params = [net.embed, *net.filters, net.bias, net.out]
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params] + [(np.zeros(1), np.zeros(1))]
-    base, step = np.array([net.base]), 0
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
-    for _ in range(max(epochs, min(200, 60_000 // len(y)))):
-        for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
-            index = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in some])
-            w = Windows(rows[index], np.repeat(np.arange(len(some)), begins[some + 1] - begins[some]), len(some))
+    net.filters = [rng.normal(0, DIM**-0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    net.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
+    made = [(net.slots[buckets(words)], np.diff(words.at)) for _, _, words in word_blocks(texts)]
+    slots, sizes = np.concatenate([s for s, _ in made]), np.concatenate([n for _, n in made])
+    first = np.cumsum(sizes) - sizes
+    base = np.array([net.base], np.float32)
+    params = [net.embed, *net.filters, net.bias, net.out, base]
+    adam = Adam(params)
+    least, best, worse = np.inf, [p.copy() for p in params], 0
+    size = min(BATCH, max(8, len(own) // 50))
+    patience = max(PATIENCE, PATIENCE_STEPS * size // len(own))
+    for _ in range(max(epochs, min(40, 8_000 // len(own)))):
+        for some in np.array_split(rng.permutation(own), max(1, len(own) // size)):
+            rows, starts = padded(slots, first[some], sizes[some])
+            rows[rng.random(rows.shape, np.float32) < DROPOUT] = 0
             net.base = float(base[0])
-            most, conv, x = net.pooled(w)
-            pool = np.maximum(most, 0)
-            p = 1 / (1 + np.exp(-(pool @ net.out + net.base)))
-            d = ((p - y[some]) * weight[some] / len(some)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in params]
-            grads[-1] = pool.T @ d + 1e-4 * net.out
-            dm = d[:, None] * net.out * (most > 0)
-            at, col = np.nonzero((conv == most[w.doc]) & (dm[w.doc] != 0))
-            _, once = np.unique(w.doc[at] * len(net.bias) + col, return_index=True)
-            at, col = at[once], col[once]
-            g = dm[w.doc[at], col]
-            grads[-2] = dm.sum(axis=0)
-            dx = np.zeros_like(x)
-            for k, (width, f) in enumerate(zip(WIDTHS, net.filters)):
-                own = (col >= k * FILTERS) & (col < (k + 1) * FILTERS)
-                dy = np.zeros((len(x), FILTERS), np.float32)
-                dy[at[own], col[own] - k * FILTERS] = g[own]
-                grads[1 + k] = x[:, : width * DIM].T @ dy + 1e-4 * f
-                dx[:, : width * DIM] += dy @ f.T
-            touched = np.flatnonzero(dx.any(axis=1))
-            dxs = dx[touched].reshape(len(touched), SPAN, 1, DIM)
-            where = w.rows[touched]
-            np.add.at(grads[0], where.ravel(), np.broadcast_to(dxs, (*where.shape, DIM)).reshape(-1, DIM))
-            grads[0][0] = 0
-            step += 1
-            for q, gq, (m, v) in zip([*params, base], [*grads, np.array([d.sum()])], state):
-                m += 0.1 * (gq - m)
-                v += 0.001 * (gq * gq - v)
-                q -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(q.dtype)
+            _, touched, of_embed, others = gradients(net, Batch(rows, starts, starts + sizes[some], y[some]))
+            adam.step([of_embed, *others], [touched, *[None] * len(others)])
+        net.base = float(base[0])
+        p = np.clip(pools_score(net, slots, first[check], sizes[check]), 1e-9, 1 - 1e-9)
+        loss = -np.log(np.where(y[check] > 0, p, 1 - p)).mean()
+        if loss < least - 1e-4:
+            least, best, worse = loss, [p.copy() for p in params], 0
+        else:
+            worse += 1
+            if worse >= patience and aside.any():
+                break
+    for p, b in zip(params, best):
+        p[...] = b
     net.base = float(base[0])
-    check, truth = (texts.filter(pa.array(aside)), labels[aside]) if aside.any() else (texts, labels)
-    spoken = [x for x, a in zip(langs, aside) if a] if aside.any() else langs
-    scores = score_texts(net, check)
-    net.thresholds[None] = best_threshold(scores, truth)
-    for lang in sorted({x for x in spoken if x is not None}):
-        own = np.array([x == lang for x in spoken])
-        net.thresholds[lang] = best_threshold(scores[own], truth[own]) if min(truth[own].sum(), (1 - truth[own]).sum()) >= 5 else net.thresholds[None]
+    if aside.any():
+        net.thresholds = calibrated(pools_score(net, slots, first[check], sizes[check]), labels[check], [langs[i] for i in check])
     return net
 
 
+def pools_score(net: ConvNet, slots: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Scores of documents given by where their words' rows begin and how many they are."""
+    out = []
+    for lo in range(0, len(first), 256):
+        rows, starts = padded(slots, first[lo : lo + 256], sizes[lo : lo + 256])
+        n = sizes[lo : lo + 256]
+        most = np.zeros((len(n), len(net.bias)), np.float32)
+        full = n > 0
+        if full.any():
+            most[full] = pooled(net.convolved(rows)[1], starts[full], (starts + n)[full])
+        out.append(net.read(most))
+    return np.concatenate(out)
+
+
+def calibrated(scores: np.ndarray, truth: np.ndarray, langs: list[str | None]) -> dict[str | None, float]:
+    """The common threshold (under None) and each language's: the best by F1, as log odds drawn to 0.5 and to the common one."""
+
+    def drawn(own: np.ndarray, towards: float) -> float:
+        n = int(truth[own].sum())
+        odds = lambda p: float(np.log(p / (1 - p)))
+        t = min(max(best_threshold(scores[own], truth[own]), 0.02), 0.98)
+        z = (n * odds(t) + SHRINK * odds(towards)) / (n + SHRINK)
+        return float(1 / (1 + np.exp(-z)))
+
+    common = drawn(np.ones(len(scores), bool), 0.5)
+    out: dict[str | None, float] = {None: common}
+    for lang in sorted({x for x in langs if x is not None}):
+        out[lang] = drawn(np.array([x == lang for x in langs]), common)
+    return out
+
+
 def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
     """The middle of the widest range of thresholds with the largest F1; 0.5 if nothing is toxic."""
     if not truth.sum():
@@ -211,13 +309,13 @@ def score_texts(net: ConvNet, texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts))
     for first, last, words in word_blocks(texts):
         out[first:last] = net.score(words)
-    return out
+    return out.round(6)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> ConvNet:
     """Trains on labelled rows of (doc_id, text, lang) whose label's `_id` is usable (all by default)."""
     prepare(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, FIT_ROWS, FIT_BYTES)
     once = sample.group_by("text", use_threads=False).aggregate([("label", "max"), ("lang", "first")]) if len(sample) else sample
     texts = once.column("text").combine_chunks() if len(once) else pa.array([], pa.string())
     y = once.column("label_max").to_numpy() if len(once) else np.zeros(0, int)

@@ -376,6 +376,49 @@ def plain_score(net, text):
     return 1 / (1 + np.exp(-(np.concatenate(pools) @ net.out + net.base)))
 
 
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    """Against central differences, in double precision, on a few short texts (one of them empty)."""
+    rng = np.random.default_rng(3)
+    texts = ["a b c d e f", "", "c c d", "x", "f e d c b a x y z"]
+    net = toxicity.constant_net(0.4)
+    net.known = np.unique(np.concatenate([toxicity.buckets(words_of(t)).ravel() for t in texts if t]))
+    net.embed = rng.normal(0, 0.5, (len(net.known) + 1, toxicity.DIM))
+    net.embed[0] = 0
+    net.filters = [rng.normal(0, 0.5, f.shape) for f in net.filters]
+    net.bias, net.out = rng.normal(0, 0.1, net.bias.shape), rng.normal(0, 0.5, net.out.shape)
+    made = [net.slots[toxicity.buckets(words_of(t))] if t else np.zeros((0, 3), np.int32) for t in texts]
+    sizes = np.array([len(m) for m in made])
+    rows, starts = toxicity.padded(np.concatenate(made), np.cumsum(sizes) - sizes, sizes)
+    batch = toxicity.Batch(rows, starts, starts + sizes, np.array([1.0, 0, 1, 0, 1]))
+    _, touched, of_embed, others = toxicity.gradients(net, batch)
+    whole = np.zeros_like(net.embed)
+    whole[touched] = of_embed
+
+    def slope(array, at):
+        kept, step, sides = array[at], 1e-6, []
+        for sign in (1, -1):
+            array[at] = kept + sign * step
+            sides.append(toxicity.gradients(net, batch)[0])
+        array[at] = kept
+        return (sides[0] - sides[1]) / (2 * step)
+
+    for array, grad in zip([net.embed, *net.filters, net.bias, net.out], [whole, *others[:-1]]):
+        for flat in rng.choice(array.size, min(60, array.size), replace=False):
+            at = np.unravel_index(flat, array.shape)
+            if array is not net.embed or at[0]:
+                assert abs(slope(array, at) - grad[at]) < 1e-6
+
+
+def test_a_long_text_scores_the_same_in_stretches(monkeypatch):
+    random.seed(4)
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 3, 50, 700)]
+    net = toxicity.train(pa.array(texts * 8), np.array([0, 1, 0, 1, 0, 1] * 8), [None] * 48, epochs=2)
+    whole = toxicity.score_texts(net, pa.array(texts))
+    for size in (1, 3, 64):
+        monkeypatch.setattr(toxicity, "SCORE_WORDS", size)
+        assert np.abs(toxicity.score_texts(net, pa.array(texts)) - whole).max() < 2e-6
+
+
 def plain_vote(votes, text):
     """Vote of the nearest by a full sort, and whether the last voter is told apart."""
     counts = quality.term_counts(words_of(text))
