@@ -44,7 +44,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("_id", 5) != 0)
-    return _rejected(docs, toxicity.score_toxicity(_keyed(docs), net, ("doc_id", "_key")), F.col("score") >= 0.5)
+    return _rejected(docs, toxicity.score_toxicity(_keyed(docs), net, ("doc_id", "_key")), F.col("toxic_for_lang"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
