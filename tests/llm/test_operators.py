@@ -327,6 +327,23 @@ def test_neighbours_of_repeated_rows(spark):
     assert {q: neighbours_brute(x, q) for q in range(0, 150, 10)} == got
 
 
+@pytest.mark.parametrize("batch", ["50", "10000"])
+def test_neighbours_beyond_the_sample(spark, batch):
+    """Recall where codebooks and reach are fitted on a sixth of the rows, whatever the batches are."""
+    x = hot_vectors()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    index, books = ann.build_index(vectors, sample=500)
+    assert len(books.ids) < 800 and 0 < books.reach <= 1
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = ann.search(index, books, vectors.filter("vec_id % 50 = 0")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    got = defaultdict(set)
+    for r in rows:
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & set(neighbours_brute(x, q))) / 5 for q in range(0, 3000, 50)]) >= 0.95
+
+
 def held_out(spark, sf, name, threshold, label):
     rows = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     return [(r["score"], int(r["score"] >= threshold) == r["predicted"], r["predicted"] == r[label]) for r in rows]
