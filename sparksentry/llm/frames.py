@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import tempfile
 import uuid
@@ -114,8 +115,29 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def grouped_arrow(df: DataFrame, keys: list[str], of_group: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
-    """Applies a function to the rows of each key (integer columns without nulls), streaming through sorted partitions."""
+def dealt_by_cost(groups: DataFrame, cost: str, tasks: int, share: int = 4) -> DataFrame:
+    """groups with `_deal`, the task of each group, so that costly ones are spread.
+
+    Groups of at least 1 / (share * tasks) of all costs, of which there can't be more than
+    share * tasks, are given in order of cost to the task with the least so far; the others by hash.
+    """
+    spark = groups.sparkSession
+    keys = [c for c in groups.columns if c != cost]
+    total = groups.agg(F.sum(cost)).first()[0] or 0
+    heavy = groups.filter(F.col(cost) * (share * tasks) >= total).collect() if total else []
+    load = [(0, t) for t in range(tasks)]
+    placed = []
+    for g in sorted(heavy, key=lambda g: (-g[cost], *(g[k] for k in keys))):
+        least, t = heapq.heappop(load)
+        placed.append((*(g[k] for k in keys), t))
+        heapq.heappush(load, (least + g[cost], t))
+    schema = ", ".join([*(f"`{k}` {groups.schema[k].dataType.simpleString()}" for k in keys), "_own int"])
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int")
+    return groups.join(F.broadcast(spark.createDataFrame(placed, schema)), keys, "left").withColumn("_deal", F.coalesce("_own", hashed)).drop("_own")
+
+
+def grouped_arrow(df: DataFrame, keys: list[str], of_group: Callable[[pa.Table], dict | None], schema: str, deal: str) -> DataFrame:
+    """Applies a function to the rows of each key (integer columns without nulls), streaming through sorted partitions; deal: the column that names a key's partition."""
     names = T._parse_datatype_string(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +166,7 @@ def grouped_arrow(df: DataFrame, keys: list[str], of_group: Callable[[pa.Table],
         if held:
             yield from made(held)
 
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartitionById(partitions(df.sparkSession), deal).drop(deal).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ Texts are sets of five-word shingles (a shorter text with words is one shingle);
 are linked if their Jaccard similarity reaches the threshold, and classes are the connected
 components of links.
 
-1. Every text gets 160 MinHash values; texts that share one of 32 bands of 5 of them are
-   candidates.  A pair of similarity 0.8 has no band in common with probability 3e-6.
-   Texts of one word sequence are one node, and each bucket only joins its nodes to its
-   smallest, so buckets of any size cost a row for each node.
-2. Components of those joins are compared inside: their texts are dealt into blocks of
-   bounded size by a hash, and each pair of blocks is one group, so a component of any size
-   spreads over tasks.
+1. Every text gets 160 MinHash values; texts that share one of 32 bands of 5 of them, a
+   bucket, are candidates.  A pair of similarity 0.8 has no band in common with probability
+   3e-6.  Texts of one word sequence are one node.  Buckets with the same nodes (told by
+   their number and 128 bits of hashes) are one.
+2. A text's home is a block of bounded size: its first bucket, or a part of it by a hash.
+   Two blocks are one group, and are compared, if a bucket has members in both; so
+   texts that only a chain of others connects don't meet, each pair of texts is in one
+   group at most, and a bucket of any size spreads over groups.  Groups are dealt by cost.
 3. In a group, MinHash values are compared 32 at a time.  A pair is dropped as soon as the
    posterior probability (uniform prior, binomial matches) that its similarity reaches the
    threshold is below TOLERANCE.  The rest are verified by exact set intersection.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix64, shingles, word_blocks
-from .frames import components, cut, grouped_arrow, if_small, map_arrow, prepare, stored
+from .frames import BROADCAST_ROWS, components, cut, dealt_by_cost, grouped_arrow, if_small, map_arrow, partitions, prepare, stored
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -41,7 +42,7 @@ HASHES = BANDS * ROWS
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-7
 #: Texts and shingles of a block, on average.
-BLOCK_TEXTS, BLOCK_SHINGLES = 400, 400_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,7 +92,7 @@ def text_key(text: str | Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, _key (the raw text), _node (the word sequence), _half (64 bits of it), _bands."""
+    """doc_id, _key (the raw text), _node (the word sequence), _half (64 bits of it), _n (shingles), _bands."""
 
     def of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         for first, last, words in word_blocks(batch.column("text")):
@@ -100,26 +101,44 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys = band_keys(minhash(hashes, at))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             half = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in names]
-            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "_key": batch.column("_key").slice(first, last - first), "_node": pa.array(names, pa.binary()), "_half": pa.array(half, pa.int64()), "_bands": bands}
+            yield {"doc_id": batch.column("doc_id").slice(first, last - first), "_key": batch.column("_key").slice(first, last - first), "_node": pa.array(names, pa.binary()), "_half": pa.array(half, pa.int64()), "_n": np.diff(at), "_bands": bands}
 
-    return map_arrow(docs.select("doc_id", "text", text_key("text").alias("_key")), of_batch, "doc_id long, _key binary, _node binary, _half long, _bands array<long>")
+    return map_arrow(docs.select("doc_id", "text", text_key("text").alias("_key")), of_batch, "doc_id long, _key binary, _node binary, _half long, _n long, _bands array<long>")
 
 
-def candidate_clusters(rows: DataFrame) -> DataFrame:
-    """(_half, _cluster) of the nodes that share a band with another node."""
+def candidate_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_half, _home) of the nodes that share a bucket with another node; and (_a, _b, _cost) of the homes that share one, _a <= _b."""
     # one row for each word sequence before the bands are spread out
-    once = cut(rows.filter("_node is not null").select("_half", "_bands").dropDuplicates(["_half"]))
-    bands = once.select("_half", F.explode("_bands").alias("_band"))
+    once = cut(rows.filter("_node is not null").select("_half", "_n", "_bands").dropDuplicates(["_half"]))
+    bands = once.select("_half", "_n", F.posexplode("_bands").alias("_pos", "_band"))
+    named = [F.bit_xor(F.xxhash64("_half", F.lit(k))).alias(f"_name{k}") for k in (1, 2)]
+    buckets = bands.groupBy("_band").agg(F.min("_pos").alias("_pos"), F.count("*").alias("_texts"), F.sum("_n").alias("_shingles"), *named).filter("_texts > 1")
+    buckets = buckets.groupBy("_texts", "_shingles", "_name1", "_name2").agg(F.min(F.struct("_pos", "_band")).alias("_first"))
+    parts = F.ceil(F.greatest(F.col("_texts") / BLOCK_TEXTS, F.col("_shingles") / BLOCK_SHINGLES)).cast("int")
     # materialised, so that AQE can split a bucket that holds many texts
-    buckets = cut(bands.groupBy("_band").agg(F.min("_half").alias("_low"), F.max("_half").alias("_high")).filter("_low < _high"))
-    joined = bands.join(buckets.select("_band", "_low"), "_band").filter("_half <> _low")
-    roots = components(joined.select(F.col("_half").alias("u"), F.col("_low").alias("v")).distinct())
-    return roots.select(F.col("node").alias("_half"), F.col("root").alias("_cluster"))
+    buckets = cut(buckets.select("_first._band", parts.alias("_parts")))
+    inside = cut(bands.join(if_small(buckets), "_band").select("_half", "_pos", "_band", "_parts"))
+    first = inside.groupBy("_half").agg(F.min(F.struct("_pos", "_band", "_parts")).alias("_first"))
+    homes = cut(first.select("_half", F.xxhash64("_first._band", F.pmod(F.xxhash64("_half", F.lit(3)), F.col("_first._parts"))).alias("_home")))
+    sizes = cut(homes.groupBy("_home").agg(F.count("*").alias("_size")))
+    met = cut(inside.join(homes, "_half").select("_band", "_home").distinct())
+    # where a bucket's members have one home, or two, the pair is known without a join
+    ends = met.groupBy("_band").agg(F.min("_home").alias("_a"), F.max("_home").alias("_b"), F.count("*").alias("_homes"))
+    several = cut(ends.filter("_homes > 2").select("_band"))
+    many = met.join(if_small(several), "_band")
+    joined = many.select("_band", F.col("_home").alias("_a")).join(many.select("_band", F.col("_home").alias("_b")), "_band").filter("_a < _b")
+    pairs = ends.filter("_a < _b").select("_a", "_b").union(joined.select("_a", "_b")).distinct()
+    sized = lambda side: F.broadcast(of_side(side)) if few else of_side(side)
+    of_side = lambda side: sizes.select(F.col("_home").alias(side), F.col("_size").alias(f"_size{side}"))
+    few = sizes.count() <= BROADCAST_ROWS
+    costs = pairs.join(sized("_a"), "_a").join(sized("_b"), "_b").select("_a", "_b", (F.col("_size_a") * F.col("_size_b")).alias("_cost"))
+    own = sizes.filter("_size > 1").select(F.col("_home").alias("_a"), F.col("_home").alias("_b"), (F.col("_size") * (F.col("_size") - 1) / 2).cast("long").alias("_cost"))
+    return homes, cut(costs.union(own))
 
 
 def compare(group: pa.Table, threshold: Fraction, least: list[int]) -> dict | None:
     """Links inside a pair of blocks: for each linked text its root among them and the rows it is linked with."""
-    block = group.column("_block").to_numpy()
+    block = group.column("_home").to_numpy()
     n = len(block)
     if n < 2:
         return None
@@ -175,61 +194,77 @@ def compare(group: pa.Table, threshold: Fraction, least: list[int]) -> dict | No
     if not len(at):
         return None
     names = group.column("_node")
-    return {"_node": names.take(pa.array(at)).combine_chunks(), "_root": names.take(pa.array([top(i) for i in at.tolist()])).combine_chunks(), "_links": links[at], "_many": group.column("_many").take(pa.array(at)).combine_chunks()}
+    return {"_node": names.take(pa.array(at)).combine_chunks(), "_root": names.take(pa.array([top(i) for i in at.tolist()])).combine_chunks(), "_links": links[at]}
 
 
 def linked_texts(docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """_node, _root, _links, _many (whether its component was compared in several groups) of each text in each group where it has links."""
-    clusters = cut(candidate_clusters(rows))
-    members = rows.filter("_node is not null").join(clusters, "_half").groupBy("_node").agg(F.min("_key").alias("_key"), F.min("_cluster").alias("_cluster"), F.count("*").alias("_copies"))
+    """_node, _root, _links of each text in each group where it has links."""
+    homes, pairs = candidate_blocks(rows)
+    members = rows.filter("_node is not null").join(if_small(homes), "_half").groupBy("_node").agg(F.min("_key").alias("_key"), F.min("_home").alias("_home"), F.count("*").alias("_copies"))
     members = cut(members)
-    texts = docs.select("text", text_key("text").alias("_key")).join(if_small(members), "_key").groupBy("_node", "_cluster", "_copies").agg(F.first("text").alias("text"))
+    texts = docs.select("text", text_key("text").alias("_key")).join(if_small(members), "_key").groupBy("_node", "_home", "_copies").agg(F.first("text").alias("text"))
 
     def of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         for first, last, words in word_blocks(batch.column("text")):
             hashes, at = shingles(words, WIDTH)
             signature = minhash(hashes, at)
             sets = [np.unique(hashes[x:y]) for x, y in zip(at.tolist(), at[1:].tolist())]
-            part = {c: batch.column(c).slice(first, last - first) for c in ("_node", "_cluster", "_copies")}
-            yield part | {"_n": pa.array([len(s) for s in sets], pa.int64()), "_shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "_signature": pa.array([s.tobytes() for s in signature], pa.binary())}
-
-    sets = stored(map_arrow(texts, of_batch, "_node binary, _cluster long, _copies long, _n long, _shingles binary, _signature binary"))
-    sizes = sets.groupBy("_cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("_blocks"), F.count("*").alias("_texts")).filter("_texts > 1")
-    dealt = sets.join(sizes.select("_cluster", "_blocks"), "_cluster").withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    pairs = dealt.withColumn("_other", other).select("_node", "_cluster", "_copies", "_shingles", "_signature", "_block", F.least("_block", "_other").alias("_a"), F.greatest("_block", "_other").alias("_b"), (F.col("_blocks") > 1).alias("_many"))
+            part = {c: batch.column(c).slice(first, last - first) for c in ("_node", "_home", "_copies")}
+            yield part | {"_shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "_signature": pa.array([s.tobytes() for s in signature], pa.binary())}
+
+    sets = stored(map_arrow(texts, of_batch, "_node binary, _home long, _copies long, _shingles binary, _signature binary"))
+    dealt = dealt_by_cost(pairs, "_cost", partitions(docs.sparkSession))
+    sides = cut(dealt.select(F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_home"), "_a", "_b", "_deal"))
     exact, least = Fraction(threshold).limit_denominator(10_000), least_matches(threshold, TOLERANCE)
-    return grouped_arrow(pairs, ["_cluster", "_a", "_b"], lambda g: compare(g, exact, least), "_node binary, _root binary, _links long, _many boolean")
+    return grouped_arrow(sets.join(if_small(sides), "_home"), ["_a", "_b"], lambda g: compare(g, exact, least), "_node binary, _root binary, _links long", "_deal")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links for every row of (doc_id, text); `_key`, the md5 of the raw text, comes along."""
+    """doc_id, class_id, n_links for every row of (doc_id, text).
+
+    Two more columns: `_key`, the md5 of the raw text; and `_stays`, whether the row has the
+    doc_id and text of the one that stands for its class (the smallest doc_id, nulls last, then
+    the smallest key), null for a text without words.
+    """
     prepare(docs.sparkSession)
     rows = stored(sketches(docs))
     found = cut(linked_texts(docs, rows, threshold))
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
-    several = found.filter("_many").select(F.col("_node").alias("u"), F.col("_root").alias("v"))
-    whole = found.filter("not _many").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
-    roots = whole.union(components(several)) if several.head(1) else whole
-    texts = rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_copies"), F.min("doc_id").alias("_first"))
-    texts = texts.join(roots.distinct(), F.col("_node") == F.col("node"), "left").join(links, "_node", "left")
+    roots = components(found.select(F.col("_node").alias("u"), F.col("_root").alias("v")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("_first")
+    texts = rows.filter("_node is not null").groupBy("_node").agg(F.count("*").alias("_copies"), first)
+    texts = texts.join(if_small(cut(roots.distinct())), F.col("_node") == F.col("node"), "left").join(if_small(cut(links)), "_node", "left")
     texts = cut(texts.select("_node", F.coalesce("root", "_node").alias("_root"), "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links")))
-    classes = cut(texts.groupBy("_root").agg(F.min("_first").alias("class_id")))
-    named = texts.join(classes, "_root").select("_node", "class_id", "n_links")
+    # classes of one node need no join
+    classes = cut(texts.groupBy("_root").agg(F.min("_first").alias("_class"), F.count("*").alias("_nodes")).filter("_nodes > 1").drop("_nodes"))
+    named = texts.join(if_small(classes), "_root", "left").select("_node", F.coalesce("_class", "_first").alias("_class"), "n_links")
     out = rows.select("doc_id", "_key", "_node").join(named, "_node", "left")
     alone = F.col("_node").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_key")
+    stays = F.when(~alone, F.col("doc_id").eqNullSafe(F.col("_class.doc_id")) & (F.col("_key") == F.col("_class._key")))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_class.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_key", stays.alias("_stays"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: the one with the smallest doc_id; rows without words or doc_id all stay."""
-    found = near_duplicates(docs, threshold)
-    gone = cut(found.filter("doc_id <> class_id").select("doc_id", "_key"))
-    twice = cut(found.filter("doc_id = class_id and n_links > 0").groupBy("doc_id", "_key").count().filter("count > 1").select("doc_id", "_key"))
+    """docs with one row of each class, whether ids repeat or are null: that of the smallest doc_id, nulls last.
+
+    Texts without words that are equal byte for byte are a class here; null and empty texts all stay.
+    """
+    found = cut(near_duplicates(docs, threshold).select("doc_id", "_key", "_stays"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    empty = text_key(F.lit(""))
+    wordless = found.filter(F.col("_stays").isNull() & (F.col("_key") != empty)).groupBy("_key").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    wordless = cut(wordless.select("_key", "_first.doc_id"))
     # the row in one column, so that no name of its columns can clash
-    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", text_key("text").alias("_key"))
-    kept = keyed.join(if_small(gone), ["doc_id", "_key"], "left_anti")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_key("text").alias("_key"))
+    same = lambda other: F.col("_id").eqNullSafe(other["_id2"]) & (F.col("_key") == other["_key2"])
+    pair = [F.col("doc_id").alias("_id2"), F.col("_key").alias("_key2")]
+    of_wordless = found.filter("_stays is null").select("doc_id", "_key").join(if_small(wordless.select("_key", F.col("doc_id").alias("_least"))), "_key").filter(~F.col("doc_id").eqNullSafe(F.col("_least")))
+    gone = cut(found.filter("not _stays").select(*pair).union(of_wordless.select(*pair)).distinct())
+    twice = cut(found.filter("_stays").groupBy("doc_id", "_key").count().filter("count > 1").select(*pair).union(wordless.select(*pair)))
+    small = if_small(gone)
+    kept = keyed.join(small, same(gone), "left_anti")
     if not twice.head(1):
         return kept.select("_row.*")
-    once = kept.join(twice, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return kept.join(twice, ["doc_id", "_key"], "left_anti").unionByName(once).select("_row.*")
+    # one of the rows that share both id and text
+    once = kept.join(if_small(twice), same(twice), "left_semi").groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+    return kept.join(if_small(twice), same(twice), "left_anti").select("_row.*").unionByName(once.select("_row.*"))
