@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import is_ascii, percent_decode
+
 # The signature rules, by family.
 SQLI_RULES = {
     "union_select": r"\bunion\b.{0,40}\bselect\b",
@@ -46,9 +51,28 @@ def any_of(patterns: list[str], flags: str = _FLAGS) -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
+#: Strings of which an ASCII text holds one, in lower case, if a rule of the family matches; in a group, all of them.
+SQLI_MARKS = [["union", "select"], ["or", "="], ["--"], ["#"], ["drop"], ["select", "from"], ["sleep"], ["xp_cmdshell"], ["information_schema"], ["having", "="]]
+XSS_MARKS = [["<", "script"], ["alert"], ["javascript"], ["<", "img"], ["<", "svg"], ["iframe"], ["document.cookie"], ["<", "body"]]
+
+
+def _matches(text: Column, rules: dict[str, str], marks: list[list[str]]) -> Column:
+    """Whether a rule matches; the patterns only see texts that hold a mark, and Unicode classes only texts that need them."""
+
+    def marked(lower: Column) -> Column:
+        groups = [reduce(and_, [lower.contains(m) for m in group]) for group in marks]
+        return reduce(or_, groups)
+
+    patterns = list(rules.values())
+    # in an array of one, so that the text is lower-cased once
+    ascii_hit = F.exists(F.array(F.lower(text)), marked) & text.rlike(any_of(patterns, "(?id)"))
+    return F.when(is_ascii(text), ascii_hit).otherwise(text.rlike(any_of(patterns)))
+
+
 def signature(text: Column) -> Column:
     """'sqli', else 'xss', else 'benign'; null for null."""
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(any_of(list(SQLI_RULES.values()))), "sqli").when(text.rlike(any_of(list(XSS_RULES.values()))), "xss").otherwise("benign")
+    sqli, xss = _matches(text, SQLI_RULES, SQLI_MARKS), _matches(text, XSS_RULES, XSS_MARKS)
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(sqli, "sqli").when(xss, "xss").otherwise("benign")
 
 
 def signature_hits(text: Column) -> Column:
@@ -80,6 +104,11 @@ def agent_reason(agent: Column) -> Column:
     return F.when(scanner, F.concat(F.lit("scanner_user_agent:"), F.left(agent, F.lit(60)))).when(library, F.concat(F.lit("low_confidence_ua:"), F.left(agent, F.lit(40))))
 
 
+def path_of(rel_url: Column) -> Column:
+    """A URL's path, without query and fragment."""
+    return F.regexp_extract(rel_url, "^[^?#]*", 0)
+
+
 def path_reason(path: Column) -> Column:
     return F.when(path.rlike(any_of(SENSITIVE_PATHS, "(?i)")), F.concat(F.lit("sensitive_path:"), F.left(path, F.lit(80))))
 
@@ -143,7 +172,5 @@ def header_texts(headers: Column) -> Column:
 
 def inspectable_texts(path_qs: Column, body: Column, content_type: Column) -> Column:
     """The decoded URL, and the body if there is one (decoded if it is a form)."""
-    from .text import percent_decode
-
     shown = F.when(F.coalesce(F.lower(content_type), F.lit("")).contains("application/x-www-form-urlencoded"), percent_decode(body)).otherwise(body)
     return F.array_compact(F.array(percent_decode(path_qs), F.when(F.coalesce(F.length(body), F.lit(0)) > 0, shown)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The token alternatives, in order of preference.
 TOKEN_PATTERN = r"""(?U)(%[0-9A-Fa-f]{2}|</?[a-zA-Z][\w-]*|-{2,}|/\*!?\d*|\*/|\b[a-zA-Z_][a-zA-Z0-9_]*\b|\d+|[='"<>();])"""
-IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+#: The same tokens of an ASCII text, where no two alternatives can begin at one character but '<'.
+ASCII_TOKEN_PATTERN = r"""(\b[a-zA-Z_][a-zA-Z0-9_]*+|\d++|%[0-9A-Fa-f]{2}|</?[a-zA-Z][\w-]*+|-{2,}+|/\*!?\d*+|\*/|[='"<>();])"""
 
 
 def percent_decode(text: Column) -> Column:
@@ -35,8 +36,14 @@ def ascii_fold(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Security tokens of a payload; plain identifiers are lower-cased, tags keep their case."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1))
-    return F.transform(tokens, lambda t: F.when(t.rlike(IDENTIFIER), F.lower(t)).otherwise(t))
+    of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    tokens = F.when(is_ascii(text), of(ASCII_TOKEN_PATTERN)).otherwise(of(TOKEN_PATTERN))
+    # only identifiers begin with a letter or '_'; digits have no case
+    return F.transform(tokens, lambda t: F.when(F.ascii(t) >= 65, F.lower(t)).otherwise(t))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def one_two_grams(tokens: Column) -> Column:

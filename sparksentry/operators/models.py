@@ -1,66 +1,205 @@
-"""TF-IDF over security tokens in long form, and the three linear models."""
+"""TF-IDF over security tokens, a row a document, and the three linear models.
+
+A document's terms are counted inside its row, by Arrow batches, so no term of the corpus
+is shuffled but the vocabulary's partial counts.  Models are fitted by Spark; a fitted model
+is a small table of weights (at most MAX_FEATURES terms for each label and fold), which is
+broadcast and scores a document in its row.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import one_two_grams, tokenize
+from ..functions.text import tokenize
+from ..sources.scratch import bounded_batches
 
 MAX_FEATURES = 4000
+#: Tokens whose terms are counted together.
+SLICE_TOKENS = 500_000
+
+
+def tokens(df: DataFrame, id: str = "id", text: str = "text", tokenizer: Callable[[Column], Column] = tokenize, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, tokens and the kept columns; tokenizer: from a text to an array of strings.  A null text has no tokens."""
+    bounded_batches(df.sparkSession)
+    none = F.array().cast("array<string>")
+    return df.select(F.col(id).alias("id"), F.coalesce(tokenizer(F.col(text)), none).alias("tokens"), *keep)
+
+
+def row_terms(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct 1-grams and 2-grams of some rows; and row, term and count of each that a row holds, by row."""
+    sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    inside = row[1:] == row[:-1]
+    pair, which = np.unique(code[:-1][inside] * max(len(words), 1) + code[1:][inside], return_inverse=True)
+    first, second = (words.take(pa.array(x)) for x in (pair // max(len(words), 1), pair % max(len(words), 1)))
+    names = pa.concat_arrays([words, pc.binary_join_element_wise(first, second, " ")])
+    width = max(len(names), 1)
+    key = np.concatenate([row * width + code, row[1:][inside] * width + len(words) + which])
+    key, n = np.unique(key, return_counts=True)
+    return names, key // width, key % width, n
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE_TOKENS tokens; a longer row stands alone."""
+    ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_TOKENS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def fit_vocabulary(tokenised: DataFrame, docs: int, most: int = MAX_FEATURES) -> DataFrame:
+    """term, df, total, idf of the terms with the largest totals (ties: smaller term)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                names, _, term, n = row_terms(part.column("tokens"))
+                df, total = np.bincount(term, minlength=len(names)), np.bincount(term, n, len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([names, pa.array(df, pa.int64()), pa.array(total)], ["term", "df", "total"])
 
-def terms(df: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """id, term, n for every 1-gram and 2-gram of a text."""
-    return df.select(F.col(id).alias("id"), F.explode(one_two_grams(tokenize(F.col(text)))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-
-
-def fit_vocabulary(counted: DataFrame, docs: int, most: int = MAX_FEATURES) -> DataFrame:
-    """term, df, total, idf of the terms with the largest totals (ties: smaller term)."""
-    per_term = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    per_term = tokenised.select("tokens").mapInArrow(run, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     top = per_term.orderBy(F.desc("total"), "term").limit(most)
     return top.withColumn("idf", F.log(F.lit(1.0 + docs) / (1.0 + F.col("df"))) + 1.0)
 
 
-def transform(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """id, term, w: sublinear tf times idf, of Euclidean length 1 for each text; unknown terms drop out."""
-    raw = counted.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", (1.0 + F.log("n")) * F.col("idf"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+@dataclass
+class Vocabulary:
+    """Terms in ascending order, and their idf."""
+
+    terms: list[str]
+    idf: np.ndarray
+
+    def weigh(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number and weight of each known term that a row holds: sublinear tf times idf, of Euclidean length 1 for each row."""
+        names, row, term, n = row_terms(tokens)
+        known = pc.fill_null(pc.index_in(names, value_set=pa.array(self.terms, names.type)), -1).to_numpy(zero_copy_only=False)
+        number = known[term] if len(term) else np.zeros(0, np.int64)
+        row, number, n = row[number >= 0], number[number >= 0], n[number >= 0]
+        order = np.lexsort((number, row))
+        row, number, n = row[order], number[order].astype(np.int64), n[order]
+        w = (1.0 + np.log(n)) * self.idf[number]
+        norm = np.sqrt(np.bincount(row, w * w, len(tokens)))
+        return row, number, w / norm[row]
+
+
+def collected(vocabulary: DataFrame) -> Vocabulary:
+    rows = vocabulary.select("term", "idf").collect()  # at most MAX_FEATURES
+    rows.sort(key=lambda r: r["term"].encode())
+    return Vocabulary([r["term"] for r in rows], np.array([r["idf"] for r in rows], float))
+
+
+def transform(tokenised: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, indices (term numbers, ascending), weights, and the kept columns, for every row."""
+    shared = tokenised.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["id", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                row, number, w = shared.value.weigh(part.column("tokens"))
+                at = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(w))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *lists], [*names, "indices", "weights"])
+
+    kept = ", ".join(f"`{c}` {tokenised.schema[c].dataType.simpleString()}" for c in names)
+    return tokenised.select(*names, "tokens").mapInArrow(run, f"{kept}, indices array<int>, weights array<double>")
+
+
+def vectors(weighted: DataFrame, size: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The kept columns and features: sparse vectors for the ML estimators."""
+    schema = StructType([*(weighted.schema[c] for c in keep), StructField("features", VectorUDT())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), batch.column("indices"), batch.column("weights")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])], [*keep, "features"])
+
+    return weighted.select(*keep, "indices", "weights").mapInArrow(run, schema)
+
+
+def nb_fit(weighted: DataFrame, vocabulary: Vocabulary, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(number, term, label, logp) and (label, prior): multinomial naive Bayes on (indices, weights, label), prior unsmoothed; rows without a label play no part."""
+    rows = weighted.filter("label is not null")
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).cache()  # a few labels
+    n, size = counts.agg(F.sum("n")).first()[0] or 1, len(vocabulary.terms)
+    prior = counts.select("label", F.log(F.col("n") / F.lit(n)).alias("prior"))
+    sums = rows.select("label", F.explode(F.arrays_zip("indices", "weights")).alias("e")).groupBy("label", F.col("e.indices").alias("number")).agg(F.sum("e.weights").alias("s"))
+    terms = rows.sparkSession.createDataFrame(list(enumerate(vocabulary.terms)), "number int, term string")
+    grid = counts.select("label", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("number")).join(F.broadcast(terms), "number")
+    smooth = grid.join(sums, ["label", "number"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    totals = smooth.groupBy("label").agg(F.sum("s").alias("t"))
+    logp = F.log((F.col("s") + alpha) / (F.col("t") + alpha * size)).alias("logp")
+    return smooth.join(F.broadcast(totals), "label").select("number", "term", "label", logp), prior
+
 
+@dataclass
+class Linear:
+    """A fitted model: weights[part, label, term] and offsets[part, label]; labels ascend.
 
-def nb_fit(weights: DataFrame, labels: DataFrame, vocabulary: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(term, label, logp) and (label, prior): multinomial naive Bayes on weights, prior unsmoothed."""
-    n = labels.count()
-    prior = labels.groupBy("label").agg(F.log(F.count("*") / F.lit(n)).alias("prior"))
-    sums = weights.join(labels, "id").groupBy("label", "term").agg(F.sum("w").alias("s"))
-    grid = F.broadcast(prior.select("label")).crossJoin(F.broadcast(vocabulary.select("term")))  # labels times at most MAX_FEATURES terms
-    size = vocabulary.count()
-    smooth = grid.join(sums, ["label", "term"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    totals = smooth.groupBy("label").agg(F.sum("s").alias("t"))
-    return smooth.join(F.broadcast(totals), "label").select("term", "label", F.log((F.col("s") + alpha) / (F.col("t") + alpha * size)).alias("logp")), prior
+    Without slopes the one part's largest margin wins.  With slopes, every part's margins
+    become probabilities (sigmoid of slope * margin + shift, normalised), which are summed.
+    """
 
+    vocabulary: Vocabulary
+    labels: list[str]
+    weights: np.ndarray
+    offsets: np.ndarray
+    slopes: np.ndarray | None = None
+    shifts: np.ndarray | None = None
 
-def nb_predict(weights: DataFrame, ids: DataFrame, model: DataFrame, prior: DataFrame) -> DataFrame:
-    """id, predicted; texts without a known term fall back on the prior. Ties: smaller label."""
-    scored = weights.join(F.broadcast(model), "term").groupBy("id", "label").agg(F.sum(F.col("w") * F.col("logp")).alias("s"))
-    all_labels = ids.select("id").crossJoin(F.broadcast(prior))  # a row for each label, of which there are a few
-    total = all_labels.join(scored, ["id", "label"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.col("prior"))
-    best = F.max_by("label", F.struct(F.round("s", 9), -F.conv(F.hex(F.substring("label", 1, 6)), 16, 10).cast("long")))
-    return total.groupBy("id").agg(best.alias("predicted"))
+    def choose(self, tokens: pa.Array) -> np.ndarray:
+        """The number of each row's label; ties: the smaller label."""
+        row, number, w = self.vocabulary.weigh(tokens)
+        flat = self.weights.reshape(-1, self.weights.shape[2]).T
+        margin = np.zeros((len(tokens), flat.shape[1]))
+        if len(row):
+            begins = np.flatnonzero(np.diff(row, prepend=-1))
+            margin[row[begins]] = np.add.reduceat(flat[number] * w[:, None], begins, axis=0)
+        margin = margin.reshape(len(tokens), *self.offsets.shape) + self.offsets
+        if self.slopes is not None:
+            p = 1 / (1 + np.exp(-np.clip(self.slopes * margin + self.shifts, -500, 500)))
+            margin = p / np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
+        return margin.sum(axis=1).round(9).argmax(axis=1)
 
+    def label_rows(self, tokens: pa.Array) -> pa.Array:
+        return pa.array(self.labels, pa.string()).take(pa.array(self.choose(tokens)))
 
-def vectors(weights: DataFrame, ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """id, features: sparse vectors for the ML estimators."""
-    index = {r[0]: i for i, r in enumerate(vocabulary.select("term").orderBy("term").collect())}  # at most MAX_FEATURES
-    numbers = weights.sparkSession.createDataFrame(list(index.items()) or [("", 0)], "term string, i int")
-    grouped = weights.join(F.broadcast(numbers), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"))
-    size = max(1, len(index))
-    build = F.udf(lambda e: SparseVector(size, [x[0] for x in e or ()], [float(x[1]) for x in e or ()]), VectorUDT())
-    return ids.select("id").join(grouped, "id", "left").select("id", build("e").alias("features"))
+
+def predict(tokenised: DataFrame, model: Linear) -> DataFrame:
+    """id, predicted for every row."""
+    shared = tokenised.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("id"), shared.value.label_rows(part.column("tokens"))], ["id", "predicted"])
+
+    return tokenised.select("id", "tokens").mapInArrow(run, f"id {tokenised.schema['id'].dataType.simpleString()}, predicted string")
+
+
+def nb_model(model: DataFrame, prior: DataFrame, vocabulary: Vocabulary) -> Linear:
+    offsets = {r["label"]: r["prior"] for r in prior.collect()}
+    labels = sorted(offsets)
+    weights = np.zeros((1, len(labels), len(vocabulary.terms)))
+    for r in model.select("number", "label", "logp").collect():  # labels times at most MAX_FEATURES
+        weights[0, labels.index(r["label"]), r["number"]] = r["logp"]
+    return Linear(vocabulary, labels, weights, np.array([[offsets[x] for x in labels]]))
 
 
 def logistic(c: float = 10.0, n: float = 1, max_iter: int = 1000) -> LogisticRegression:
@@ -68,67 +207,46 @@ def logistic(c: float = 10.0, n: float = 1, max_iter: int = 1000) -> LogisticReg
     return LogisticRegression(family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
-def fit_logistic(train: DataFrame, c: float = 10.0, max_iter: int = 100):
-    """train: features, label and, if rows stand for several, weight."""
-    if "weight" not in train.columns:
-        return logistic(c, train.count(), max_iter).fit(train)
-    return logistic(c, train.agg(F.sum("weight")).first()[0], max_iter).setWeightCol("weight").fit(train)
+def fit_logistic(train: DataFrame, vocabulary: Vocabulary, labels: list[str], c: float = 10.0, max_iter: int = 1000) -> Linear:
+    """train: features and label (a label's number)."""
+    fitted = logistic(c, train.count(), max_iter).fit(train)
+    weights, offsets = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    # numbers above the largest in train have no row
+    return Linear(vocabulary, labels[: len(weights)], weights[None], offsets[None])
 
 
-class CalibratedSVM:
-    """One-vs-rest linear SVMs over three stratified folds, each calibrated by a sigmoid; probabilities are averaged."""
+def fit_svm(train: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: int = 3, c: float = 1.0, max_iter: int = 30) -> Linear:
+    """One-vs-rest linear SVMs over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
 
-    def __init__(self, labels: int, folds: int = 3, c: float = 1.0, max_iter: int = 30):
-        self.labels, self.folds, self.c, self.max_iter = labels, folds, c, max_iter
-        self.parts: list[list[tuple]] = []
-
-    def fit(self, train: DataFrame) -> CalibratedSVM:
-        """train: id, features, label (double) and, if rows stand for several, weight."""
-        from pyspark.sql.window import Window
-
-        weighted = train if "weight" in train.columns else train.withColumn("weight", F.lit(1.0))
-        folded = weighted.withColumn("_fold", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"))) % self.folds)
+    train: id, features, label (a label's number).  A row's fold is a hash of its id, so folds
+    hold each label's share in expectation, and no class passes through one task.
+    """
+    folded = train.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds))).cache()
+    sizes = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}
+    parts = []
+    for k in sorted(sizes):
+        # a single fold is fitted and calibrated on itself
+        own = folded.filter(F.col("_fold") != k) if len(sizes) > 1 else folded
+        n = sum(m for f, m in sizes.items() if f != k) or sizes[k]
         # each of the many passes is one job: no more tasks than rows give work for
-        folded = folded.coalesce(max(1, min(train.sparkSession.sparkContext.defaultParallelism, train.count() // 50_000 + 1))).cache()
-        for k in range(self.folds):
-            own, held, part = folded.filter(F.col("_fold") != k), folded.filter(F.col("_fold") == k), []
-            n = own.agg(F.sum("weight")).first()[0] or 1.0
-            for y in range(self.labels):
-                one = lambda df: df.select("features", "weight", (F.col("label") == y).cast("double").alias("label"))  # noqa: E731, B023
-                svm = LinearSVC(regParam=1.0 / (self.c * n), weightCol="weight", maxIter=self.max_iter, standardization=False).fit(one(own))
-                margin = svm.transform(one(held)).select(array_to_vector(F.array(_margin())).alias("features"), "label", "weight")
-                part.append((svm, LogisticRegression(maxIter=50, weightCol="weight").fit(margin)))
-            self.parts.append(part)
-        folded.unpersist()
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """id, prediction."""
-        sums = [F.lit(0.0)] * self.labels
-        out = df
-        for k, part in enumerate(self.parts):
-            raw = []
-            for y, (svm, platt) in enumerate(part):
-                out = svm.setRawPredictionCol(f"_r{k}_{y}").setPredictionCol(f"_p{k}_{y}").transform(out)
-                z = _margin(f"_r{k}_{y}") * float(platt.coefficients[0]) + float(platt.intercept)
-                raw.append(1.0 / (1.0 + F.exp(-z)))
-            total = sum(raw[1:], raw[0])
-            sums = [s + r / total for s, r in zip(sums, raw)]
-        best = F.greatest(*sums)
-        pick = F.lit(None).cast("double")
-        for y in reversed(range(self.labels)):
-            pick = F.when(sums[y] == best, float(y)).otherwise(pick)
-        return out.withColumn("prediction", pick).select("id", "prediction")
-
-
-def _margin(name: str = "rawPrediction"):
+        few = lambda df, rows: df.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000 + 1)))
+        part = []
+        for y in range(len(labels)):
+            one = lambda df: df.select("features", (F.col("label") == y).cast("double").alias("label"))  # noqa: E731, B023
+            svm = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(few(one(own), n))
+            margin = svm.transform(few(one(folded.filter(F.col("_fold") == k)), sizes[k])).select(array_to_vector(F.array(_margin())).alias("features"), "label")
+            sigmoid = LogisticRegression(maxIter=50).fit(margin)
+            part.append((svm.coefficients.toArray(), svm.intercept, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
+        parts.append(part)
+    folded.unpersist()
+    weights, offsets, slopes, shifts = (np.array([[p[i] for p in part] for part in parts], float) for i in range(4))
+    return Linear(vocabulary, labels, weights, offsets, slopes, np.clip(shifts, -500, 500))
+
+
+def _margin(name: str = "rawPrediction") -> Column:
     from pyspark.ml.functions import vector_to_array
 
     return vector_to_array(F.col(name))[1]
 
 
-def one_vs_rest_svm(max_iter: int = 30) -> OneVsRest:
-    return OneVsRest(classifier=LinearSVC(maxIter=max_iter))
-
-
-MODELS = {"naive_bayes": nb_fit, "logistic_regression": fit_logistic, "svm": CalibratedSVM}
+MODELS = ("naive_bayes", "logistic_regression", "svm")

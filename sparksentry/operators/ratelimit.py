@@ -44,8 +44,10 @@ class Client:
 
 
 def rate_limit(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """id, ip, status, seconds_banned for every row of (id, ip, ts, weight); a null weight is no offence.
+    """id, ip, status, seconds_banned for every row of (id, ip, ts, weight).
 
+    A null weight is no offence, so the row only looks at the ban.  A null ts can't be placed in
+    time: its row passes, with no seconds, and changes nothing.  Null clients are one client.
     Rows are partitioned by client, sorted by (ts, id) and streamed through one state, so a
     client's offences are never gathered: memory is bounded by the window's threshold.
     """
@@ -58,8 +60,8 @@ def rate_limit(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for ip, us, weight in zip(batch.column("ip").to_pylist(), batch.column("us").to_pylist(), batch.column("weight").to_pylist()):
                 if ip != own:
                     own, state = ip, Client()
-                status.append(state.step(us, weight, limits))
-                left.append(max(0, state.until - us) // 1_000_000)
+                status.append("passed" if us is None else state.step(us, weight, limits))
+                left.append(0 if us is None else max(0, state.until - us) // 1_000_000)
             yield pa.RecordBatch.from_arrays([ids, batch.column("ip"), pa.array(status, pa.string()), pa.array(left, pa.int64())], ["id", "ip", "status", "seconds_banned"])
 
     kind = slim.schema["id"].dataType.simpleString()

@@ -1,102 +1,100 @@
-"""Text classifiers with their vocabulary: fit, predict, save to a folder and load again.
+"""Text classifiers with their vocabulary: fit, predict, vote as a detector, save to a folder and load again.
 
-A folder holds one subfolder for each model: its labels and vocabulary as Parquet, and either
-naive Bayes tables or the ML library's own format.  It must be one that all executors share.
+A folder holds one Parquet table of one row for each model: labels, terms, idf and the
+weights, at most MAX_FEATURES numbers for each label and fold.  It must be a folder that all
+executors share.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
+from ..sources.scratch import stored
 from . import models
 
 NAMES = list(models.MODELS)
+_SCHEMA = "labels array<string>, terms array<string>, idf array<double>, parts int, weights array<double>, offsets array<double>, slopes array<double>, shifts array<double>"
 
 
 @dataclass
 class TextClassifier:
-    """labels: sorted; fitted: (terms, priors) of naive Bayes, else a model over vectors that predicts label numbers."""
-
     name: str
-    labels: list[str]
-    vocabulary: DataFrame
-    fitted: tuple[DataFrame, DataFrame] | LogisticRegressionModel | models.CalibratedSVM
+    model: models.Linear
+    tokenizer: Callable[[Column], Column] = tokenize
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """id, predicted for every row of (id, text); a text without known terms, or a null one, gets what the model says of none."""
-        weights = models.transform(models.terms(docs), self.vocabulary)
-        if self.name == "naive_bayes":
-            return models.nb_predict(weights, docs, *self.fitted)
-        found = self.fitted.transform(models.vectors(weights, docs, self.vocabulary))
-        return found.select("id", F.element_at(F.array(*map(F.lit, self.labels)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
+        return models.predict(models.tokens(docs, tokenizer=self.tokenizer), self.model)
+
+    def of_texts(self, texts: Column) -> Column:
+        """The label of each text of an array, for the ensemble; null for null."""
+        model = self.model
+
+        def label(tokens: pa.Array) -> pa.Array:
+            rows = tokens.flatten()
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            mask = pa.compute.is_null(tokens) if tokens.null_count else None
+            return pa.ListArray.from_arrays(pa.array(at), model.label_rows(rows), mask=mask)
+
+        # Arrow UDFs know their kind by these hints
+        label.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
+        return F.arrow_udf(label, "array<string>")(F.transform(texts, self.tokenizer))
 
     def save(self, folder: str) -> None:
-        path = f"{folder}/{self.name}"
-        spark = self.vocabulary.sparkSession
-        tables = {"vocabulary": self.vocabulary, "labels": spark.createDataFrame(list(enumerate(self.labels)), "number int, label string")}
-        if self.name == "naive_bayes":
-            tables |= dict(zip(("terms", "priors"), self.fitted))
-        elif self.name == "logistic_regression":
-            self.fitted.write().overwrite().save(f"{path}/model")
-        else:
-            for k, part in enumerate(self.fitted.parts):
-                for y, (svm, sigmoid) in enumerate(part):
-                    svm.write().overwrite().save(f"{path}/svm_{k}_{y}")
-                    sigmoid.write().overwrite().save(f"{path}/sigmoid_{k}_{y}")
-            tables["folds"] = spark.range(len(self.fitted.parts))
-        for name, df in tables.items():
-            df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def fit(name: str, docs: DataFrame) -> TextClassifier:
+        m = self.model
+        flat = lambda x: None if x is None else x.ravel().tolist()
+        row = (m.labels, m.vocabulary.terms, flat(m.vocabulary.idf), len(m.weights), flat(m.weights), flat(m.offsets), flat(m.slopes), flat(m.shifts))
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([row], _SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{self.name}")
+
+
+def fit(name: str, docs: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> TextClassifier:
     """Fits on the rows of (id, text, label) that have a text and a label; ValueError for an unknown name."""
-    return train_all(docs, [name])[name]
+    return train_all(docs, [name], tokenizer)[name]
 
 
-def train_all(docs: DataFrame, names: list[str] | None = None) -> dict[str, TextClassifier]:
+def train_all(docs: DataFrame, names: list[str] | None = None, tokenizer: Callable[[Column], Column] = tokenize) -> dict[str, TextClassifier]:
     """The named models (all by default) over one vocabulary and one table of weights."""
     if unknown := set(names or ()) - set(NAMES):
         raise ValueError(f"unknown models {sorted(unknown)}; known are {NAMES}")
     docs = docs.select("id", "text", F.col("label").cast("string").alias("label")).na.drop()
-    counted = models.terms(docs)
-    vocabulary = models.fit_vocabulary(counted, docs.count()).cache()
-    weights = models.transform(counted, vocabulary)
-    labels = [r["label"] for r in docs.select("label").distinct().orderBy("label").collect()]
-    out: dict[str, TextClassifier] = {}
-    train = None
-    for name in names or NAMES:
-        if name == "naive_bayes":
-            fitted = models.nb_fit(weights, docs.select("id", "label"), vocabulary)
-        else:
-            if train is None:
-                number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
-                train = models.vectors(weights, docs, vocabulary).join(docs.select("id", number.alias("label")), "id").cache()
-            fitted = models.fit_logistic(train) if name == "logistic_regression" else models.CalibratedSVM(len(labels)).fit(train)
-        out[name] = TextClassifier(name, labels, vocabulary, fitted)
-    return out
+    tokenised = stored(models.tokens(docs, tokenizer=tokenizer, keep=("label",)))
+    vocabulary = models.collected(models.fit_vocabulary(tokenised, tokenised.count()))
+    weighted = stored(models.transform(tokenised, vocabulary, ("label",)))
+    return {name: TextClassifier(name, fit_weighted(name, weighted, vocabulary), tokenizer) for name in names or NAMES}
+
+
+def fit_weighted(name: str, weighted: DataFrame, vocabulary: models.Vocabulary, max_iter: int | None = None) -> models.Linear:
+    """The named model on (id, indices, weights, label); rows without a label play no part."""
+    if name == "naive_bayes":
+        return models.nb_model(*models.nb_fit(weighted, vocabulary), vocabulary)
+    rows = weighted.filter("label is not null")
+    labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]  # a few
+    number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
+    train = models.vectors(rows, len(vocabulary.terms), ("id", "label")).withColumn("label", number)
+    limit = {} if max_iter is None else {"max_iter": max_iter}
+    return {"logistic_regression": models.fit_logistic, "svm": models.fit_svm}[name](train, vocabulary, labels, **limit)
 
 
 def load(spark: SparkSession, name: str, folder: str) -> TextClassifier:
     """The saved model; FileNotFoundError if it wasn't saved there."""
-    path = f"{folder}/{name}"
     try:
-        vocabulary = spark.read.parquet(f"{path}/vocabulary")
+        r = spark.read.parquet(f"{folder}/{name}").first()
     except AnalysisException as e:
         raise FileNotFoundError(f"no model {name} in {folder}: train and save it first") from e
-    labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("number").collect()]
-    if name == "naive_bayes":
-        fitted = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors")
-    elif name == "logistic_regression":
-        fitted = LogisticRegressionModel.load(f"{path}/model")
-    else:
-        fitted = models.CalibratedSVM(len(labels), spark.read.parquet(f"{path}/folds").count())
-        fitted.parts = [[(LinearSVCModel.load(f"{path}/svm_{k}_{y}"), LogisticRegressionModel.load(f"{path}/sigmoid_{k}_{y}")) for y in range(len(labels))] for k in range(fitted.folds)]
-    return TextClassifier(name, labels, vocabulary, fitted)
+    shape = (r["parts"], len(r["labels"]))
+    shaped = lambda x, *more: None if x is None else np.array(x, float).reshape(*shape, *more)
+    vocabulary = models.Vocabulary(list(r["terms"]), np.array(r["idf"], float))
+    return TextClassifier(name, models.Linear(vocabulary, list(r["labels"]), shaped(r["weights"], len(r["terms"])), shaped(r["offsets"]), shaped(r["slopes"]), shaped(r["shifts"])))
 
 
 def load_all(spark: SparkSession, folder: str) -> dict[str, TextClassifier]:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ..functions import rules
+from ..functions.text import TOKEN_PATTERN
+from ..operators import decision
+from ..functions.augment import KEYWORD_PATTERN, STAND_INS
+from ..sources import corpus
 from ..sources.corpus import LABELS, SQLI_LABELS, XSS_LABELS
-from ..sources.views import ALLOWED, DENIED, PAYLOADS_SQL, REQUESTS_SQL, TRUSTED, _sql
-from .queries import NOISY_LABELS
+from ..sources.views import ADMIN_URLS, ADMINS, ALLOWED, DENIED, PAYLOADS_SQL, REQUESTS_SQL, TRUSTED, WEBSOCKET_PATHS, _sql, _sql_pick
+from .queries import LIMITS, NOISY_LABELS, SETTINGS
 
 
 def _list(values) -> str:
@@ -30,7 +34,7 @@ def _anomaly(t: str) -> str:
 
 
 FOLDED = r"SELECT doc_id AS id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text, lang FROM documents"
-_PATTERN = r"""(%[0-9A-Fa-f]{2}|</?[a-zA-Z][\w-]*|-{2,}|/\*!?\d*|\*/|\b[a-zA-Z_][a-zA-Z0-9_]*\b|\d+|[=''"<>();])"""
+_PATTERN = TOKEN_PATTERN.removeprefix("(?U)").replace("'", "''")
 TOKENS = f"list_transform(regexp_extract_all(text, '{_PATTERN}', 1), lambda t: CASE WHEN regexp_matches(t, '^[a-zA-Z_][a-zA-Z0-9_]*$') THEN lower(t) ELSE t END)"
 GRAMS = f"SELECT id, unnest(t || [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) AS term FROM (SELECT id, {TOKENS} AS t FROM ({FOLDED}))"
 _TFIDF = f"""counted AS MATERIALIZED (SELECT id, term, count(*) AS n FROM ({GRAMS}) GROUP BY ALL),
@@ -48,8 +52,9 @@ best AS (SELECT d.doc_id AS id, p.label, row_number() OVER (PARTITION BY d.doc_i
 _AGENT = f"CASE WHEN {_any('user_agent', rules.SCANNER_AGENTS)} THEN 'scanner_user_agent:' || left(user_agent, 60) WHEN {_any('user_agent', rules.LIBRARY_AGENTS)} THEN 'low_confidence_ua:' || left(user_agent, 40) END"
 _PLAIN_PATHS = [p for p in rules.SENSITIVE_PATHS if "(?!" not in p]
 _PATH = f"CASE WHEN {_any('rel_url', _PLAIN_PATHS)} OR (contains(lower(rel_url), '/.well-known/') AND regexp_replace(lower(rel_url), '/\\.well-known/security\\.txt', '', 'g') LIKE '%/.well-known/%') THEN 'sensitive_path:' || left(rel_url, 80) END"
-_SPOOF = f"CASE WHEN remote NOT IN {_list(TRUSTED)} AND xff IS NOT NULL THEN 'spoofed_forwarding_header:X-Forwarded-For=' || left(xff, 40) END"
-_REASONS = f"concat_ws(';', {_AGENT}, {_PATH}, {_SPOOF})"
+_spoof = lambda ip: f"CASE WHEN {ip} NOT IN {_list(TRUSTED)} AND xff IS NOT NULL THEN 'spoofed_forwarding_header:X-Forwarded-For=' || left(xff, 40) END"
+_SPOOF = _spoof("remote")
+_REASONS, _CLIENT_REASONS = (f"concat_ws(';', {_AGENT}, {_PATH}, {_spoof(ip)})" for ip in ("remote", "client"))
 _CL, _TE = "coalesce(content_length, [])", "coalesce(transfer_encoding, [])"
 _BAD_CL, _BAD_TE = f"list_filter({_CL}, lambda x: NOT regexp_full_match(trim(x), '[0-9]+'))", f"list_filter({_TE}, lambda x: lower(trim(x)) <> 'chunked')"
 _INTEGRITY = f"""CASE WHEN len(list_distinct({_CL})) > 1 THEN 'conflicting Content-Length headers: ' || array_to_string(list_sort(list_distinct({_CL})), ',')
@@ -63,24 +68,31 @@ _TEXTS = f"list_filter([url_decode(rel_url), CASE WHEN length(body) > 0 THEN {_S
 _HEADS = "list_filter([user_agent, xff], lambda x: x IS NOT NULL AND x <> '')"
 
 
-def _first_hit(texts: str) -> str:
-    return f"list_filter(list_transform({texts}, lambda x: {_signature('x')}), lambda y: y <> 'benign')[1]"
+# the first text that a detector of the cascade blocks, as [label, detectors]: 'anomalous' comes before both other labels
+_blocked = lambda texts: f"""list_filter(list_transform({texts}, lambda x: CASE WHEN {_anomaly('x')} <> 'benign' THEN ['anomalous', CASE WHEN {_signature('x')} <> 'benign' THEN 'signature_baseline;' ELSE '' END || 'anomaly'] WHEN {_signature('x')} <> 'benign' THEN [{_signature('x')}, 'signature_baseline'] END), lambda y: y IS NOT NULL)[1]"""
+_HEAD = f"list_filter(list_transform({_HEADS}, lambda x: {_signature('x')}), lambda y: y <> 'benign')[1]"
+# keys and strings of a JSON body in the order of the text
+_LEAVES = "coalesce((SELECT flatten(list(list_filter([CASE WHEN key IS NOT NULL AND NOT regexp_full_match(key, '[0-9]+') THEN key END, CASE WHEN type = 'VARCHAR' THEN atom ->> '$' END], lambda x: x IS NOT NULL) ORDER BY id)) FROM json_tree(body0)), [])"
+_path = lambda url: f"regexp_extract({url}, '^[^?#]*')"
+_ADMIN_URL = f"CASE WHEN id % 5 = 0 THEN {_sql_pick(ADMIN_URLS, 'floor(id / 5)')} ELSE rel_url END"
 
+_STEPS = f"""SELECT *, client IN {_list(DENIED)} AND client NOT IN {_list(ALLOWED)} AS deny, regexp_replace(reasons, 'low_confidence_ua:[^;]*;?', '') <> '' AS flagged,
+{_path('rel_url')} IN {_list(WEBSOCKET_PATHS)} AS ws_ok, CASE WHEN is_json THEN {_blocked("list_filter(list_concat([url_decode(rel_url)], CASE WHEN json_ok THEN leaves WHEN length(body) > 0 THEN [body] ELSE [] END), lambda x: x <> '')")} ELSE {_blocked(f"list_filter({_TEXTS}, lambda x: x <> '')")} END AS hit
+FROM (SELECT *, {_CLIENT_REASONS} AS reasons, {_LEAVES} AS leaves FROM (SELECT *, {_CLIENT} AS client, {_INTEGRITY} AS bad, {_WS} AS ws, {_HEAD} AS head_hit,
+coalesce(content_type LIKE '%application/json%', false) AS is_json, coalesce(json_valid(body), false) AND length(body) > 0 AS json_ok, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body0 FROM ({REQUESTS_SQL})))"""
+_BY = "CASE WHEN deny THEN {0} WHEN flagged THEN {1} WHEN bad IS NOT NULL THEN {2} WHEN ws AND ws_ok THEN {3} WHEN ws THEN {4} WHEN hit IS NOT NULL THEN {5} WHEN head_hit IS NOT NULL THEN {6} ELSE {7} END"
+_DECIDED = f"""SELECT *, {_BY.format("'blocked_static_deny'", "'blocked_recon'", "'blocked_malformed'", "'allowed_websocket_passthrough'", "'blocked_websocket'", "'blocked'", "'blocked'", "'allowed'")} AS decision,
+{_BY.format("'denylisted'", "'recon'", "'malformed_request'", "'benign'", "'websocket_not_allowed'", "hit[1]", "head_hit", "'benign'")} AS label,
+{_BY.format(403, 403, 400, 200, 400, 403, 403, 200)} AS status, {_BY.format(0, 2, 2, 0, 0, 1, 1, 0)} AS offense_weight,
+{_BY.format("'static_deny_list'", "reasons", "bad", "''", "'websocket_upgrade'", "hit[2]", "'signature_baseline'", "''")} AS triggered_by,
+NOT deny AND NOT flagged AND bad IS NULL AND NOT ws AND is_json AND NOT json_ok AS malformed_json FROM ({_STEPS})"""
 
-_DECIDED = f"""SELECT *, CASE WHEN deny THEN 'static_denied' WHEN flagged THEN 'blocked_recon' WHEN bad IS NOT NULL THEN 'blocked_integrity' WHEN ws THEN 'blocked_websocket' WHEN body_hit IS NOT NULL OR head_hit IS NOT NULL THEN 'blocked' ELSE 'allowed' END AS decision,
-CASE WHEN deny THEN 'denylisted' WHEN flagged THEN 'recon' WHEN bad IS NOT NULL THEN 'malformed_request' WHEN ws THEN 'websocket_not_allowed' ELSE coalesce(body_hit, head_hit, 'benign') END AS label,
-CASE WHEN deny OR flagged THEN 403 WHEN bad IS NOT NULL OR ws THEN 400 WHEN body_hit IS NOT NULL OR head_hit IS NOT NULL THEN 403 ELSE 200 END AS status,
-CASE WHEN deny THEN 0 WHEN flagged OR bad IS NOT NULL THEN 2 WHEN ws THEN 0 WHEN body_hit IS NOT NULL OR head_hit IS NOT NULL THEN 1 ELSE 0 END AS offense_weight,
-CASE WHEN deny THEN 'static_list' WHEN flagged THEN reasons WHEN bad IS NOT NULL THEN bad WHEN ws THEN 'websocket' WHEN body_hit IS NOT NULL THEN 'signature' WHEN head_hit IS NOT NULL THEN 'signature_header' ELSE '' END AS triggered_by
-FROM (SELECT *, client IN {_list(DENIED)} AND client NOT IN {_list(ALLOWED)} AS deny, regexp_replace(reasons, 'low_confidence_ua:[^;]*;?', '') <> '' AS flagged
-FROM (SELECT *, {_CLIENT} AS client, {_REASONS} AS reasons, {_INTEGRITY} AS bad, {_WS} AS ws, {_first_hit(_TEXTS)} AS body_hit, {_first_hit(_HEADS)} AS head_hit FROM ({REQUESTS_SQL})))"""
-
-_VOTES = {"signature": _signature("payload"), "anomaly": _anomaly("payload"), "keyword": r"CASE WHEN regexp_matches(lower(payload), '\b(select|union|drop|script|alert)\b') THEN CASE WHEN contains(lower(payload), '<') THEN 'xss' ELSE 'sqli' END ELSE 'benign' END"}
+_VOTES = {"signature_baseline": _signature("payload"), "anomaly": _anomaly("payload"), "keyword": r"CASE WHEN regexp_matches(lower(payload), '\b(select|union|drop|script|alert)\b') THEN CASE WHEN contains(lower(payload), '<') THEN 'xss' ELSE 'sqli' END ELSE 'benign' END"}
 
 
 def _ensemble(condition: str) -> str:
-    votes = " UNION ALL ".join(f"SELECT id, '{n}' AS d, {v} AS v FROM p" for n, v in _VOTES.items())
-    return f"""WITH p AS ({PAYLOADS_SQL}), v AS ({votes}), h AS (SELECT id, count(*) AS n, string_agg(d, ',' ORDER BY d) AS ds FROM v WHERE v <> 'benign' GROUP BY id),
+    votes = " UNION ALL ".join(f"SELECT id, {k} AS k, '{n}' AS d, {v} AS v FROM p" for k, (n, v) in enumerate(_VOTES.items()))
+    return f"""WITH p AS ({PAYLOADS_SQL}), v AS ({votes}), h AS (SELECT id, count(*) AS n, string_agg(d, ',' ORDER BY k) AS ds FROM v WHERE v <> 'benign' GROUP BY id),
 l AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, v) AS r FROM v WHERE v <> 'benign' GROUP BY id, v)
 SELECT p.id, coalesce(n, 0) {condition} AS blocked, CASE WHEN coalesce(n, 0) {condition} THEN l.v ELSE 'benign' END AS final_label, coalesce(ds, '') AS triggered_by FROM p LEFT JOIN h USING (id) LEFT JOIN l ON l.id = p.id AND l.r = 1"""
 
@@ -96,9 +108,9 @@ def _fold(rows: str, window: int, threshold: int, ban: int) -> str:
     """The limiter as a recursion over each client's rows; rows: id, ip, ts, w."""
     return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT id, ip, epoch_us(ts) AS us, w, row_number() OVER (PARTITION BY ip ORDER BY ts, id) AS rn FROM ({rows})),
 f(ip, rn, id, us, off, until, status) AS (SELECT DISTINCT ip, 0::BIGINT, NULL::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT, '' FROM o
-UNION ALL SELECT ip, rn, id, us, CASE WHEN us < until THEN off WHEN len(new) >= {threshold} THEN [] ELSE new END, CASE WHEN us >= until AND len(new) >= {threshold} THEN us + {ban}000000 ELSE until END,
-CASE WHEN us < until THEN 'banned' WHEN len(new) >= {threshold} THEN 'ban_triggered' ELSE 'offence' END
-FROM (SELECT o.ip, o.rn, o.id, o.us, f.off, f.until, list_filter(f.off || (CASE WHEN o.w = 2 THEN [o.us, o.us] ELSE [o.us] END), lambda x: x >= o.us - {window}000000) AS new FROM f JOIN o ON o.ip = f.ip AND o.rn = f.rn + 1))"""
+UNION ALL SELECT ip, rn, id, us, CASE WHEN us < until OR w = 0 THEN off WHEN len(new) >= {threshold} THEN [] ELSE new END, CASE WHEN us >= until AND w > 0 AND len(new) >= {threshold} THEN us + {ban}000000 ELSE until END,
+CASE WHEN us < until THEN 'banned' WHEN w = 0 THEN 'passed' WHEN len(new) >= {threshold} THEN 'ban_triggered' ELSE 'offence' END
+FROM (SELECT o.ip, o.rn, o.id, o.us, o.w, f.off, f.until, list_filter(f.off || (CASE WHEN o.w = 2 THEN [o.us, o.us] ELSE [o.us] END), lambda x: x >= o.us - {window}000000) AS new FROM f JOIN o ON o.ip = f.ip AND o.rn = f.rn + 1))"""
 
 
 _ERRORS = "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS ip, ts, 1 AS w FROM events WHERE event_type = 'error'"
@@ -107,9 +119,50 @@ _NOISY = f"([{', '.join(map(_sql, NOISY_LABELS))}])[CAST(id AS BIGINT) % {len(NO
 _COIN = lambda *parts: f"('0x' || left(md5(concat_ws('|', id, {', '.join(parts)})), 4))::INT"
 
 
-def _counters() -> str:
-    return f"SELECT count(*) FILTER (decision = 'allowed') AS allowed, count(*) FILTER (decision LIKE 'blocked%') AS blocked, count(*) FILTER (decision = 'static_denied') AS static_denied FROM ({_DECIDED})"
+_LIMITED = f"""{_fold("SELECT id, client AS ip, ts, offense_weight AS w FROM d WHERE decision <> 'blocked_static_deny'", LIMITS.window, LIMITS.threshold, LIMITS.ban).replace("WITH RECURSIVE", f"WITH RECURSIVE d AS MATERIALIZED ({_DECIDED}),", 1)},
+b AS MATERIALIZED (SELECT d.* EXCLUDE (decision, label, status, offense_weight, triggered_by, malformed_json), coalesce(f.status, '') = 'banned' AS out, CASE WHEN out THEN 'blocked_ratelimit' ELSE decision END AS decision, CASE WHEN out THEN 'banned_ip' ELSE label END AS label,
+CASE WHEN out THEN 429 ELSE d.status END AS status, CASE WHEN out THEN 0 ELSE offense_weight END AS offense_weight, CASE WHEN out THEN 'rate_limiter' ELSE triggered_by END AS triggered_by, malformed_json AND NOT out AS malformed_json,
+coalesce(f.status, '') = 'ban_triggered' AND d.decision IN ('blocked_recon', 'blocked') AS ban_triggered, CAST(coalesce(greatest(0, until - us) // 1000000, 0) AS BIGINT) AS seconds_banned, coalesce(until, 0) AS until, coalesce(f.us, epoch_us(ts)) AS us FROM d LEFT JOIN (SELECT * FROM f WHERE rn > 0) f USING (id))"""
+_COUNTERS = "SELECT count(*) FILTER (decision LIKE 'allowed%') AS allowed, count(*) FILTER (decision LIKE 'blocked%' AND decision <> 'blocked_static_deny') AS blocked, count(*) FILTER (ban_triggered) AS banned_ips_triggered, count(*) FILTER (decision = 'blocked_static_deny') AS static_denied, min(epoch_us(ts)) / 1e6 AS started_at, max(epoch_us(ts)) / 1e6 - min(epoch_us(ts)) / 1e6 AS uptime_seconds FROM b"
+_SHOWN = "id, client, decision, label, status, offense_weight, triggered_by, malformed_json"
+_EVENTS = "SELECT * FROM b UNION ALL SELECT * REPLACE ('note_malformed_json' AS decision, 'malformed_json' AS label, 'json_extraction' AS triggered_by) FROM b WHERE malformed_json"
+_LOGGED = f"CASE WHEN decision IN ('blocked_websocket', 'allowed_websocket_passthrough') THEN {_path('rel_url')} ELSE rel_url END"
+_METRIC_LINES = " || ".join(f"'# HELP {m} {text}' || chr(10) || '# TYPE {m} {kind}' || chr(10) || '{m} ' || {f"printf('%.1f', {c})" if kind == 'gauge' else c} || chr(10)" for m, (c, kind, text) in decision.METRICS.items())
+_TAG = "CASE decision " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in decision.TAGS.items()) + " END"
+_wide = lambda c, n, pad: f"CASE WHEN length({c}) < {n} THEN {pad}({c}, {n}, ' ') ELSE {c} END"
+
+
+def _drawn(key: str, *parts: str) -> str:
+    """A coin of 16 bits, as augment.coin draws it."""
+    return f"('0x' || left(md5(concat_ws('|', {', '.join([key, *parts])})), 4))::INT"
+
+
+def _pick(values, key: str, name: str) -> str:
+    return f"({list(values)})[{_drawn(key, _sql(name))} % {len(values)} + 1]" if all("'" not in v for v in values) else f"([{', '.join(map(_sql, values))}])[{_drawn(key, _sql(name))} % {len(values)} + 1]"
+
+
+def _filled(form: str, key: str) -> str:
+    number = f"(('0x' || left(md5(concat_ws('|', {key}, 'n')), 7))::BIGINT % 9999 + 1)::VARCHAR"
+    return f"replace(replace(replace({form}, '{{n}}', {number}), '{{word}}', {_pick(corpus.WORDS, key, 'word')}), '{{token}}', lower(left(md5(concat_ws('|', {key}, 'token')), 7)))"
+
+
+def _attacks(kind: str, n: int, forms) -> str:
+    digits, key = [str(i) for i in range(1, 10)], "k"
+    taut = f"CASE WHEN {_drawn(key, _sql('taut'))} < 19661 THEN {_pick(digits, key, 'l')} || '=' || {_pick(digits, key, 'r')} ELSE '1=1' END"
+    options = f"list_filter([p, CASE WHEN contains(p, '1=1') THEN replace(p, '1=1', {taut}) END, CASE WHEN contains(p, '{corpus.HOSTS[0]}') THEN replace(p, '{corpus.HOSTS[0]}', {_pick(corpus.HOSTS[1:], key, 'host')}) END, CASE WHEN contains(p, 'SLEEP(5)') THEN replace(p, 'SLEEP(5)', 'SLEEP(' || ({_drawn(key, _sql('sleep'))} % 9 + 2) || ')') END], lambda x: x IS NOT NULL)"
+    return f"SELECT o[{_drawn(key, _sql('option'))} % len(o) + 1] AS payload, '{kind}' AS label FROM (SELECT k, {options} AS o FROM (SELECT k, {_pick(forms, key, 'form')} AS p FROM (SELECT '42|{kind}|' || range AS k FROM range({n}))))"
+
 
+_ORDER = ", ".join(f"{{'o': {_drawn('k', _sql(f))}, 'f': {_sql(f)}}}" for f in corpus.BENIGN_FORMS)
+_BENIGN = f"SELECT DISTINCT array_to_string(list_transform(list_slice(list_transform(list_sort([{_ORDER}]), lambda x: x.f), 1, {_drawn('k', _sql('k'))} % 3 + 1), lambda f, i: {_filled('f', "(k || '|' || (i - 1))")}), '&') AS payload, 'benign' AS label FROM (SELECT '42|benign|' || range AS k FROM range(1200))"
+# a keyword's first place and the word there
+_WORD = f"regexp_extract(payload, {_sql(KEYWORD_PATTERN)}, 0)"
+_AT = f"(length(regexp_extract(payload, {_sql('(?s)^(.*?)' + KEYWORD_PATTERN.replace('(?i)', '(?i:') + ')')}, 1)) + 1)"
+_CUT = f"({_drawn('id', _sql('cut'))} % greatest(length({_WORD}) - 3, 1) + 2)"
+_CHARS = "string_split(payload, '')"
+_SPECIAL = _sql(r"[<>'\"()]")
+_STAND = f"CASE c {' '.join(f"WHEN {_sql(c)} THEN ([{', '.join(map(_sql, subs))}])[{_drawn('id', _sql('stand'), '(i - 1)')} % {len(subs)} + 1]" for c, subs in STAND_INS.items())} END"
+_BEFORE = f"len(list_filter(list_slice({_CHARS}, 1, i - 1), lambda x: regexp_full_match(x, {_SPECIAL})))"
 
 ORACLE_SQL: dict[str, str] = {
     "signature_by_lang": f"SELECT lang, {_signature('text')} AS verdict, {_anomaly('text')} AS anomaly, count(*) AS n FROM ({FOLDED}) GROUP BY ALL",
@@ -147,12 +200,21 @@ ORACLE_SQL: dict[str, str] = {
     "eval_report_lines": f"WITH e AS (SELECT * FROM ({_EVALUATED}) WHERE split = 'clean') SELECT rpad(y_true, 10, ' ') || " + " || ".join(f"lpad((count(*) FILTER (y_pred = '{x}'))::VARCHAR, 10, ' ')" for x in LABELS) + " AS line FROM e GROUP BY y_true",
     "latency_quantiles": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS longest FROM events GROUP BY event_type",
     "label_counts": f"SELECT label, count(*) AS n FROM ({PAYLOADS_SQL}) GROUP BY label",
-    "cascade_decisions": f"SELECT id, client, decision, label, status, offense_weight, triggered_by FROM ({_DECIDED})",
+    "cascade_decisions": f"SELECT {_SHOWN} FROM ({_DECIDED})",
+    "cascade_with_bans": f"{_LIMITED} SELECT {_SHOWN}, ban_triggered, seconds_banned FROM b",
+    "decision_counters": f"{_LIMITED} {_COUNTERS}",
+    "prometheus_text": f"{_LIMITED} SELECT {_METRIC_LINES} AS exposition FROM ({_COUNTERS})",
+    "admin_stats": f"""{_LIMITED}, t AS (SELECT client, count(*) FILTER (offense_weight > 0) AS n, max(until) AS until FROM b GROUP BY client), l AS (SELECT count(*) FILTER (n > 0) AS tracked_ips, count(*) FILTER (until > (SELECT max(epoch_us(ts)) FROM b)) AS active_bans FROM t)
+SELECT to_json({{'allowed': allowed, 'blocked': blocked, 'banned_ips_triggered': banned_ips_triggered, 'static_denied': static_denied, 'started_at': started_at, 'uptime_seconds': round(uptime_seconds, 1), 'policy': '{SETTINGS.voting_policy}', 'detectors': {list(SETTINGS.models)}, 'rate_limiter': {{'backend': 'memory', 'tracked_ips': tracked_ips, 'active_bans': active_bans}}}})::VARCHAR AS stats FROM ({_COUNTERS}), l""",
+    "admin_routes": f"SELECT id, url AS rel_url, (CASE WHEN client NOT IN {_list(ADMINS)} THEN 403 WHEN page IN ('health', 'stats', 'metrics') THEN 200 ELSE 404 END)::INT AS status, CASE WHEN client IN {_list(ADMINS)} AND page IN ('health', 'stats', 'metrics') THEN page END AS page FROM (SELECT id, url, client, substr({_path('url')}, 8) AS page FROM (SELECT *, {_ADMIN_URL} AS url, {_CLIENT} AS client FROM ({REQUESTS_SQL}))) WHERE {_path('url')} LIKE '/\\_\\_waf/%' ESCAPE '\\'",
+    "decision_log_json": f"{_LIMITED} SELECT id, to_json({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'decision': decision, 'client_ip': client, 'method': method, 'path': left({_LOGGED}, 300), 'label': label, 'triggered_by': CASE decision WHEN 'blocked_recon' THEN list_filter([{_AGENT}, {_PATH}, {_spoof('client')}], lambda x: x IS NOT NULL) WHEN 'blocked' THEN string_split(triggered_by, ';') ELSE CASE WHEN triggered_by = '' THEN [] ELSE [triggered_by] END END, 'latency_ms': 0.0::DOUBLE}})::VARCHAR AS event FROM ({_EVENTS})",
+    "console_lines": f"{_LIMITED} SELECT id, {_TAG} || ' ' || {_wide('client', 15, 'lpad')} || ' ' || {_wide('method', 6, 'rpad')} || ' ' || rpad(left({_LOGGED}, 60), 60, ' ') || ' label=' || {_wide('label', 8, 'rpad')} || ' latency=  0.00ms' AS line FROM ({_EVENTS})",
+    "eval_table": f"""WITH p AS (SELECT 'clean' AS split, label AS y_true, payload FROM ({PAYLOADS_SQL}) UNION ALL SELECT 'obfuscated', label, url_encode(payload) FROM ({PAYLOADS_SQL})), e AS ({" UNION ALL ".join(f"SELECT split, y_true, '{n}' AS detector, {v} AS y_pred FROM p" for n, v in _VOTES.items())}),
+c AS (SELECT detector, split, l, count(*) FILTER (y_true = l AND y_pred = l) AS tp, count(*) FILTER (y_pred = l) AS p, count(*) FILTER (y_true = l) AS t FROM e, (SELECT unnest({list(LABELS)}) AS l) GROUP BY ALL),
+m AS (SELECT detector, split, avg(CASE WHEN p + t > 0 THEN 2 * tp / (p + t)::DOUBLE ELSE 0 END) AS f1 FROM c GROUP BY ALL), a AS (SELECT detector, split, avg((y_true = y_pred)::INT) AS acc FROM e GROUP BY ALL)
+SELECT detector, round(max(acc) FILTER (split = 'clean'), 6) AS accuracy_clean, round(max(f1) FILTER (split = 'clean'), 6) AS f1_clean, round(max(acc) FILTER (split = 'obfuscated'), 6) AS accuracy_obfuscated, round(max(f1) FILTER (split = 'obfuscated'), 6) AS f1_obfuscated, round(max(f1) FILTER (split = 'clean') - max(f1) FILTER (split = 'obfuscated'), 6) AS f1_drop_evasion FROM m JOIN a USING (detector, split) GROUP BY detector""",
+    "live_classify": f"SELECT 'signature_baseline' AS model, count(*) AS packets, count(*) FILTER ({_signature('payload')} <> 'benign') AS malicious FROM (SELECT CASE WHEN method = 'GET' AND contains(rel_url, '?') AND rel_url NOT LIKE '% %' THEN url_decode(regexp_replace(rel_url, '^[^?]*[?]', '')) WHEN method = 'POST' AND length(body) > 0 AND rel_url NOT LIKE '% %' THEN url_decode(body) END AS payload FROM ({REQUESTS_SQL})) WHERE payload IS NOT NULL",
     "cascade_status": f"SELECT decision, status, count(*) AS n, CAST(sum(offense_weight) AS BIGINT) AS weight FROM ({_DECIDED}) GROUP BY ALL",
-    "cascade_with_bans": _fold(f"SELECT id, client AS ip, ts, offense_weight AS w FROM ({_DECIDED}) WHERE offense_weight > 0", 86_400, 4, 43_200) + " SELECT status, count(*) AS n FROM f WHERE rn > 0 GROUP BY status",
-    "decision_counters": _counters(),
-    "prometheus_text": f"SELECT '# HELP waf_requests_allowed_total Requests forwarded to the backend' || chr(10) || '# TYPE waf_requests_allowed_total counter' || chr(10) || 'waf_requests_allowed_total ' || allowed || chr(10) || '# HELP waf_requests_blocked_total Requests blocked by the WAF' || chr(10) || '# TYPE waf_requests_blocked_total counter' || chr(10) || 'waf_requests_blocked_total ' || blocked || chr(10) || '# HELP waf_static_denied_total Requests rejected by the static deny list' || chr(10) || '# TYPE waf_static_denied_total counter' || chr(10) || 'waf_static_denied_total ' || static_denied AS exposition FROM ({_counters()})",
-    "decision_log_json": f"SELECT id, to_json({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 'decision': decision, 'client_ip': client, 'method': method, 'path': left(rel_url, 300), 'label': label, 'triggered_by': triggered_by}})::VARCHAR AS event FROM ({_DECIDED})",
     "ratelimit_fold": _fold(_ERRORS, 172_800, 3, 86_400) + " SELECT id, ip, status, greatest(0, until - us) // 1000000 AS seconds_banned FROM f WHERE rn > 0",
     "ratelimit_weighted": _fold(_WEIGHTED, 172_800, 5, 86_400) + " SELECT id, status FROM f WHERE rn > 0",
     "ratelimit_active_bans": _fold(_ERRORS, 172_800, 3, 86_400) + ", m AS (SELECT ip, max(until) AS until FROM f GROUP BY ip) SELECT count(*) AS tracked_ips, count(*) FILTER (until > (SELECT max(us) FROM o)) AS active_bans FROM m",
@@ -167,6 +229,9 @@ ORACLE_SQL: dict[str, str] = {
     "aug_partial": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN NOT regexp_full_match(c, '[A-Za-z0-9]') AND {_COIN(chr(39) + 'partial' + chr(39), 'i - 1')} < 32768 THEN url_encode(c) ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "aug_whitespace": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN c = ' ' THEN [chr(9), chr(10), '/**/', '%09', '%0a'][{_COIN(chr(39) + 'space' + chr(39), 'i - 1')} % 5 + 1] ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "aug_case_all": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN {_COIN(chr(39) + 'all' + chr(39), 'i - 1')} < 32768 THEN upper(c) ELSE lower(c) END), '') AS variant FROM ({PAYLOADS_SQL})",
+    "synthetic_corpus": f"{_BENIGN} UNION ALL {_attacks('sqli', 500, corpus.SQLI_FORMS)} UNION ALL {_attacks('xss', 500, corpus.XSS_FORMS)}",
+    "aug_comment": f"SELECT id, CASE WHEN length({_WORD}) >= 4 THEN left(payload, {_AT} + {_CUT} - 1) || CASE WHEN {_drawn('id', _sql('version'))} < 32768 THEN '/**/' ELSE '/*!50000*/' END || substr(payload, {_AT} + {_CUT}) ELSE payload END AS variant FROM ({PAYLOADS_SQL})",
+    "aug_unicode": f"SELECT id, array_to_string(list_transform({_CHARS}, lambda c, i: CASE WHEN regexp_full_match(c, {_SPECIAL}) AND ({_BEFORE} = {_drawn('id', _sql('forced'))} % greatest(len(regexp_extract_all(payload, {_SPECIAL})), 1) OR {_drawn('id', _sql('sub'), '(i - 1)')} < 45875) THEN {_STAND} ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "recon_cube": f"SELECT method, decision, count(*) AS n FROM ({_DECIDED}) GROUP BY CUBE (method, decision)",
     "stream_window_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_session_counts": "SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 1 DAY) AS sessions, count(*) AS n FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY user_id",

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import augment, rules, text
 from ..operators import decision, json_leaves, models, ratelimit
+from ..operators.settings import Settings
+from ..operators.stored_models import fit_weighted
 from ..sources import corpus
 from ..sources.scratch import scratch, stored
-from ..sources.views import ALLOWED, DENIED, TRUSTED, headers_map, payloads, requests, table
+from ..sources.views import ADMINS, ALLOWED, DENIED, TRUSTED, WEBSOCKET_PATHS, admin_url, headers_map, payloads, requests, table
 from ..streaming import traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,79 +141,68 @@ def ngrams_top(spark, sf_dir):
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
-def _features(spark, sf_dir):
-    docs = folded(spark, sf_dir)
-    counted = models.terms(docs)
-    vocabulary = models.fit_vocabulary(counted, docs.count()).cache()
-    return docs, counted, vocabulary
+def _features(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """id, tokens and label (the language) of the documents, tokenised once; and their vocabulary."""
+    docs = folded(spark, sf_dir).withColumn("label", F.col("lang"))
+    tokenised = stored(models.tokens(docs, keep=("label",)))
+    return tokenised, models.fit_vocabulary(tokenised, tokenised.count()).cache()
+
+
+def _weighted(spark, sf_dir) -> tuple[DataFrame, DataFrame, models.Vocabulary]:
+    tokenised, found = _features(spark, sf_dir)
+    vocabulary = models.collected(found)
+    return tokenised, models.transform(tokenised, vocabulary, ("label",)), vocabulary
 
 
 @query
 def tfidf_vocab(spark, sf_dir):
-    _, _, vocabulary = _features(spark, sf_dir)
-    return vocabulary.select("term", "df", "total", F.round("idf", 6).alias("idf"))
+    return _features(spark, sf_dir)[1].select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    _, counted, vocabulary = _features(spark, sf_dir)
-    return models.transform(counted, vocabulary).groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("weight"), F.round(F.max("w"), 6).alias("largest"))
+    _, weighted, _ = _weighted(spark, sf_dir)
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    return weighted.filter(F.size("weights") > 0).select("id", F.size("weights").cast("long").alias("terms"), F.round(total, 6).alias("weight"), F.round(F.array_max("weights"), 6).alias("largest"))
 
 
-def _nb(spark, sf_dir):
-    docs, counted, vocabulary = _features(spark, sf_dir)
-    weights = models.transform(counted, vocabulary)
-    model, prior = models.nb_fit(weights, docs.select("id", F.col("lang").alias("label")), vocabulary)
-    return docs, weights, model, prior
+def _predicted(spark, sf_dir, name, **limit) -> tuple[DataFrame, DataFrame]:
+    tokenised, weighted, vocabulary = _weighted(spark, sf_dir)
+    # the vectors of an iterative fit are read many times
+    weighted = weighted if name == "naive_bayes" else stored(weighted)
+    return tokenised, models.predict(tokenised, fit_weighted(name, weighted, vocabulary, **limit))
 
 
 @query
 def nb_train(spark, sf_dir):
-    _, _, model, _ = _nb(spark, sf_dir)
-    return model.select("term", "label", F.round("logp", 6).alias("logp"))
+    _, weighted, vocabulary = _weighted(spark, sf_dir)
+    return models.nb_fit(weighted, vocabulary)[0].select("term", "label", F.round("logp", 6).alias("logp"))
 
 
 @query
 def nb_predict(spark, sf_dir):
-    docs, weights, model, prior = _nb(spark, sf_dir)
-    return models.nb_predict(weights, docs, model, prior)
+    return _predicted(spark, sf_dir, "naive_bayes")[1]
 
 
 @query
 def nb_confusion(spark, sf_dir):
-    docs, weights, model, prior = _nb(spark, sf_dir)
-    found = models.nb_predict(weights, docs, model, prior).join(docs, "id").select(F.col("lang").alias("y_true"), F.col("predicted").alias("y_pred"))
-    return decision.confusion(found, ["de", "en", "es", "fr"])
-
-
-def _ml(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """id, features and label (a number, null without a language) of the documents, by TF-IDF; and the languages."""
-    docs, counted, vocabulary = _features(spark, sf_dir)
-    langs = [r[0] for r in docs.select("lang").filter("lang is not null").distinct().orderBy("lang").collect()]  # a few
-    y = F.array_position(F.array(*map(F.lit, langs)), F.min("lang")).cast("double") - 1
-    ids = docs.groupBy("id").agg(y.alias("label"))
-    found = models.vectors(models.transform(counted, vocabulary), ids, vocabulary).join(ids, "id")
-    return stored(found), langs
-
-
-def _named(found: DataFrame, langs: list[str]) -> DataFrame:
-    return found.select("id", F.element_at(F.array(*map(F.lit, langs)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
+    tokenised, found = _predicted(spark, sf_dir, "naive_bayes")
+    both = found.join(tokenised.select("id", "label"), "id").select(F.col("label").alias("y_true"), F.col("predicted").alias("y_pred"))
+    return decision.confusion(both, ["de", "en", "es", "fr"])
 
 
 @query
 def lr_predict(spark, sf_dir):
-    rows, langs = _ml(spark, sf_dir)
-    return _named(models.fit_logistic(rows.filter("label is not null"), max_iter=1000).transform(rows), langs)
+    return _predicted(spark, sf_dir, "logistic_regression", max_iter=1000)[1]
 
 
 @query
 def svm_predict(spark, sf_dir):
-    rows, langs = _ml(spark, sf_dir)
-    return _named(models.CalibratedSVM(len(langs)).fit(rows.filter("label is not null")).transform(rows.select("id", "features")), langs)
+    return _predicted(spark, sf_dir, "svm")[1]
 
 
 def _ensemble(spark, sf_dir, policy):
-    names = ["signature", "anomaly", "keyword"]
+    names = ["signature_baseline", "anomaly", "keyword"]
     df = payloads(spark, sf_dir).withColumn("v", decision.verdict(decision.votes(F.col("payload"), names), policy, len(names)))
     return df.select("id", F.col("v.blocked").alias("blocked"), F.col("v.final_label").alias("final_label"), F.array_join("v.triggered_by", ",").alias("triggered_by"))
 
@@ -261,13 +252,24 @@ def label_counts(spark, sf_dir):
     return payloads(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
+LIMITS = ratelimit.Limits(window=86_400, threshold=4, ban=43_200)
+SETTINGS = Settings(models=("signature_baseline", "anomaly"), voting_policy="any", trusted_proxies=tuple(TRUSTED), static_deny_ips=tuple(DENIED), static_allow_ips=tuple(ALLOWED), allow_websocket_paths=tuple(WEBSOCKET_PATHS), admin_allowed_ips=tuple(ADMINS), limits=LIMITS)
+SHOWN = ["id", "client", "decision", "label", "status", "offense_weight", "array_join(triggered_by, ';') AS triggered_by", "malformed_json"]
+
+
 def decided(spark, sf_dir):
-    return decision.cascade(requests(spark, sf_dir), headers_map(), TRUSTED, DENIED, ALLOWED)
+    return decision.cascade(requests(spark, sf_dir), headers_map(), SETTINGS)
+
+
+def banned(spark, sf_dir):
+    # stored: the ban step reads the decisions twice, and a filter on them mustn't be pushed into the cascade's own plan
+    return decision.with_bans(stored(decided(spark, sf_dir)), LIMITS)
 
 
 @query
 def cascade_decisions(spark, sf_dir):
-    return decided(spark, sf_dir).select("id", "client", "decision", "label", "status", "offense_weight", "triggered_by")
+    """The cascade without the ban step."""
+    return decided(spark, sf_dir).selectExpr(*SHOWN)
 
 
 @query
@@ -275,55 +277,52 @@ def cascade_status(spark, sf_dir):
     return decided(spark, sf_dir).groupBy("decision", "status").agg(F.count("*").alias("n"), F.sum("offense_weight").cast("long").alias("weight"))
 
 
-LIMITS = ratelimit.Limits(window=86_400, threshold=4, ban=43_200)
-
-
 @query
 def cascade_with_bans(spark, sf_dir):
-    """The limiter over the cascade's offences alone; ban_decisions applies it to all requests."""
-    rows = decided(spark, sf_dir).select("id", "client", "decision", F.col("offense_weight").alias("weight"), "ts")
-    offences = rows.filter("weight > 0").select("id", F.col("client").alias("ip"), "ts", "weight")
-    return ratelimit.rate_limit(offences, LIMITS).groupBy("status").agg(F.count("*").alias("n"))
-
-
-def banned(spark, sf_dir):
-    return decision.with_bans(decided(spark, sf_dir), LIMITS)
+    """The whole cascade: a banned client's requests get 429, whatever they are."""
+    return banned(spark, sf_dir).selectExpr(*SHOWN, "ban_triggered", "seconds_banned")
 
 
 @query
-def ban_decisions(spark, sf_dir):
-    """The stateful stage over the cascade: banned requests lose their own decision."""
-    return banned(spark, sf_dir).select("id", "client", "decision", "label", "status", "offense_weight", "triggered_by", "ban_triggered", "seconds_banned")
+def decision_counters(spark, sf_dir):
+    return decision.counters(banned(spark, sf_dir))
 
 
 @query
-def ban_counters(spark, sf_dir):
-    return decision.counters_with_bans(banned(spark, sf_dir))
+def prometheus_text(spark, sf_dir):
+    return decision.prometheus_text(decision.counters(banned(spark, sf_dir)))
 
 
 @query
-def ban_prometheus_text(spark, sf_dir):
-    return decision.prometheus_text(decision.counters_with_bans(banned(spark, sf_dir)), decision.BAN_METRICS)
+def admin_stats(spark, sf_dir):
+    return decision.admin_stats(banned(spark, sf_dir), SETTINGS)
 
 
 @query
-def ban_log_json(spark, sf_dir):
-    return banned(spark, sf_dir).select("id", decision.log_json().alias("event"))
+def admin_routes(spark, sf_dir):
+    """Admin paths among the requests: every fifth one asks for one."""
+    asked = requests(spark, sf_dir).withColumn("rel_url", admin_url())
+    client = rules.client_ip(F.col("remote"), F.col("xff"), TRUSTED)
+    return asked.select("id", "rel_url", decision.admin_route(F.col("rel_url"), client, SETTINGS).alias("a")).filter("a is not null").select("id", "rel_url", "a.status", "a.page")
 
 
 @query
-def decision_counters(spark, sf_dir):
-    return decision.decision_counters(decided(spark, sf_dir))
+def decision_log_json(spark, sf_dir):
+    return decision.log_events(banned(spark, sf_dir)).select("id", decision.log_json().alias("event"))
 
 
 @query
-def prometheus_text(spark, sf_dir):
-    return decision.prometheus_text(decision.decision_counters(decided(spark, sf_dir)))
+def console_lines(spark, sf_dir):
+    return decision.log_events(banned(spark, sf_dir)).select("id", decision.console_line().alias("line"))
 
 
 @query
-def decision_log_json(spark, sf_dir):
-    return decided(spark, sf_dir).select("id", decision.log_json().alias("event"))
+def eval_table(spark, sf_dir):
+    """A row for each detector, on the samples and their percent-encoded forms, best first."""
+    df = payloads(spark, sf_dir)
+    both = df.select(F.lit("clean").alias("split"), "label", "payload").unionByName(df.select(F.lit("obfuscated").alias("split"), "label", text.percent_encode(F.col("payload")).alias("payload")))
+    out = decision.evaluation_table(both, ["signature_baseline", "anomaly", "keyword"], corpus.LABELS)
+    return out.select("detector", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
 def offences(spark, sf_dir, weighted=False):
@@ -427,12 +426,20 @@ def _event_stream(spark, sf_dir):
 
 
 def _finished(spark, stream, mode):
-    """Runs a stream over what is there and returns what its last batches wrote."""
+    """Runs a stream over what is there and returns what it wrote: a file sink, whose log drops what a failed try left, or each trigger's whole result in a folder of its own."""
     path = scratch(spark)
-    kept = "overwrite" if mode == "complete" else "append"
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode(kept).parquet(f"{path}/out")).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{path}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    written = []
+
+    def write(df, batch):
+        df.write.mode("overwrite").parquet(f"{path}/out/{batch}")
+        written.append(batch)
+
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out/{max(written)}")
 
 
 @query
@@ -449,6 +456,22 @@ def stream_session_counts(spark, sf_dir):
 
 @query
 def stream_ratelimit(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = _event_stream(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ip"), "ts", F.lit(1).alias("weight"))
-    return _finished(spark, traffic.limit_stream(stream), "append")
+    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, wanted)
+    try:
+        stream = _event_stream(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ip"), "ts", F.lit(1).alias("weight"))
+        return _finished(spark, traffic.limit_stream(stream), "append")
+    finally:
+        spark.conf.set(key, before)
+
+
+@query
+def live_classify(spark, sf_dir):
+    """Raw segments as a stream, scored by one detector; and the session's summary."""
+    raw = F.concat("method", F.lit(" "), "rel_url", F.lit(" HTTP/1.1\r\nHost: h\r\n\r\n"), "body")
+    segments = requests(spark, sf_dir).select("ts", F.col("remote").alias("src"), F.lit(80).alias("dst_port"), raw.cast("binary").alias("tcp_bytes"))
+    found = stored(segments)
+    stream = spark.readStream.schema(found.schema).parquet(found.inputFiles()[0].rsplit("/", 1)[0])
+    scored = _finished(spark, traffic.classify_stream(stream, "signature_baseline"), "append")
+    return traffic.session_summary(scored, "signature_baseline")

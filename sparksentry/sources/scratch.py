@@ -22,3 +22,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch, as texts may be long, unless the session has its own bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

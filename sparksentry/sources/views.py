@@ -25,6 +25,9 @@ CONTENT_TYPES = [None, "application/json", "application/x-www-form-urlencoded",
 BODIES = ["", "{\"a\": \"x' OR 1=1 --\", \"b\": [1, \"ok\"]}", "q=%3Cscript%3Ealert(1)%3C%2Fscript%3E", "plain words", "{not json", "a=1&b=2", ""]
 TRUSTED = ["10.0.0.7", "10.0.0.21"]
 DENIED, ALLOWED = ["10.0.0.13", "10.0.0.14"], ["10.0.0.14"]
+WEBSOCKET_PATHS = ["/0", "/live"]
+ADMINS = ["10.0.0.5", "10.0.0.6", "10.0.0.8", "10.0.0.9"]
+ADMIN_URLS = ["/__waf/health", "/index.html", "/__waf/stats?x=1", "/__waf/metrics", "/__wafer/stats", "/__waf/other", "/__waf/"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def admin_url() -> Column:
+    """Every fifth request's URL becomes an admin path, or one that looks like it."""
+    return F.when(F.col("id") % 5 == 0, _pick(ADMIN_URLS, F.floor(F.col("id") / 5))).otherwise(F.col("rel_url"))
+
+
 def headers_map() -> Column:
     """The request view's single-valued headers as a map from lower-case names; absent ones are absent."""
     every = F.create_map(F.lit("user-agent"), F.col("user_agent"), F.lit("x-forwarded-for"), F.col("xff"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.decision import request_payload
+from ..operators.decision import DETECTORS, known, request_payload
 from ..operators.ratelimit import Client, Limits
 
 
@@ -39,7 +39,8 @@ class LimiterProcessor(StatefulProcessor):
         client = Client(until=self.until.get()[0] if self.until.exists() else 0)
         client.offences.extend(r[0] for r in self.offences.get())
         batch = pd.concat(list(rows)).sort_values(["us", "id"])
-        status = [client.step(int(us), int(w), self.limits) for us, w in zip(batch["us"], batch["weight"])]
+        known = lambda x: None if pd.isna(x) else int(x)
+        status = ["passed" if pd.isna(us) else client.step(int(us), known(w), self.limits) for us, w in zip(batch["us"], batch["weight"])]
         if client.offences:
             self.offences.put([(int(x),) for x in client.offences])
         else:
@@ -52,7 +53,11 @@ class LimiterProcessor(StatefulProcessor):
 
 
 def limit_stream(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """id, ip, status of a stream of (id, ip, ts, weight); each batch is folded in (ts, id) order."""
+    """id, ip, status of a stream of (id, ip, ts, weight); each batch is folded in (ts, id) order.
+
+    A client's rows of one batch are sorted in memory: bound a batch by the source's own options
+    (maxFilesPerTrigger, maxOffsetsPerTrigger).  Null ts and weight count as in rate_limit.
+    """
     slim = offences.select("id", "ip", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "weight")
     return slim.groupBy("ip").transformWithStateInPandas(LimiterProcessor(limits), outputStructType="id long, ip string, status string", outputMode="Append", timeMode="None")
 
@@ -60,3 +65,19 @@ def limit_stream(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def payload_stream(segments: DataFrame, port: int = 80) -> DataFrame:
     """ts, src, payload of the inspected texts among TCP segments (ts, src, dst_port, tcp_bytes)."""
     return segments.filter(F.col("dst_port") == port).withColumn("payload", request_payload(F.col("tcp_bytes"))).filter("payload is not null").select("ts", "src", "payload")
+
+
+def request_stream(spark: SparkSession, folder: str, schema: StructType, max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
+    """Requests from JSON lines as they arrive, without those whose body is larger than the cap."""
+    return spark.readStream.schema(schema).json(folder).filter(F.coalesce(F.octet_length("body"), F.lit(0)) <= max_bytes)
+
+
+def classify_stream(segments: DataFrame, detector: str, port: int = 80) -> DataFrame:
+    """ts, src, payload, label of the inspected texts, by one registered detector (rules or a fitted model)."""
+    known([detector])
+    return payload_stream(segments, port).withColumn("label", DETECTORS[detector](F.array("payload"))[0])
+
+
+def session_summary(classified: DataFrame, model: str) -> DataFrame:
+    """model, packets, malicious: what was analysed, and how much of it isn't benign."""
+    return classified.agg(F.count("*").alias("packets"), F.count_if(F.col("label") != "benign").alias("malicious")).select(F.lit(model).alias("model"), "packets", "malicious")

@@ -41,6 +41,19 @@ def test_published_confusion_matrices(spark, name, wanted):
     assert found == wanted
 
 
+def test_marks_miss_no_rule(spark):
+    """Texts that hold just one rule's match, among them non-ASCII ones, get the label that the patterns alone give."""
+    rows = ["a UNION b sElect c", "x or  1 = 1", "'or'3=3", "tail --", "tail # ", "DROP  TABLE t", "SELECT a FROM b", "sleep (1)", "exec xp_cmdshell", "INFORMATION_SCHEMA", "; --x", "having 1=1", "< script", "onx='alert(", "JavaScript :", "<IMG x onerror", "< svg onload", "<iframe", "document.COOKIE", "<body x onload", "or = nothing", "plain", "é or 1=1", "ſelect a from b", "union\nselect"]
+    plain = lambda t: F.when(t.rlike(rules.any_of(list(rules.SQLI_RULES.values()))), "sqli").when(t.rlike(rules.any_of(list(rules.XSS_RULES.values()))), "xss").otherwise("benign")
+    assert one(spark, rows, rules.signature) == one(spark, rows, plain)
+
+
+def test_tokens_of_ascii_texts_are_those_of_the_whole_pattern(spark):
+    rows = ["<ScRipt>OR 1=1--/*!50 9abc abc9 _x %4g%4G </a-b_c --- */ '\"();", "x<y </ <1 a.b--c/**/d", "", "%%41 A1_b2"]
+    whole = lambda c: F.regexp_extract_all(c, F.lit(text.TOKEN_PATTERN), F.lit(1))
+    assert [[t.lower() for t in r] for r in one(spark, rows, text.tokenize)] == [[t.lower() for t in r] for r in one(spark, rows, whole)]
+
+
 def test_anomaly(spark):
     assert one(spark, ["hello there my friend", "!@#$%^&*(){}[]<>?/|~!@#$", "a" * 5000, "!!!", "%41" * 10], rules.anomaly) == ["benign", "anomalous", "anomalous", "benign", "anomalous"]
 
