@@ -220,7 +220,7 @@ def admin_stats(banned: DataFrame, settings: Settings) -> DataFrame:
     last = banned.agg(F.max(us).alias("_now"))
     limiter = ends.join(F.broadcast(last)).agg(F.count_if(F.col("_n") > 0).alias("tracked_ips"), F.count_if(F.col("_until") > F.col("_now")).alias("active_bans"))
     names = F.array(*map(F.lit, settings.models))
-    return counted.join(F.broadcast(limiter)).select(F.to_json(F.struct("allowed", "blocked", "banned_ips_triggered", "static_denied", "started_at", F.round("uptime_seconds", 1).alias("uptime_seconds"), F.lit(settings.voting_policy).alias("policy"), names.alias("detectors"), F.struct(F.lit("memory").alias("backend"), "tracked_ips", "active_bans").alias("rate_limiter"))).alias("stats"))
+    return counted.join(F.broadcast(limiter)).select(F.to_json(F.struct("allowed", "blocked", "banned_ips_triggered", "static_denied", F.floor("started_at").alias("started_at"), F.round("uptime_seconds", 1).alias("uptime_seconds"), F.lit(settings.voting_policy).alias("policy"), names.alias("detectors"), F.struct(F.lit("memory").alias("backend"), "tracked_ips", "active_bans").alias("rate_limiter"))).alias("stats"))
 
 
 # The paths that the admin endpoint answers.

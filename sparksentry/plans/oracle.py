@@ -205,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
     "decision_counters": f"{_LIMITED} {_COUNTERS}",
     "prometheus_text": f"{_LIMITED} SELECT {_METRIC_LINES} AS exposition FROM ({_COUNTERS})",
     "admin_stats": f"""{_LIMITED}, t AS (SELECT client, count(*) FILTER (offense_weight > 0) AS n, max(until) AS until FROM b GROUP BY client), l AS (SELECT count(*) FILTER (n > 0) AS tracked_ips, count(*) FILTER (until > (SELECT max(epoch_us(ts)) FROM b)) AS active_bans FROM t)
-SELECT to_json({{'allowed': allowed, 'blocked': blocked, 'banned_ips_triggered': banned_ips_triggered, 'static_denied': static_denied, 'started_at': started_at, 'uptime_seconds': round(uptime_seconds, 1), 'policy': '{SETTINGS.voting_policy}', 'detectors': {list(SETTINGS.models)}, 'rate_limiter': {{'backend': 'memory', 'tracked_ips': tracked_ips, 'active_bans': active_bans}}}})::VARCHAR AS stats FROM ({_COUNTERS}), l""",
+SELECT to_json({{'allowed': allowed, 'blocked': blocked, 'banned_ips_triggered': banned_ips_triggered, 'static_denied': static_denied, 'started_at': floor(started_at)::BIGINT, 'uptime_seconds': round(uptime_seconds, 1), 'policy': '{SETTINGS.voting_policy}', 'detectors': {list(SETTINGS.models)}, 'rate_limiter': {{'backend': 'memory', 'tracked_ips': tracked_ips, 'active_bans': active_bans}}}})::VARCHAR AS stats FROM ({_COUNTERS}), l""",
     "admin_routes": f"SELECT id, url AS rel_url, (CASE WHEN client NOT IN {_list(ADMINS)} THEN 403 WHEN page IN ('health', 'stats', 'metrics') THEN 200 ELSE 404 END)::INT AS status, CASE WHEN client IN {_list(ADMINS)} AND page IN ('health', 'stats', 'metrics') THEN page END AS page FROM (SELECT id, url, client, substr({_path('url')}, 8) AS page FROM (SELECT *, {_ADMIN_URL} AS url, {_CLIENT} AS client FROM ({REQUESTS_SQL}))) WHERE {_path('url')} LIKE '/\\_\\_waf/%' ESCAPE '\\'",
     "decision_log_json": f"{_LIMITED} SELECT id, to_json({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'decision': decision, 'client_ip': client, 'method': method, 'path': left({_LOGGED}, 300), 'label': label, 'triggered_by': CASE decision WHEN 'blocked_recon' THEN list_filter([{_AGENT}, {_PATH}, {_spoof('client')}], lambda x: x IS NOT NULL) WHEN 'blocked' THEN string_split(triggered_by, ';') ELSE CASE WHEN triggered_by = '' THEN [] ELSE [triggered_by] END END, 'latency_ms': 0.0::DOUBLE}})::VARCHAR AS event FROM ({_EVENTS})",
     "console_lines": f"{_LIMITED} SELECT id, {_TAG} || ' ' || {_wide('client', 15, 'lpad')} || ' ' || {_wide('method', 6, 'rpad')} || ' ' || rpad(left({_LOGGED}, 60), 60, ' ') || ' label=' || {_wide('label', 8, 'rpad')} || ' latency=  0.00ms' AS line FROM ({_EVENTS})",
