@@ -203,6 +203,14 @@ def test_repeated_rows_are_copies(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(docs).collect()) == [(0, 1, 2), (1, 1, 2), (1, 1, 2), (2, 2, 0)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Whatever the ids: repeated, null, or the same for two near copies; and texts without words."""
+    rows = [(1, "A b c d e f"), (1, "a  b c d e f"), (None, "x y"), (None, "x y"), (None, "x y"), (3, "--"), (4, "--"), (5, "--"), (6, ""), (7, None), (1, "another text of its own")]
+    kept = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], " ".join(words(r["text"])) or r["text"]) for r in kept)
+    assert got == Counter([(1, "a b c d e f"), (None, "x y"), (3, "--"), (6, ""), (7, None), (1, "another text of its own")])
+
+
 def contamination_brute(docs, items):
     windows = defaultdict(set)
     for item, text in items:
