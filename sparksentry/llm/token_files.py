@@ -1,25 +1,26 @@
 """Token ids in files coded by a static range asymmetric numeral system.
 
-A file table holds segments: whole documents in ascending doc_id order, about
-SEGMENT_TOKENS ids each.  A segment is bytes of this form:
-
-    magic, header length (uint32), header (JSON), header crc32 (uint32),
+A file table (Parquet) has one row for each block: whole documents in ascending doc_id order,
+about BLOCK_TOKENS ids (a longer document is a block of its own).  Its columns are a
+checkpoint (part, segment, block, and `first`, the ids of the part before it), the numbers of
+documents and ids, the frequency table, and the coded block.  About SEGMENT_TOKENS ids
+share a frequency table, counted over all of them and scaled to 2**bits; Parquet's dictionary
+stores it once for the rows that share it, so every block is decoded alone, in any task
+and in any order.  The coded block is:
+
+    magic, documents (uint32), ids (uint64), bits, lanes, crc32 of the table (uint32 each),
     doc ids (int64), doc id present (uint8), ids by document (uint32),
-    table symbols (uint32), table frequencies (uint32), blocks
+    final states (uint64 each), words (uint32), crc32 of all this (uint32)
 
-All blocks of a segment share its frequency table, counted over all ids of the segment and
-scaled to 2**bits.  A block codes BLOCK_TOKENS ids with LANES interleaved states (64 bits,
-renormalised by 32-bit words): final states, then words.  The header has a checkpoint for
-every block (byte offset, first id, ids, crc32), so that blocks are decoded alone and in
-any order, and a checksum of the tables.
+LANES interleaved states of 64 bits code a block, renormalised by 32-bit words.
 
-Null and empty texts are the end token alone.  Repeated rows are written each; a null
-doc_id sorts first and comes back null.  An empty table gives no segments and no rows.
+Null and empty texts are the end token alone.  Repeated rows are written each; rows of one
+doc_id follow in an order by their text, and are spread over tasks however many they are.
+A null doc_id sorts first and comes back null.  An empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,11 +35,14 @@ from .frames import map_arrow, partitions, prepare
 from .packing import with_end
 from .wordtokens import encoded_blocks, encoder_of, tokenizer_path
 
-MAGIC = b"RANSIDS1"
+MAGIC = b"RANSIDS2"
+HEADER = struct.Struct("<8sIQIII")
 SEGMENT_TOKENS = 1 << 22
-BLOCK_TOKENS = 1 << 21
-LANES = 8192
+BLOCK_TOKENS = 1 << 18
+LANES = 1024
 MIN_BITS = 18
+#: Most bytes of the distinct frequency tables of a Parquet row group that its dictionary holds.
+DICTIONARY_BYTES = 8 << 20
 LOW = np.uint64(1 << 31)
 U32, MASK32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -110,54 +114,63 @@ class Coder:
         return self.symbols[out.reshape(-1)[:n]]
 
 
-def encode_segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, first: int) -> bytes:
-    """A segment of whole documents; first: the ids of the part before it."""
+def pack_table(symbols: np.ndarray, freqs: np.ndarray) -> bytes:
+    """Gaps between the symbols, then the frequencies, compressed."""
+    return zlib.compress(np.concatenate([np.diff(symbols, prepend=np.uint32(0)), freqs]).astype("<u4").tobytes(), 6)
+
+
+def unpack_table(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, freqs = np.frombuffer(zlib.decompress(table), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.uint32), freqs
+
+
+def encode_segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bytes]]]:
+    """The frequency table, and (first id, documents, ids, coded block) of each block of whole documents."""
     symbols, freqs, bits = scaled_table(ids)
-    coder = Coder(symbols, freqs, bits)
+    coder, table = Coder(symbols, freqs, bits), pack_table(symbols, freqs)
     lookup = np.zeros(int(symbols[-1]) + 1, np.int64)
     lookup[symbols] = np.arange(len(symbols))
-    index = lookup[ids]
-    blocks, checkpoints, offset = [], [], 0
-    for lo in range(0, len(ids), BLOCK_TOKENS):
-        block = coder.encode(index[lo : lo + BLOCK_TOKENS])
-        checkpoints.append([offset, lo, min(BLOCK_TOKENS, len(ids) - lo), zlib.crc32(block)])
-        blocks.append(block)
-        offset += len(block)
-    tables = b"".join((np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(), sizes.astype("<u4").tobytes(), symbols.astype("<u4").tobytes(), freqs.astype("<u4").tobytes()))
-    header = json.dumps({"docs": len(doc_ids), "ids": len(ids), "first": first, "bits": bits, "symbols": len(symbols), "lanes": LANES, "tables_crc32": zlib.crc32(tables), "blocks": checkpoints}).encode()
-    return b"".join((MAGIC, struct.pack("<I", len(header)), header, struct.pack("<I", zlib.crc32(header)), tables, *blocks))
-
-
-def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """(doc ids, ids by document, ids, ids of the part before); a checksum that doesn't hold raises ValueError."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a segment of token ids")
-    (n,) = struct.unpack_from("<I", data, 8)
-    header = data[12 : 12 + n]
-    if struct.unpack_from("<I", data, 12 + n)[0] != zlib.crc32(header):
-        raise ValueError("the header's checksum doesn't hold")
-    h = json.loads(header)
-    at = 16 + n
-    size = h["docs"] * 13 + h["symbols"] * 8
-    if zlib.crc32(data[at : at + size]) != h["tables_crc32"]:
-        raise ValueError("the tables' checksum doesn't hold")
-    if h["lanes"] != LANES:
-        raise ValueError("another number of lanes")
-    parts = []
-    for kind, count in (("<i8", h["docs"]), ("<u1", h["docs"]), ("<u4", h["docs"]), ("<u4", h["symbols"]), ("<u4", h["symbols"])):
-        parts.append(np.frombuffer(data, kind, count, at))
-        at += parts[-1].nbytes
-    doc, present, sizes, symbols, freqs = parts
-    coder = Coder(symbols, freqs, h["bits"])
-    slots = coder.decoder()
-    ids = np.empty(h["ids"], np.uint32)
-    for k, (offset, lo, count, crc) in enumerate(h["blocks"]):
-        end = h["blocks"][k + 1][0] if k + 1 < len(h["blocks"]) else len(data) - at
-        block = data[at + offset : at + end]
-        if zlib.crc32(block) != crc:
-            raise ValueError(f"the checksum of block {k} doesn't hold")
-        ids[lo : lo + count] = coder.decode(block, count, slots)
-    return [d if p else None for d, p in zip(doc.tolist(), present.tolist())], sizes.astype(np.int64), ids, h["first"]
+    starts = np.cumsum(sizes) - sizes
+    cuts = [0, *(np.flatnonzero(np.diff(starts // BLOCK_TOKENS)) + 1).tolist(), len(sizes)]
+    blocks = []
+    for a, b in zip(cuts, cuts[1:]):
+        lo, n = int(starts[a]), int(sizes[a:b].sum())
+        named = doc_ids[a:b]
+        parts = [HEADER.pack(MAGIC, b - a, n, bits, LANES, zlib.crc32(table)), np.array([d or 0 for d in named], "<i8").tobytes(), np.array([d is not None for d in named], np.uint8).tobytes(), sizes[a:b].astype("<u4").tobytes(), coder.encode(lookup[ids[lo : lo + n]])]
+        data = b"".join(parts)
+        blocks.append((lo, b - a, n, data + struct.pack("<I", zlib.crc32(data))))
+    return table, blocks
+
+
+class Decoder:
+    """Decodes blocks; blocks in a row that share a table share its look-up."""
+
+    def __init__(self):
+        self.table: bytes | None = None
+
+    def __call__(self, table: bytes, data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        """(doc ids, ids by document, ids); a checksum that doesn't hold raises ValueError."""
+        if data[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a block of token ids")
+        if struct.unpack_from("<I", data, len(data) - 4)[0] != zlib.crc32(memoryview(data)[:-4]):
+            raise ValueError("the block's checksum doesn't hold")
+        _, docs, n, bits, lanes, table_crc = HEADER.unpack_from(data)
+        if lanes != LANES:
+            raise ValueError("another number of lanes")
+        if table != self.table:
+            if zlib.crc32(table) != table_crc:
+                raise ValueError("the table's checksum doesn't hold")
+            self.coder = Coder(*unpack_table(table), bits)
+            self.slots, self.table, self.crc = self.coder.decoder(), table, table_crc
+        elif self.crc != table_crc:
+            raise ValueError("the block belongs to another table")
+        at, parts = HEADER.size, []
+        for kind in ("<i8", "<u1", "<u4"):
+            parts.append(np.frombuffer(data, kind, docs, at))
+            at += parts[-1].nbytes
+        doc, present, sizes = parts
+        ids = self.coder.decode(data[at:-4], n, self.slots)
+        return [d if p else None for d, p in zip(doc.tolist(), present.tolist())], sizes.astype(np.int64), ids
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2) -> None:
@@ -165,8 +178,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     spark = docs.sparkSession
     prepare(spark)
     vocabulary = vocabulary or tokenizer_path("word_bpe_49k.json")
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    schema = "part int, segment int, docs int, tokens long, data binary"
+    # the text's hash orders rows of one id, and the row's number lets even equal rows be spread
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
+    schema = "part int, segment int, block int, first long, docs int, tokens long, table binary, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done, segment = TaskContext.get().partitionId(), 0, 0
@@ -176,9 +191,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         n = 0
 
         def flush() -> pa.RecordBatch:
-            data = encode_segment(doc_ids, np.concatenate(sizes), np.concatenate(held), done)
-            columns = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(doc_ids)], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "docs", "tokens", "data"])
+            table, blocks = encode_segment(doc_ids, np.concatenate(sizes), np.concatenate(held))
+            k = len(blocks)
+            firsts, docs, tokens, data = (list(x) for x in zip(*blocks))
+            columns = [pa.array([part] * k, pa.int32()), pa.array([segment] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([done + x for x in firsts], pa.int64()), pa.array(docs, pa.int32()), pa.array(tokens, pa.int64()), pa.array([table] * k, pa.binary()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "block", "first", "docs", "tokens", "table", "data"])
 
         for batch in batches:
             named = batch.column("doc_id").to_pylist()
@@ -195,7 +212,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         if doc_ids:
             yield flush()
 
-    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    options = {"compression": "none", "parquet.enable.dictionary#data": "false", "parquet.dictionary.page.size": str(DICTIONARY_BYTES)}
+    ordered.mapInArrow(run, schema).write.options(**options).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -209,9 +227,11 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         total += n
     shared = spark.sparkContext.broadcast(before)
 
+    decode = Decoder()
+
     def of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
-            doc_ids, sizes, ids, first = decode_segment(data.as_py())
+        for part, first, table, data in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), batch.column("table"), batch.column("data")):
+            doc_ids, sizes, ids = decode(table.as_py(), data.as_py())
             ends = np.cumsum(sizes)
             at = ends - sizes
             view = ids.astype("<u4", copy=False)
@@ -221,4 +241,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))
             yield out
 
-    return map_arrow(files.select("part", "data"), of_batch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return map_arrow(files.select("part", "first", "table", "data"), of_batch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -130,13 +130,45 @@ def test_token_files(spark, odd, none, library, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_a_spoilt_block_is_noticed():
+def test_blocks_are_decoded_alone(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 1000)
+    rng = np.random.default_rng(1)
+    sizes = np.array([*rng.integers(1, 400, 60), 5000, 1, 1])
+    ids = (rng.zipf(1.3, sizes.sum()) % 3000).astype(np.uint32)
+    named = [None, *range(1, len(sizes))]
+    table, blocks = token_files.encode_segment(named, sizes, ids)
+    assert len(blocks) > 5 and sum(b[1] for b in blocks) == len(sizes)
+    for first, docs, n, data in reversed(blocks):
+        got, own, decoded = token_files.Decoder()(table, data)
+        at = int(np.searchsorted(np.cumsum(sizes) - sizes, first))
+        assert (decoded == ids[first : first + n]).all() and got == named[at : at + docs] and (own == sizes[at : at + docs]).all()
+
+
+@pytest.mark.parametrize("at", [3, 20, 60, -5, -1])
+def test_a_spoilt_block_is_noticed(at):
     ids = np.random.default_rng(1).integers(0, 300, 9000).astype(np.uint32)
-    data = bytearray(token_files.encode_segment([1], np.array([9000]), ids, 0))
-    assert (token_files.decode_segment(bytes(data))[2] == ids).all()
-    data[-5] ^= 1
+    table, [(_, _, _, data)] = token_files.encode_segment([1], np.array([9000]), ids)
+    assert (token_files.Decoder()(table, data)[2] == ids).all()
+    spoilt = bytearray(data)
+    spoilt[at] ^= 1
     with pytest.raises(ValueError):
-        token_files.decode_segment(bytes(data))
+        token_files.Decoder()(table, bytes(spoilt))
+    with pytest.raises(ValueError):
+        token_files.Decoder()(token_files.encode_segment([1], np.array([9000]), ids // 2)[0], data)
+
+
+def test_token_files_of_one_id(spark, library, tmp_path):
+    """A third of the rows and more may hold one id, or be equal in full."""
+    docs = spark.createDataFrame([(7, "same")] * 300 + [(7, f"text {i}") for i in range(50)] + [(None, None)] * 50 + [(i, "x") for i in range(20)], "doc_id long, text string")
+    sums = []
+    for name in "ab":
+        token_files.write_token_files(docs, str(tmp_path / name), end_id=2)
+        sums.append([tuple(r) for r in token_files.read_token_files(spark, str(tmp_path / name)).orderBy("start").collect()])
+    assert sums[0] == sums[1] and len(sums[0]) == 420
+    parts = [r[0] for r in spark.read.parquet(str(tmp_path / "a")).groupBy("part").agg(F.sum("docs")).select("sum(docs)").collect()]
+    assert max(parts) < 200
+    wanted = Counter((r["doc_id"], crc(encoded(library, r["text"], 2))) for r in docs.collect())
+    assert Counter((d, c) for d, _, _, c in sums[0]) == wanted
 
 
 def test_shards(spark, odd, none):
@@ -151,6 +183,52 @@ def test_shards(spark, odd, none):
     assert len(sums) == 8 and max(sums) - min(sums) <= 0.01 * max(sums)
 
 
+def differencing_brute(sizes, shards):
+    """Lists of units by shard, largest sum first."""
+    parts = [(-n, k, [[n, [k]]] + [[0, []] for _ in range(shards - 1)]) for k, n in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0], p[1]))
+        (_, _, a), (_, _, b), *parts = parts
+        both = [[x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b))]
+        both = [p for _, _, p in sorted(((-p[0], -k, p) for k, p in enumerate(both)))]
+        parts.append((both[-1][0] - both[0][0], made, both))
+        made += 1
+    return [sorted(p[1]) for p in parts[0][2]]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3, 8])
+def test_differencing_against_lists(shards):
+    random.seed(shards)
+    for n in (1, 2, 5, 40, 120):
+        for top in (3, 1000):
+            sizes = [random.randint(1, top) for _ in range(n)]
+            where = sharding.karmarkar_karp(sizes, shards)
+            assert [[k for k, w in enumerate(where) if w == s] for s in range(shards)] == differencing_brute(sizes, shards)
+
+
+def test_shards_against_lists(spark):
+    """With fewer texts than buckets every text is a unit or shares a bucket, which a plain loop can follow."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.pmod(F.xxhash64(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(sharding.UNITS)).alias("b")).collect()
+    total = sum(len(r["t"].encode()) + 1 for r in rows)
+    groups = Counter()
+    bucket = {}
+    for r in rows:
+        groups[r["t"]] += len(r["t"].encode()) + 1
+        bucket[r["t"]] = r["b"]
+    heavy = sorted((t for t in groups if groups[t] * sharding.UNITS >= total), key=lambda t: (-groups[t], hashlib.md5(t.encode()).digest()))
+    light = Counter()
+    for t in groups:
+        if t not in heavy:
+            light[bucket[t]] += groups[t]
+    units = [*heavy, *sorted(light)]
+    parts = differencing_brute([groups[t] for t in heavy] + [light[b] for b in sorted(light)], 8)
+    of = {units[k]: s for s, part in enumerate(parts) for k in part}
+    got = {(r["doc_id"], r["size"], r["shard"]) for r in sharding.shard_by_bytes(docs, 8).collect()}
+    assert got == {(r["doc_id"], len(r["t"].encode()) + 1, of[r["t"]] if r["t"] in of else of[r["b"]]) for r in rows}
+
+
 def test_differencing_beats_greedy():
     random.seed(1)
     sizes = [random.randint(1, 10**6) for _ in range(500)]
