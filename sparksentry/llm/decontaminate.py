@@ -7,7 +7,8 @@ search may jump; where the shift is 0, the bucket of the suffix block names the
 to compare, word hash by word hash and then character by character.  Documents are cut into
 lanes that overlap by a window, and all lanes of a batch jump at once.
 
-Null and empty texts have no words and no hits, and null or empty items no windows.
+Null and empty texts have no words and no hits, and null or empty item texts no windows.
+The windows of an item whose item_id is null mark words as hit; item_ids leaves it out.
 Repeated rows give repeated results.  Items are taken in slices of bounded size, each
 broadcast and searched in turn, so a benchmark of any size is searched in full.
 """
@@ -87,7 +88,7 @@ class WordSearch:
 class Searcher:
     """Windows of a slice of items."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int = 13):
+    def __init__(self, items: list[tuple[str | None, str]], width: int = 13):
         texts: dict[int, dict[bytes, int]] = defaultdict(dict)
         self.items: dict[int, list[set[str]]] = defaultdict(list)
         rows: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -104,7 +105,8 @@ class Searcher:
                     texts[m][said] = len(texts[m])
                     rows[m].append(words.hashes[i : i + m])
                     self.items[m].append(set())
-                self.items[m][texts[m][said]].add(item)
+                if item is not None:
+                    self.items[m][texts[m][said]].add(item)
         self.texts = {m: list(t) for m, t in texts.items()}
         self.searches = {m: WordSearch(np.stack(r)) for m, r in rows.items()}
 
@@ -125,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     """keep, n_words, n_hit, item_ids (sorted as strings), contaminated (share * n_hit >= n_words > 0) for every row of (doc_id, text)."""
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = size // SLICE_BYTES + 1
     df = docs.select(*keep, "text")

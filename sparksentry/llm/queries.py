@@ -97,7 +97,7 @@ sizes AS (SELECT DISTINCT m FROM bw),
 dw AS (SELECT r, m, unnest(range(1, len(ws) - m + 2)) AS i, unnest([array_to_string(ws[i:i+m-1], ' ') FOR i IN range(1, len(ws) - m + 2)]) AS w FROM d, sizes WHERE len(ws) >= m),
 found AS (SELECT dw.r, dw.i, dw.m, bw.item FROM dw JOIN bw ON bw.w = dw.w AND bw.m = dw.m),
 hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + m)) AS p FROM found) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+named AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
