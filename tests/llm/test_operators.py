@@ -295,7 +295,7 @@ def contamination_brute(docs, items):
         w = words(text)
         for i in range(len(w) - min(13, len(w)) + 1):
             if w:
-                windows[tuple(w[i : i + 13])].add(str(item))
+                windows[tuple(w[i : i + 13])] |= {str(item)} - {"None"}
     out = {}
     for key, text in docs:
         w, hit, named = words(text), set(), set()
@@ -312,7 +312,7 @@ def contamination_brute(docs, items):
 def test_contamination_against_brute_force(spark, none, monkeypatch, slice_bytes):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
     random.seed(2)
-    items = [(1, " ".join(f"w{i}" for i in range(20))), (2, "short item"), (3, None), (4, "..."), (5, "Über die Brücke, gehen wir"), (6, "x " * 30), (7, "one")]
+    items = [(1, " ".join(f"w{i}" for i in range(20))), (2, "short item"), (3, None), (4, "..."), (5, "Über die Brücke, gehen wir"), (6, "x " * 30), (7, "one"), (None, "the quick brown fox"), (None, "short item")]
     docs = [(i, t) for i, t in enumerate([*ODD, "A short ITEM here", "w1 w2", " ".join(f"W{i}" for i in range(3, 18)) + " end", "über-die brücke gehen wir", "x " * 100, "x " * 12, " ".join(random.choice(["w1", "w2", "x", "short", "item"]) for _ in range(900))])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["item_ids"]), r["contaminated"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
@@ -334,6 +334,27 @@ def test_licenses(spark, odd, none):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(none).count() == 0
 
 
+def test_full_licenses_with_changes():
+    """Of the full texts, those with a coverage of 0.8 are found, also where names are put in or a clause is left out."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    full = [n for n in licenses.TEMPLATES if n.endswith("-full")]
+    for name in full:
+        w = words(licenses.TEMPLATES[name])
+        for said, least in ((w, 1.0), (w[:40] + ["acme", "corp"] + w[40:], 0.95), (w[: len(w) // 2] + w[len(w) // 2 + 5 :], 0.9)):
+            found = {index.names[t]: c for _, t, c, _, _ in licenses.find_licenses(index, licenses.words_of("before " + " ".join(said) + " after"))}
+            assert found.get(name, 0) >= least and not (found.keys() & set(full)) - {name}
+    half = words(licenses.TEMPLATES["MIT-full"])[:80]
+    assert "MIT-full" not in {index.names[r[1]] for r in licenses.find_licenses(index, licenses.words_of(" ".join(half)))}
+
+
+def test_what_cannot_fit_is_not_aligned():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        template, text = rng.integers(0, 12, 10).astype(np.uint64), rng.integers(0, 12, rng.integers(1, 25)).astype(np.uint64)
+        matches = licenses.align(template, text, 0)[1]
+        assert licenses.may_fit(template, text, 0.6) or matches / len(template) < 0.6
+
+
 def test_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)) + np.repeat(rng.normal(size=(15, 16)) * 2, 100, axis=0)
