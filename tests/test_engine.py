@@ -164,6 +164,14 @@ def test_exact_split_and_corpus(spark):
     assert c.filter("label = 'benign'").count() == c.filter("label = 'benign'").distinct().count()
 
 
+def test_exact_split_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "CHUNK_ROWS", 7)
+    for hot in (("a", None), ("b", "benign")):
+        df = spark.createDataFrame([hot] * 60 + [(f"p{i}", "sqli") for i in range(20)], "payload string, label string")
+        parts = corpus.exact_split(df, 0.25)
+        assert parts.filter("split = 'test'").count() == 20 and parts.drop("split").exceptAll(df).count() == 0 and parts.count() == 80
+
+
 def test_csv_columns_are_detected(spark, tmp_path):
     (tmp_path / "k.csv").write_text('Sentence,Label\n"a\nb",1\nplain,0\n,1\n')
     rows = {(r["payload"], r["label"]) for r in corpus.load_labelled(spark, str(tmp_path / "k.csv"), "sqli").collect()}
