@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
@@ -215,6 +217,10 @@ def fit_logistic(train: DataFrame, vocabulary: Vocabulary, labels: list[str], c:
     return Linear(vocabulary, labels[: len(weights)], weights[None], offsets[None])
 
 
+#: Fits of the SVM that run at the same time.
+FITS_AT_ONCE = 8
+
+
 def fit_svm(train: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: int = 3, c: float = 1.0, max_iter: int = 30) -> Linear:
     """One-vs-rest linear SVMs over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
 
@@ -223,21 +229,26 @@ def fit_svm(train: DataFrame, vocabulary: Vocabulary, labels: list[str], folds:
     """
     folded = train.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds))).cache()
     sizes = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}
-    parts = []
-    for k in sorted(sizes):
+
+    def few(df: DataFrame, rows: int) -> DataFrame:
+        # each of the many passes is one job: no more tasks than rows give work for
+        return df.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000 + 1)))
+
+    def fitted(k: int, y: int) -> tuple:
+        one = folded.select("_fold", "features", (F.col("label") == y).cast("double").alias("label"))
         # a single fold is fitted and calibrated on itself
-        own = folded.filter(F.col("_fold") != k) if len(sizes) > 1 else folded
+        own = one.filter(F.col("_fold") != k) if len(sizes) > 1 else one
         n = sum(m for f, m in sizes.items() if f != k) or sizes[k]
-        # each of the many passes is one job: no more tasks than rows give work for
-        few = lambda df, rows: df.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000 + 1)))
-        part = []
-        for y in range(len(labels)):
-            one = lambda df: df.select("features", (F.col("label") == y).cast("double").alias("label"))  # noqa: E731, B023
-            svm = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(few(one(own), n))
-            margin = svm.transform(few(one(folded.filter(F.col("_fold") == k)), sizes[k])).select(array_to_vector(F.array(_margin())).alias("features"), "label")
-            sigmoid = LogisticRegression(maxIter=50).fit(margin)
-            part.append((svm.coefficients.toArray(), svm.intercept, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
-        parts.append(part)
+        svm = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(few(own.drop("_fold"), n))
+        margin = svm.transform(few(one.filter(F.col("_fold") == k).drop("_fold"), sizes[k])).select(array_to_vector(F.array(_margin())).alias("features"), "label")
+        sigmoid = LogisticRegression(maxIter=50).fit(margin)
+        return svm.coefficients.toArray(), svm.intercept, float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+
+    # the fits don't depend on one another, and each pass of one leaves most executors idle
+    each = [(k, y) for k in sorted(sizes) for y in range(len(labels))]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        made = pool.starmap(inheritable_thread_target(train.sparkSession)(fitted), each)
+    parts = [made[i : i + len(labels)] for i in range(0, len(made), len(labels))]
     folded.unpersist()
     weights, offsets, slopes, shifts = (np.array([[p[i] for p in part] for part in parts], float) for i in range(4))
     return Linear(vocabulary, labels, weights, offsets, slopes, np.clip(shifts, -500, 500))
