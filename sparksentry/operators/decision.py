@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import percent_decode
+from ..sources.scratch import stored
 from . import ratelimit
 from .json_leaves import json_strings
 from .settings import POLICIES, Settings
@@ -129,14 +130,23 @@ def with_bans(decided: DataFrame, limits: ratelimit.Limits) -> DataFrame:
     """Cascade rows after the ban step, with ban_triggered and seconds_banned.
 
     All rows but the static denials look at their client's ban, in the order of (ts, id); those under
-    it lose their own decision and count no offence.  A ban that bad framing headers set off holds
-    like any other, but isn't marked in ban_triggered: the original doesn't count it.
+    it lose their own decision and count no offence.  Only offences are folded; the bans they set off
+    are intervals, and all other rows are joined with them.  A ban that bad framing headers set off holds
+    like any other, but isn't marked in ban_triggered: the original doesn't count it.  decided is read
+    three times and should be stored.
     """
     denied = F.coalesce(F.col("decision") == STATIC_DENY[0], F.lit(False))
+    offends = ~denied & (F.col("offense_weight") > 0)
     row = F.struct("id", *(c for c in decided.columns if c != "id"))
-    weight = F.when(F.col("offense_weight") > 0, F.col("offense_weight"))
-    limited = ratelimit.rate_limit(decided.filter(~denied).select(row.alias("id"), F.col("client").alias("ip"), "ts", weight.alias("weight")), limits)
-    df = limited.select("id.*", F.col("status").alias("_limit"), "seconds_banned")
+    limited = ratelimit.rate_limit(decided.filter(offends).select(row.alias("id"), F.col("client").alias("ip"), "ts", F.col("offense_weight").alias("weight")), limits)
+    folded = stored(limited)
+    offences = folded.select("id.*", F.col("status").alias("_limit"), "seconds_banned")
+    begin = F.unix_micros(F.col("id.ts").cast("timestamp"))
+    bans = folded.filter("status = 'ban_triggered'").select("ip", F.col("id.id").alias("id"), begin.alias("begin"), (begin + limits.ban * 1_000_000).alias("until"))
+    others = ratelimit.banned_by(decided.filter(~denied & ~offends).withColumn("ip", F.col("client")), bans, limits)
+    left = F.floor((F.col("_until") - F.col("_us")) / 1_000_000).cast("long")
+    others = others.withColumns({"_limit": F.when(F.col("_until").isNotNull(), "banned").otherwise("passed"), "seconds_banned": F.coalesce(left, F.lit(0).cast("long"))})
+    df = offences.unionByName(others.select(*offences.columns))
     banned = F.col("_limit") == "banned"
     counted = (F.col("_limit") == "ban_triggered") & F.col("decision").isin(RECON[0], PAYLOAD[0])
     own = F.when(banned, _decision(RATE_LIMIT)).otherwise(F.struct(*FIELDS))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..sources.scratch import stored
 from . import models
 
 NAMES = list(models.MODELS)
@@ -39,7 +38,7 @@ class TextClassifier:
         model = self.model
 
         def label(tokens: pa.Array) -> pa.Array:
-            rows = tokens.flatten()
+            rows = tokens.flatten()  # of tokens, or texts
             sizes = pa.compute.fill_null(pa.compute.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             mask = pa.compute.is_null(tokens) if tokens.null_count else None
@@ -47,7 +46,7 @@ class TextClassifier:
 
         # Arrow UDFs know their kind by these hints
         label.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
-        return F.arrow_udf(label, "array<string>")(F.transform(texts, self.tokenizer))
+        return F.arrow_udf(label, "array<string>")(texts if self.tokenizer is tokenize else F.transform(texts, self.tokenizer))
 
     def save(self, folder: str) -> None:
         m = self.model
@@ -67,10 +66,9 @@ def train_all(docs: DataFrame, names: list[str] | None = None, tokenizer: Callab
     if unknown := set(names or ()) - set(NAMES):
         raise ValueError(f"unknown models {sorted(unknown)}; known are {NAMES}")
     docs = docs.select("id", "text", F.col("label").cast("string").alias("label")).na.drop()
-    tokenised = stored(models.tokens(docs, tokenizer=tokenizer, keep=("label",)))
-    vocabulary = models.collected(models.fit_vocabulary(tokenised, tokenised.count()))
-    weighted = stored(models.transform(tokenised, vocabulary, ("label",)))
-    return {name: TextClassifier(name, fit_weighted(name, weighted, vocabulary), tokenizer) for name in names or NAMES}
+    features = models.fit_features(models.tokens(docs, tokenizer=tokenizer, keep=("label",)), keep=("label",))
+    weighted = models.weights(features, ("label",))
+    return {name: TextClassifier(name, fit_weighted(name, weighted, features.vocabulary), tokenizer) for name in names or NAMES}
 
 
 def fit_weighted(name: str, weighted: DataFrame, vocabulary: models.Vocabulary, max_iter: int | None = None) -> models.Linear:

@@ -141,42 +141,36 @@ def ngrams_top(spark, sf_dir):
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
 
 
-def _features(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """id, tokens and label (the language) of the documents, tokenised once; and their vocabulary."""
+def _features(spark, sf_dir) -> models.Features:
+    """The terms of the documents, counted by row, with label (the language); and their vocabulary."""
     docs = folded(spark, sf_dir).withColumn("label", F.col("lang"))
-    tokenised = stored(models.tokens(docs, keep=("label",)))
-    return tokenised, models.fit_vocabulary(tokenised, tokenised.count()).cache()
-
-
-def _weighted(spark, sf_dir) -> tuple[DataFrame, DataFrame, models.Vocabulary]:
-    tokenised, found = _features(spark, sf_dir)
-    vocabulary = models.collected(found)
-    return tokenised, models.transform(tokenised, vocabulary, ("label",)), vocabulary
+    return models.fit_features(models.tokens(docs, keep=("label",)), keep=("label",))
 
 
 @query
 def tfidf_vocab(spark, sf_dir):
-    return _features(spark, sf_dir)[1].select("term", "df", "total", F.round("idf", 6).alias("idf"))
+    found = _features(spark, sf_dir).vocabulary
+    rows = list(zip(found.terms, found.df.tolist(), found.total.tolist(), found.idf.round(6).tolist()))  # at most MAX_FEATURES
+    return spark.createDataFrame(rows, "term string, df long, total long, idf double")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    _, weighted, _ = _weighted(spark, sf_dir)
+    weighted = models.weights(_features(spark, sf_dir))
     total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
     return weighted.filter(F.size("weights") > 0).select("id", F.size("weights").cast("long").alias("terms"), F.round(total, 6).alias("weight"), F.round(F.array_max("weights"), 6).alias("largest"))
 
 
-def _predicted(spark, sf_dir, name, **limit) -> tuple[DataFrame, DataFrame]:
-    tokenised, weighted, vocabulary = _weighted(spark, sf_dir)
-    # the vectors of an iterative fit are read many times
-    weighted = weighted if name == "naive_bayes" else stored(weighted)
-    return tokenised, models.predict(tokenised, fit_weighted(name, weighted, vocabulary, **limit))
+def _predicted(spark, sf_dir, name, **limit) -> tuple[models.Features, DataFrame]:
+    features = _features(spark, sf_dir)
+    fitted = fit_weighted(name, models.weights(features, ("label",)), features.vocabulary, **limit)
+    return features, models.predict_rows(features, fitted)
 
 
 @query
 def nb_train(spark, sf_dir):
-    _, weighted, vocabulary = _weighted(spark, sf_dir)
-    return models.nb_fit(weighted, vocabulary)[0].select("term", "label", F.round("logp", 6).alias("logp"))
+    features = _features(spark, sf_dir)
+    return models.nb_fit(models.weights(features, ("label",)), features.vocabulary)[0].select("term", "label", F.round("logp", 6).alias("logp"))
 
 
 @query
@@ -186,8 +180,8 @@ def nb_predict(spark, sf_dir):
 
 @query
 def nb_confusion(spark, sf_dir):
-    tokenised, found = _predicted(spark, sf_dir, "naive_bayes")
-    both = found.join(tokenised.select("id", "label"), "id").select(F.col("label").alias("y_true"), F.col("predicted").alias("y_pred"))
+    features, found = _predicted(spark, sf_dir, "naive_bayes")
+    both = found.join(features.rows.select("id", "label"), "id").select(F.col("label").alias("y_true"), F.col("predicted").alias("y_pred"))
     return decision.confusion(both, ["de", "en", "es", "fr"])
 
 

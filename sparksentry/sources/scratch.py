@@ -17,6 +17,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint, in the same partitions and order."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: lineage is cut and columns can be read alone."""
     path = f"{scratch(df.sparkSession)}/table"
