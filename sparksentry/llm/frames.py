@@ -86,13 +86,14 @@ def map_arrow(df: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[dict]
 def ranked(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Adds `_rank`, from 0, of each row among the rows that share `by`, in `order`.
 
-    Rows are range-sorted by (by, order), so a class of any size spreads over partitions.
+    Rows are range-sorted by (by, order) and their number, so a class of any size spreads over
+    partitions, even one of equal rows; df's rows must come in a fixed order, as from a checkpoint.
     What reaches the driver is a row for each class and partition that meet: after a range
     sort at most classes + partitions.
     """
     spark = df.sparkSession
-    spread = df.repartitionByRange(partitions(spark), by, *order).sortWithinPartitions(by, *order)
-    spread = cut(spread.withColumn("_at", F.monotonically_increasing_id()))
+    spread = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), by, *order, "_tie").sortWithinPartitions(by, *order, "_tie")
+    spread = cut(spread.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33).cast("int")
     runs = spread.groupBy(by, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).collect()
     before: dict = {}
