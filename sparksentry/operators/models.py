@@ -31,6 +31,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import ASCII_TOKEN_PATTERN, TOKEN_PATTERN, tokenize
 from ..sources.scratch import bounded_batches, stored
+from .ranks import stratified
 
 MAX_FEATURES = 4000
 #: Tokens, or bytes of texts, whose terms are counted together.
@@ -484,17 +485,17 @@ def fit_logistic(train: DataFrame, vocabulary: Vocabulary, labels: list[str], c:
     return Linear(vocabulary, labels[: len(weights)], weights[None], offsets[None])
 
 
-#: Fits of the SVM that run at the same time.
-FITS_AT_ONCE = 8
+#: Fits of the SVM that run at the same time; each holds the vectors of its folds in memory.
+FITS_AT_ONCE = 2
 
 
 def fit_svm(train: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: int = 3, c: float = 1.0, max_iter: int = 30) -> Linear:
     """One-vs-rest linear SVMs over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
 
-    train: id, features, label (a label's number).  A row's fold is a hash of its id, so folds
-    hold each label's share in expectation, and no class passes through one task.
+    train: id, features, label (a label's number).  Every fold holds its share of each label,
+    and no label passes through one task.
     """
-    folded = train.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds))).cache()
+    folded = stratified(train, "label", ["id"], folds, name="_fold").cache()
     sizes = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}
 
     def few(df: DataFrame, rows: int) -> DataFrame:

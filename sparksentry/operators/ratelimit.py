@@ -161,7 +161,9 @@ def _exits(us: np.ndarray, weight: np.ndarray, before: np.ndarray, limits: Limit
         then = np.where(going, then[np.minimum(then, len(at) - 1)], then)
     # a ban set off earlier ends within its length from here
     reach = int(np.searchsorted(since, us[0] + limits.ban * 1_000_000)) + 1
-    upper, leaves = since[:reach], end[last][:reach]
+    # of rows that need the same time without a ban, the first sets one off
+    upper, first = np.unique(since[:reach], return_index=True)
+    leaves = end[last][first]
     kept = np.append(leaves[1:] != leaves[:-1], True)
     return upper[kept], leaves[kept]
 

@@ -141,20 +141,26 @@ def _pick(values, key: str, name: str) -> str:
     return f"({list(values)})[{_drawn(key, _sql(name))} % {len(values)} + 1]" if all("'" not in v for v in values) else f"([{', '.join(map(_sql, values))}])[{_drawn(key, _sql(name))} % {len(values)} + 1]"
 
 
+def _word(key: str, name: str) -> str:
+    return f"ws[{_drawn(key, _sql(name))} % len(ws) + 1]"
+
+
 def _filled(form: str, key: str) -> str:
     number = f"(('0x' || left(md5(concat_ws('|', {key}, 'n')), 7))::BIGINT % 9999 + 1)::VARCHAR"
-    return f"replace(replace(replace({form}, '{{n}}', {number}), '{{word}}', {_pick(corpus.WORDS, key, 'word')}), '{{token}}', lower(left(md5(concat_ws('|', {key}, 'token')), 7)))"
+    return f"replace(replace(replace({form}, '{{n}}', {number}), '{{word}}', {_word(key, 'word')}), '{{token}}', lower(left(md5(concat_ws('|', {key}, 'token')), 7)))"
 
 
-def _attacks(kind: str, n: int, forms) -> str:
+def _attacks(kind: str, odd: int, forms) -> str:
     digits, key = [str(i) for i in range(1, 10)], "k"
     taut = f"CASE WHEN {_drawn(key, _sql('taut'))} < 19661 THEN {_pick(digits, key, 'l')} || '=' || {_pick(digits, key, 'r')} ELSE '1=1' END"
     options = f"list_filter([p, CASE WHEN contains(p, '1=1') THEN replace(p, '1=1', {taut}) END, CASE WHEN contains(p, '{corpus.HOSTS[0]}') THEN replace(p, '{corpus.HOSTS[0]}', {_pick(corpus.HOSTS[1:], key, 'host')}) END, CASE WHEN contains(p, 'SLEEP(5)') THEN replace(p, 'SLEEP(5)', 'SLEEP(' || ({_drawn(key, _sql('sleep'))} % 9 + 2) || ')') END], lambda x: x IS NOT NULL)"
-    return f"SELECT o[{_drawn(key, _sql('option'))} % len(o) + 1] AS payload, '{kind}' AS label FROM (SELECT k, {options} AS o FROM (SELECT k, {_pick(forms, key, 'form')} AS p FROM (SELECT '42|{kind}|' || range AS k FROM range({n}))))"
+    return f"SELECT o[{_drawn(key, _sql('option'))} % len(o) + 1] AS payload, '{kind}' AS label FROM (SELECT k, {options} AS o FROM (SELECT k, {_pick(forms, key, 'form')} AS p FROM (SELECT '42|{kind}|' || event_id AS k FROM events WHERE event_id % 2 = {odd})))"
 
 
-_ORDER = ", ".join(f"{{'o': {_drawn('k', _sql(f))}, 'f': {_sql(f)}}}" for f in corpus.BENIGN_FORMS)
-_BENIGN = f"SELECT DISTINCT array_to_string(list_transform(list_slice(list_transform(list_sort([{_ORDER}]), lambda x: x.f), 1, {_drawn('k', _sql('k'))} % 3 + 1), lambda f, i: {_filled('f', "(k || '|' || (i - 1))")}), '&') AS payload, 'benign' AS label FROM (SELECT '42|benign|' || range AS k FROM range(1200))"
+_PART = "(k || '|' || i)"
+_PAIR = f"{_word(_PART, 'name')} || '=' || {_filled(_pick(corpus.VALUE_SHAPES, _PART, 'shape'), _PART)}"
+_BENIGN = f"""SELECT DISTINCT (SELECT string_agg(pair, '&' ORDER BY i) FROM (SELECT i, {_PAIR} AS pair FROM (SELECT unnest(range(1, {_drawn('k', _sql('parts'))} % 4 + 2)) AS i))) AS payload, 'benign' AS label
+FROM (SELECT '42|benign|' || doc_id AS k, regexp_extract_all(text, '[a-z]{{3,12}}') AS ws FROM documents) WHERE len(ws) > 0"""
 # a keyword's first place and the word there
 _WORD = f"regexp_extract(payload, {_sql(KEYWORD_PATTERN)}, 0)"
 _AT = f"(length(regexp_extract(payload, {_sql('(?s)^(.*?)' + KEYWORD_PATTERN.replace('(?i)', '(?i:') + ')')}, 1)) + 1)"
@@ -222,6 +228,9 @@ SELECT detector, round(max(acc) FILTER (split = 'clean'), 6) AS accuracy_clean,
     "json_string_leaves": "SELECT conv_id, turn, 'role|' || role || '|parts|text|' || text || '|turn' AS strings, 3 AS max_depth FROM conversations",
     "json_malformed": f"SELECT id, valid, CASE WHEN valid THEN (SELECT count(*) FILTER (type = 'VARCHAR') + count(*) FILTER (key IS NOT NULL AND NOT regexp_full_match(key, '[0-9]+')) FROM json_tree(body0)) WHEN length(body) > 0 THEN 1 ELSE 0 END AS n FROM (SELECT id, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body0, body, coalesce(json_valid(body), false) AND length(body) > 0 AS valid FROM ({REQUESTS_SQL}) WHERE content_type LIKE 'application/json%')",
     "split_exact": f"SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || id || '|' || payload), id) <= floor(count(*) OVER () * 0.25) THEN 'test' ELSE 'train' END AS split FROM ({PAYLOADS_SQL})",
+    "shuffle_permutation": f"SELECT id, row_number() OVER (ORDER BY md5('42|' || id || '|' || payload), id) - 1 AS nth FROM ({PAYLOADS_SQL})",
+    "stratified_folds": "SELECT id, label, CAST((row_number() OVER (ORDER BY label NULLS FIRST, md5('42|' || id), id) - 1) % 3 AS INT) AS fold FROM (SELECT doc_id AS id, lang AS label FROM documents)",
+    "rank_in_group": "SELECT event_id AS id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS nth FROM events",
     "dedupe_benign": f"SELECT label, CASE WHEN label = 'benign' THEN count(DISTINCT payload) ELSE count(*) END AS n FROM ({PAYLOADS_SQL}) GROUP BY label",
     "label_normalise": f"SELECT CASE WHEN lower(trim({_NOISY})) IN {_list(SQLI_LABELS)} THEN 'sqli' ELSE 'benign' END AS label, count(*) AS n FROM ({PAYLOADS_SQL}) GROUP BY 1",
     "union_sources": f"WITH u AS (SELECT payload, label FROM ({PAYLOADS_SQL}) UNION ALL SELECT payload, CASE WHEN lower(trim({_NOISY})) IN {_list(XSS_LABELS)} THEN 'xss' ELSE 'benign' END FROM ({PAYLOADS_SQL})) SELECT label, CASE WHEN label = 'benign' THEN count(DISTINCT payload) ELSE count(*) END AS n, count(DISTINCT payload) AS payloads FROM u GROUP BY label",
@@ -229,7 +238,7 @@ SELECT detector, round(max(acc) FILTER (split = 'clean'), 6) AS accuracy_clean,
     "aug_partial": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN NOT regexp_full_match(c, '[A-Za-z0-9]') AND {_COIN(chr(39) + 'partial' + chr(39), 'i - 1')} < 32768 THEN url_encode(c) ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "aug_whitespace": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN c = ' ' THEN [chr(9), chr(10), '/**/', '%09', '%0a'][{_COIN(chr(39) + 'space' + chr(39), 'i - 1')} % 5 + 1] ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "aug_case_all": f"SELECT id, array_to_string(list_transform(string_split(payload, ''), lambda c, i: CASE WHEN {_COIN(chr(39) + 'all' + chr(39), 'i - 1')} < 32768 THEN upper(c) ELSE lower(c) END), '') AS variant FROM ({PAYLOADS_SQL})",
-    "synthetic_corpus": f"{_BENIGN} UNION ALL {_attacks('sqli', 500, corpus.SQLI_FORMS)} UNION ALL {_attacks('xss', 500, corpus.XSS_FORMS)}",
+    "synthetic_corpus": f"{_BENIGN} UNION ALL {_attacks('sqli', 0, corpus.SQLI_FORMS)} UNION ALL {_attacks('xss', 1, corpus.XSS_FORMS)}",
     "aug_comment": f"SELECT id, CASE WHEN length({_WORD}) >= 4 THEN left(payload, {_AT} + {_CUT} - 1) || CASE WHEN {_drawn('id', _sql('version'))} < 32768 THEN '/**/' ELSE '/*!50000*/' END || substr(payload, {_AT} + {_CUT}) ELSE payload END AS variant FROM ({PAYLOADS_SQL})",
     "aug_unicode": f"SELECT id, array_to_string(list_transform({_CHARS}, lambda c, i: CASE WHEN regexp_full_match(c, {_SPECIAL}) AND ({_BEFORE} = {_drawn('id', _sql('forced'))} % greatest(len(regexp_extract_all(payload, {_SPECIAL})), 1) OR {_drawn('id', _sql('sub'), '(i - 1)')} < 45875) THEN {_STAND} ELSE c END), '') AS variant FROM ({PAYLOADS_SQL})",
     "recon_cube": f"SELECT method, decision, count(*) AS n FROM ({_DECIDED}) GROUP BY CUBE (method, decision)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import augment, rules, text
-from ..operators import decision, json_leaves, models, ratelimit
+from ..operators import decision, json_leaves, models, ranks, ratelimit
 from ..operators.settings import Settings
 from ..operators.stored_models import fit_weighted
 from ..sources import corpus
@@ -364,6 +364,26 @@ def split_exact(spark, sf_dir):
     return corpus.exact_split(payloads(spark, sf_dir).select("id", "payload"), 0.25, 42, "id", "payload").select("id", "split")
 
 
+@query
+def shuffle_permutation(spark, sf_dir):
+    """Every payload's place in a seeded permutation of all."""
+    return ranks.permuted(payloads(spark, sf_dir).select("id", "payload"), ["id", "payload"]).select("id", "nth")
+
+
+@query
+def stratified_folds(spark, sf_dir):
+    """Three folds of the documents, each with its share of every language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    return ranks.stratified(docs, "label", ["id"], 3)
+
+
+@query
+def rank_in_group(spark, sf_dir):
+    """Every event's place among those of its type, by value."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "value")
+    return ranks.numbered(events, [F.col("value"), F.col("id")], [F.col("event_type")]).select("id", "event_type", "nth")
+
+
 @query
 def dedupe_benign(spark, sf_dir):
     return corpus.combine([payloads(spark, sf_dir).select("payload", "label")]).groupBy("label").agg(F.count("*").alias("n"))
@@ -388,7 +408,7 @@ def union_sources(spark, sf_dir):
 
 @query
 def synthetic_corpus(spark, sf_dir):
-    return corpus.synthetic_corpus(spark)
+    return corpus.synthetic_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "events"))
 
 
 def _variant(name):

@@ -156,7 +156,8 @@ def test_keyword_case_flips_each_keyword(spark):
 
 
 def test_exact_split_and_corpus(spark):
-    c = corpus.synthetic_corpus(spark, 200, 100, 100).cache()
+    docs, events = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "events"))
+    c = corpus.synthetic_corpus(docs, events).cache()
     parts = corpus.build_dataset(spark, c)
     n = c.count()
     assert parts["test_clean"].count() == int(n * 0.25) == parts["test_obfuscated"].count()
