@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparksentry.llm import ann, decontaminate, labelled, licenses, near_duplicates, packing, quality, queries, sharding, token_counts, token_files, toxicity
+from sparksentry.llm import ann, decontaminate, frames, labelled, licenses, near_duplicates, packing, quality, queries, sharding, token_counts, token_files, toxicity
 from sparksentry.llm.arrowtext import Words, text_buffers
 from sparksentry.llm.wordtokens import ChunkEncoder, tokenizer_path
 
@@ -171,6 +171,22 @@ def test_token_files_of_one_id(spark, library, tmp_path):
     assert Counter((d, c) for d, _, _, c in sums[0]) == wanted
 
 
+def test_equal_rows_are_spread(spark, library):
+    """Most rows may be equal: they are numbered by several tasks, and packed and sharded like any others."""
+    docs = spark.createDataFrame([(7, "same words here")] * 400 + [(None, None)] * 100 + [(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    numbered = frames.ranked(frames.cut(docs), "doc_id", ["text"]).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r["_rank"] for r in numbered if r["doc_id"] == 7 and r["text"] == "same words here") == list(range(400))
+    assert max(Counter(r["part"] for r in numbered).values()) < 250
+    rows = packing.best_fit_pack(docs, 64, VOCAB).collect()
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert len(rows) == 520 and all(a[0] != b[0] and b[1] == 0 or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+    shards = sharding.shard_by_bytes(docs, 3).collect()
+    by_shard = defaultdict(list)
+    for r in shards:
+        by_shard[r["shard"]].append(r["slot"])
+    assert len(shards) == 520 and all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
 def test_shards(spark, odd, none):
     got = sharding.shard_by_bytes(odd, 3).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1) for r in odd.collect())
