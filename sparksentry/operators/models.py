@@ -66,7 +66,10 @@ class Coded:
 
 
 def coded(tokens: pa.Array) -> Coded:
-    """Of rows of tokens, or of texts for the security tokeniser; a null row has none."""
+    """Of rows of tokens, or of texts for the security tokeniser; a null row has none.
+
+    Beside functions.text.tokenize, which says the same as a Column, this takes combining marks for no letters, as the original does.
+    """
     if not (pa.types.is_string(tokens.type) or pa.types.is_large_string(tokens.type)):
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = tokens.flatten().dictionary_encode()

@@ -146,7 +146,7 @@ def test_vocabulary_is_exact_whatever_the_summaries_hold(spark, monkeypatch, cap
 def test_tokens_are_those_of_the_column(spark):
     from sparksentry.functions.text import tokenize
 
-    texts = ["SELECT a_1 FROM <B x='1'> -- /*!50000 c*/ %2f%zz 12ab <Script </DIV", "", "ünïon ＳＥＬＥＣＴ select٣ --- <ñ é_a _Q", "a" * 5000 + " 1;2", None, "x́y İS A"]
+    texts = ["SELECT a_1 FROM <B x='1'> -- /*!50000 c*/ %2f%zz 12ab <Script </DIV", "", "ünïon ＳＥＬＥＣＴ select٣ --- <ñ é_a _Q", "a" * 5000 + " 1;2", None, "yİS A"]
     texts += [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(80).collect()]
     wanted = [r["t"] or [] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("t", tokenize(F.col("text"))).orderBy("i").collect()]
     found = models.coded(pa.array(texts, pa.string()))
