@@ -170,7 +170,14 @@ _SPECIAL = _sql(r"[<>'\"()]")
 _STAND = f"CASE c {' '.join(f"WHEN {_sql(c)} THEN ([{', '.join(map(_sql, subs))}])[{_drawn('id', _sql('stand'), '(i - 1)')} % {len(subs)} + 1]" for c, subs in STAND_INS.items())} END"
 _BEFORE = f"len(list_filter(list_slice({_CHARS}, 1, i - 1), lambda x: regexp_full_match(x, {_SPECIAL})))"
 
+# what is inspected of a captured request
+_CAPTURED = f"""SELECT '10.0.' || (u // 256) % 256 || '.' || u % 256 AS src, CAST(id % 60000 + 1024 AS INT) AS src_port, '192.168.' || (id // 15360000) % 256 || '.' || (id // 60000) % 256 AS dst, 0::BIGINT AS nth,
+CASE WHEN method = 'GET' AND contains(rel_url, '?') THEN url_decode(regexp_replace(replace(rel_url, ' ', '%20'), '^[^?]*[?]', '')) WHEN method = 'POST' AND length(body) > 0 THEN url_decode(body) END AS payload
+FROM (SELECT *, CAST(string_split(remote, '.')[4] AS BIGINT) AS u FROM ({REQUESTS_SQL}))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "capture_requests": f"SELECT * FROM ({_CAPTURED}) WHERE payload IS NOT NULL",
+    "capture_summary": f"SELECT 6 * count(*) AS packets, count(*) AS requests, count(*) FILTER ({_signature('payload')} <> 'benign') AS malicious FROM ({_CAPTURED})",
     "signature_by_lang": f"SELECT lang, {_signature('text')} AS verdict, {_anomaly('text')} AS anomaly, count(*) AS n FROM ({FOLDED}) GROUP BY ALL",
     "signature_verdicts": f"SELECT id, {_signature('payload')} AS verdict FROM ({PAYLOADS_SQL})",
     "signature_rule_hits": "SELECT rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{fam}/{name}' AS rule FROM ({PAYLOADS_SQL}) WHERE {_any('payload', [p])}" for fam, rs in (("sqli", rules.SQLI_RULES), ("xss", rules.XSS_RULES)) for name, p in rs.items()) + ") GROUP BY rule",
@@ -224,6 +231,8 @@ SELECT detector, round(max(acc) FILTER (split = 'clean'), 6) AS accuracy_clean,
     "ratelimit_fold": _fold(_ERRORS, 172_800, 3, 86_400) + " SELECT id, ip, status, greatest(0, until - us) // 1000000 AS seconds_banned FROM f WHERE rn > 0",
     "ratelimit_weighted": _fold(_WEIGHTED, 172_800, 5, 86_400) + " SELECT id, status FROM f WHERE rn > 0",
     "ratelimit_active_bans": _fold(_ERRORS, 172_800, 3, 86_400) + ", m AS (SELECT ip, max(until) AS until FROM f GROUP BY ip) SELECT count(*) AS tracked_ips, count(*) FILTER (until > (SELECT max(us) FROM o)) AS active_bans FROM m",
+    "limiter_state": _fold(_ERRORS, 172_800, 3, 86_400) + ", m AS (SELECT ip, max(until) AS until FROM f GROUP BY ip) SELECT count(*) AS tracked_ips, count(*) FILTER (until > (SELECT max(us) FROM o)) AS active_bans FROM m",
+    "cascade_stream": f"{_LIMITED} SELECT {_SHOWN}, ban_triggered, seconds_banned FROM b",
     "offense_sliding_count": f"SELECT id, CAST(sum(w) OVER (PARTITION BY ip ORDER BY ts RANGE BETWEEN INTERVAL 2 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM ({_WEIGHTED})",
     "json_string_leaves": "SELECT conv_id, turn, 'role|' || role || '|parts|text|' || text || '|turn' AS strings, 3 AS max_depth FROM conversations",
     "json_malformed": f"SELECT id, valid, CASE WHEN valid THEN (SELECT count(*) FILTER (type = 'VARCHAR') + count(*) FILTER (key IS NOT NULL AND NOT regexp_full_match(key, '[0-9]+')) FROM json_tree(body0)) WHEN length(body) > 0 THEN 1 ELSE 0 END AS n FROM (SELECT id, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body0, body, coalesce(json_valid(body), false) AND length(body) > 0 AS valid FROM ({REQUESTS_SQL}) WHERE content_type LIKE 'application/json%')",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import augment, rules, text
 from ..operators import decision, json_leaves, models, ranks, ratelimit
 from ..operators.settings import Settings
 from ..operators.stored_models import fit_weighted
-from ..sources import corpus
+from ..sources import capture, corpus
 from ..sources.scratch import scratch, stored
 from ..sources.views import ADMINS, ALLOWED, DENIED, TRUSTED, WEBSOCKET_PATHS, admin_url, headers_map, payloads, requests, table
 from ..streaming import traffic
@@ -439,9 +440,9 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def _finished(spark, stream, mode):
+def _finished(spark, stream, mode, path=None):
     """Runs a stream over what is there and returns what it wrote: a file sink, whose log drops what a failed try left, or each trigger's whole result in a folder of its own."""
-    path = scratch(spark)
+    path = path or scratch(spark)
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         out.format("parquet").option("path", f"{path}/out").start().awaitTermination()
@@ -456,6 +457,18 @@ def _finished(spark, stream, mode):
     return spark.read.parquet(f"{path}/out/{max(written)}")
 
 
+@contextmanager
+def _rocksdb(spark):
+    """The state store that processors with named state need."""
+    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query
 def stream_window_counts(spark, sf_dir):
     counts = _finished(spark, traffic.windowed_counts(_event_stream(spark, sf_dir), "ts", "event_type"), "complete")
@@ -468,16 +481,40 @@ def stream_session_counts(spark, sf_dir):
     return counts.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").cast("long").alias("n"))
 
 
+def _offence_stream(spark, sf_dir):
+    return _event_stream(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ip"), "ts", F.lit(1).alias("weight"))
+
+
 @query
 def stream_ratelimit(spark, sf_dir):
-    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, wanted)
-    try:
-        stream = _event_stream(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ip"), "ts", F.lit(1).alias("weight"))
-        return _finished(spark, traffic.limit_stream(stream), "append")
-    finally:
-        spark.conf.set(key, before)
+    with _rocksdb(spark):
+        return _finished(spark, traffic.limit_stream(_offence_stream(spark, sf_dir)), "append").select("id", "ip", "status")
+
+
+@query
+def limiter_state(spark, sf_dir):
+    """Tracked clients and active bans at the last offence, from the state that a stopped stream left in its checkpoint."""
+    path = scratch(spark)
+    with _rocksdb(spark):
+        _finished(spark, traffic.limit_stream(_offence_stream(spark, sf_dir)), "append", path)
+        last = offences(spark, sf_dir).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
+        return stored(traffic.tracked(traffic.limiter_state(spark, f"{path}/checkpoint"), F.lit(last)))
+
+
+@query
+def cascade_stream(spark, sf_dir):
+    """The whole cascade as a stream of requests that arrive in four parts, in time order."""
+    asked = stored(requests(spark, sf_dir))
+    # the first three quarters, by time, end here
+    ends = asked.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first()["q"] or []
+    us, path = F.unix_micros(F.col("ts").cast("timestamp")), scratch(spark)
+    part = sum((F.when(us > e, 1).otherwise(0) for e in ends), F.lit(0))
+    for k in range(4):
+        asked.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/requests")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+    with _rocksdb(spark):
+        made = _finished(spark, traffic.cascade_stream(stream, headers_map(), SETTINGS), "append")
+    return made.withColumnRenamed("http_status", "status").selectExpr(*SHOWN, "ban_triggered", "seconds_banned")
 
 
 @query
@@ -489,3 +526,36 @@ def live_classify(spark, sf_dir):
     stream = spark.readStream.schema(found.schema).parquet(found.inputFiles()[0].rsplit("/", 1)[0])
     scored = _finished(spark, traffic.classify_stream(stream, "signature_baseline"), "append")
     return traffic.session_summary(scored, "signature_baseline")
+
+
+def _captures(spark, sf_dir):
+    """Captures of one stream for each request: a SYN, and the request in four segments, one of them twice, not in order."""
+    body = F.encode("body", "UTF-8")
+    head = F.concat("method", F.lit(" "), F.replace("rel_url", F.lit(" "), F.lit("%20")), F.lit(" HTTP/1.1\r\nHost: h\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    id, user = F.col("id"), F.substring_index("remote", ".", -1).cast("long")
+    src = F.concat(F.lit("10.0."), F.floor(user / 256) % 256, F.lit("."), user % 256)
+    raw = requests(spark, sf_dir).select(id, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), src.alias("src"), (id % 60_000 + 1024).cast("int").alias("src_port"), F.concat(F.lit("192.168."), F.floor(id / 15_360_000) % 256, F.lit("."), F.floor(id / 60_000) % 256).alias("dst"), F.lit(80).alias("dst_port"), F.concat(F.encode(head, "UTF-8"), body).alias("raw"))
+    quarter = F.floor(F.octet_length("raw") / 4).cast("int")
+    # numbers wrap around in some streams
+    start = F.pmod(F.lit((1 << 32) - 40) + id % 100, F.lit(1 << 32))
+    piece = lambda k: F.struct(F.lit(k).alias("k"), F.pmod(start + 1 + quarter * k, F.lit(1 << 32)).alias("seq"), F.lit(24).alias("flags"), F.substring(F.col("raw"), quarter * k + 1, F.lit(1 << 30) if k == 3 else quarter).alias("payload"))
+    syn = F.struct(F.lit(-1).alias("k"), start.alias("seq"), F.lit(capture.SYN).alias("flags"), F.lit(b"").alias("payload"))
+    each = raw.select("*", F.explode(F.array(syn, *map(piece, (2, 0, 3, 2, 1)))).alias("s"))
+    sent = each.select((F.col("us") + F.col("s.k") * 7).alias("us"), "src", "src_port", "dst", "dst_port", F.col("s.seq").alias("seq"), F.col("s.flags").alias("flags"), F.col("s.payload").alias("payload"))
+    return capture.captured(sent)
+
+
+@query
+def capture_requests(spark, sf_dir):
+    """Requests put together from captured segments, and the text that is inspected of each."""
+    found = capture.requests_in(capture.packets(stored(_captures(spark, sf_dir))))
+    return found.select("src", "src_port", "dst", "nth", decision.request_payload(F.col("request")).alias("payload")).filter("payload is not null")
+
+
+@query
+def capture_summary(spark, sf_dir):
+    """The session's summary of a capture: packets, requests, and how many of them the signature rules call malicious."""
+    seen = capture.packets(stored(_captures(spark, sf_dir)))
+    label = rules.signature(decision.request_payload(F.col("request")))
+    counted = capture.requests_in(seen).agg(F.count("*").alias("requests"), F.count_if(label != "benign").alias("malicious"))
+    return seen.agg(F.count("*").alias("packets")).crossJoin(counted)  # one row each

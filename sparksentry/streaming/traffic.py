@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators import decision
 from ..operators.decision import DETECTORS, known, request_payload
-from ..operators.ratelimit import Client, Limits
+from ..operators.ratelimit import NEVER, Client, Limits
+from ..operators.settings import Settings
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -26,40 +28,106 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str = "6 hours", l
 
 
 class LimiterProcessor(StatefulProcessor):
-    """The limiter's state for each client: offence times and the end of the ban."""
+    """The limiter's state for each client: offence times and the end of the ban.
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
+    carried: columns that go through as they are.  With forget, a client's state is cleared by an
+    event-time timer as soon as it can't matter any more, when the watermark has passed its
+    ban and the window of its last offence: only clients that offended lately are held.
+    """
+
+    def __init__(self, limits: Limits, carried: tuple[str, ...] = (), forget: bool = False):
+        self.limits, self.carried, self.forget = limits, carried, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         one = StructType([StructField("us", LongType())])
+        self.handle = handle
         self.offences, self.until = handle.getListState("offences", one), handle.getValueState("until", one)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        client = Client(until=self.until.get()[0] if self.until.exists() else 0)
+        client = Client(until=self.until.get()[0] if self.until.exists() else NEVER)
         client.offences.extend(r[0] for r in self.offences.get())
         batch = pd.concat(list(rows)).sort_values(["us", "id"])
         known = lambda x: None if pd.isna(x) else int(x)
-        status = ["passed" if pd.isna(us) else client.step(int(us), known(w), self.limits) for us, w in zip(batch["us"], batch["weight"])]
+        status, left = [], []
+        for us, w in zip(batch["us"], batch["weight"]):
+            status.append("passed" if pd.isna(us) else client.step(int(us), known(w), self.limits))
+            left.append(0 if pd.isna(us) else client.left(int(us)))
         if client.offences:
             self.offences.put([(int(x),) for x in client.offences])
         else:
             self.offences.clear()
-        self.until.update((int(client.until),))
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "ip": key[0], "status": status})
+        if client.until != NEVER:
+            self.until.update((int(client.until),))
+        if self.forget:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old if isinstance(old, int) else old[0])
+            last = max([client.until, *(t + self.limits.window * 1_000_000 + 1 for t in client.offences)])
+            if last != NEVER:
+                self.handle.registerTimer(-(-last // 1000))
+        own = {"id": batch["id"].to_numpy(), "ip": key[0], "status": status, "seconds_banned": left}
+        yield pd.DataFrame(own | {c: batch[c].to_numpy() for c in self.carried})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.offences.clear()
+        self.until.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """id, ip, status of a stream of (id, ip, ts, weight); each batch is folded in (ts, id) order.
+def limit_stream(offences: DataFrame, limits: Limits = Limits(), carried: tuple[str, ...] = (), late: str | None = None) -> DataFrame:
+    """id, ip, status, seconds_banned and the carried columns of a stream of (id, ip, ts, weight); each batch is folded in (ts, id) order.
 
     A client's rows of one batch are sorted in memory: bound a batch by the source's own options
     (maxFilesPerTrigger, maxOffsetsPerTrigger).  Null ts and weight count as in rate_limit.
+    late: how late rows may come in event time; then clients are forgotten when nothing of
+    them counts any more.  Without it every client stays in the state.
+    """
+    stamped = offences.withColumn("ts", F.col("ts").cast("timestamp"))
+    stamped = stamped.withWatermark("ts", late) if late else stamped
+    extra = [c for c in carried if c not in ("id", "ip")]
+    slim = stamped.select("id", "ip", F.unix_micros("ts").alias("us"), F.col("weight").cast("int").alias("weight"), *([F.col("ts").alias("_time")] if late else []), *extra)
+    shown = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in extra)
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, ip string, status string, seconds_banned long{shown}"
+    return slim.groupBy("ip").transformWithStateInPandas(LimiterProcessor(limits, tuple(extra), bool(late)), outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "None")
+
+
+def limiter_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ip, until (microseconds; null: no ban yet) of every client that a stopped limit_stream holds, read from its checkpoint."""
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    until = read("until").select(F.col("key.ip").alias("ip"), F.col("value.us").alias("until"))
+    offending = spark.read.format("statestore").option("stateVarName", "offences").option("flattenCollectionTypes", True).load(checkpoint).select(F.col("key.ip").alias("ip")).distinct()
+    both = offending.withColumn("until", F.lit(None).cast("long")).unionByName(until)
+    return both.groupBy("ip").agg(F.max("until").alias("until"))
+
+
+def tracked(state: DataFrame, now: Column) -> DataFrame:
+    """tracked_ips and active_bans of limiter_state at a time in microseconds."""
+    return state.agg(F.count("*").alias("tracked_ips"), F.count_if(F.col("until") > now).alias("active_bans"))
+
+
+CASCADE_COLUMNS = ("client", "decision", "label", "http_status", "offense_weight", "triggered_by", "malformed_json")
+
+
+def cascade_stream(requests: DataFrame, headers: Column, settings: Settings, late: str = "2 days") -> DataFrame:
+    """The whole cascade on a stream of requests: id and CASCADE_COLUMNS (http_status: status), ban_triggered and seconds_banned.
+
+    The stateless steps are those of the batch; the ban step holds a client's state until its
+    ban and its window have passed.  Static denials have no part in it.
     """
-    slim = offences.select("id", "ip", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "weight")
-    return slim.groupBy("ip").transformWithStateInPandas(LimiterProcessor(limits), outputStructType="id long, ip string, status string", outputMode="Append", timeMode="None")
+    decided = decision.cascade(requests, headers, settings).withColumnRenamed("status", "http_status")
+    denied = F.coalesce(F.col("decision") == decision.STATIC_DENY[0], F.lit(False))
+    weight = F.when(F.col("offense_weight") > 0, F.col("offense_weight"))
+    # a denied client's rows have no weight and lose nothing
+    seen = decided.select("id", F.when(denied, F.concat(F.lit("denied:"), F.col("client"))).otherwise(F.col("client")).alias("ip"), "ts", F.when(~denied, weight).alias("weight"), *CASCADE_COLUMNS)
+    limited = limit_stream(seen, settings.limits, CASCADE_COLUMNS, late)
+    banned = F.col("status") == "banned"
+    name, label, status, _, by = decision.RATE_LIMIT
+    fixed = {"decision": F.lit(name), "label": F.lit(label), "http_status": F.lit(status), "offense_weight": F.lit(0), "triggered_by": F.array(F.lit(by))}
+    counted = (F.col("status") == "ban_triggered") & F.col("decision").isin(decision.RECON[0], decision.PAYLOAD[0])
+    changed = limited.withColumns({"ban_triggered": counted, "malformed_json": F.col("malformed_json") & ~banned} | {c: F.when(banned, v).otherwise(F.col(c)) for c, v in fixed.items()})
+    return changed.select("id", *CASCADE_COLUMNS, "ban_triggered", "seconds_banned")
 
 
 def payload_stream(segments: DataFrame, port: int = 80) -> DataFrame:
