@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.scratch import cut, stored
 
@@ -313,9 +314,17 @@ def active_bans(limited: DataFrame, offences: DataFrame, limits: Limits = Limits
 
 
 def sliding_count(offences: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """id, in_window: offences of the client in the window that ends with the row, without resets."""
-    from pyspark.sql.window import Window
+    """id, in_window: offences of the client in the window that ends with the row, without resets.
 
+    Time is cut into stretches as long as the window; a row is seen in its own and the next
+    one, which hold all that a window there reaches.  A busy client is thus spread by time.
+    Rows without a time are counted among themselves.
+    """
+    width = limits.window * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("ip").orderBy("_us").rangeBetween(-limits.window * 1_000_000, 0)
-    return offences.withColumn("_us", us).select("id", F.sum("weight").over(w).cast("long").alias("in_window"))
+    own = F.floor(F.col("_us") / F.lit(width)).cast("long")
+    each = F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_own"), F.col("_own") + 1))
+    seen = offences.select("id", "ip", "weight", us.alias("_us")).withColumn("_own", own).withColumn("_stretch", F.explode(each))
+    w = Window.partitionBy("ip", "_stretch").orderBy("_us").rangeBetween(-width, 0)
+    counted = seen.withColumn("in_window", F.sum("weight").over(w).cast("long"))
+    return counted.filter(F.col("_own").eqNullSafe(F.col("_stretch"))).select("id", "in_window")

@@ -256,3 +256,6 @@ SELECT detector, round(max(acc) FILTER (split = 'clean'), 6) AS accuracy_clean,
     "stream_ratelimit": _fold(_ERRORS, 172_800, 3, 86_400) + " SELECT id, ip, status FROM f WHERE rn > 0",
 }
 
+# what a stream leaves behind is what the batch gives
+ORACLE_SQL["decision_log_files"] = f"SELECT event FROM ({ORACLE_SQL['decision_log_json']})"
+ORACLE_SQL["prometheus_live"] = ORACLE_SQL["prometheus_text"]

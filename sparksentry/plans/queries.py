@@ -15,7 +15,7 @@ from ..operators.stored_models import fit_weighted
 from ..sources import capture, corpus
 from ..sources.scratch import scratch, stored
 from ..sources.views import ADMINS, ALLOWED, DENIED, TRUSTED, WEBSOCKET_PATHS, admin_url, headers_map, payloads, requests, table
-from ..streaming import traffic
+from ..streaming import live, traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,22 +501,49 @@ def limiter_state(spark, sf_dir):
         return stored(traffic.tracked(traffic.limiter_state(spark, f"{path}/checkpoint"), F.lit(last)))
 
 
-@query
-def cascade_stream(spark, sf_dir):
-    """The whole cascade as a stream of requests that arrive in four parts, in time order."""
+def _request_stream(spark, sf_dir):
+    """The requests as a stream that arrives in four parts, in time order."""
     asked = stored(requests(spark, sf_dir))
-    # the first three quarters, by time, end here
-    ends = asked.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first()["q"] or []
     us, path = F.unix_micros(F.col("ts").cast("timestamp")), scratch(spark)
+    # the first three quarters, by time, end here
+    ends = asked.agg(F.percentile(us, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first()["q"] or []
     part = sum((F.when(us > e, 1).otherwise(0) for e in ends), F.lit(0))
     for k in range(4):
         asked.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/requests")
-    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+    return spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+
+
+@query
+def cascade_stream(spark, sf_dir):
+    """The whole cascade as a stream."""
     with _rocksdb(spark):
-        made = _finished(spark, traffic.cascade_stream(stream, headers_map(), SETTINGS), "append")
+        made = _finished(spark, traffic.cascade_stream(_request_stream(spark, sf_dir), headers_map(), SETTINGS), "append")
     return made.withColumnRenamed("http_status", "status").selectExpr(*SHOWN, "ban_triggered", "seconds_banned")
 
 
+def _sunk(spark, sf_dir, sink):
+    """Runs the streaming cascade into a sink for foreachBatch."""
+    stream = traffic.cascade_stream(_request_stream(spark, sf_dir), headers_map(), SETTINGS, keep=("ts", "method", "rel_url"))
+    with _rocksdb(spark):
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{scratch(spark)}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def decision_log_files(spark, sf_dir):
+    """The event log of the streaming cascade, read back from its files of at most 1 MB."""
+    folder = scratch(spark)
+    _sunk(spark, sf_dir, live.log_sink(folder, 1 << 20))
+    return live.read_log(spark, folder)
+
+
+@query
+def prometheus_live(spark, sf_dir):
+    """The text to scrape after the last trigger of the streaming cascade."""
+    folder = scratch(spark)
+    _sunk(spark, sf_dir, live.counter_sink(folder))
+    return decision.prometheus_text(live.live_counters(spark, folder))
+
+
 @query
 def live_classify(spark, sf_dir):
     """Raw segments as a stream, scored by one detector; and the session's summary."""

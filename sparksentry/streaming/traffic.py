@@ -87,7 +87,7 @@ def limit_stream(offences: DataFrame, limits: Limits = Limits(), carried: tuple[
     stamped = offences.withColumn("ts", F.col("ts").cast("timestamp"))
     stamped = stamped.withWatermark("ts", late) if late else stamped
     extra = [c for c in carried if c not in ("id", "ip")]
-    slim = stamped.select("id", "ip", F.unix_micros("ts").alias("us"), F.col("weight").cast("int").alias("weight"), *([F.col("ts").alias("_time")] if late else []), *extra)
+    slim = stamped.select("id", "ip", F.unix_micros("ts").alias("us"), F.col("weight").cast("int").alias("weight"), *([F.col("ts").alias("_time")] if late and "ts" not in extra else []), *extra)
     shown = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in extra)
     schema = f"id {slim.schema['id'].dataType.simpleString()}, ip string, status string, seconds_banned long{shown}"
     return slim.groupBy("ip").transformWithStateInPandas(LimiterProcessor(limits, tuple(extra), bool(late)), outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "None")
@@ -110,8 +110,8 @@ def tracked(state: DataFrame, now: Column) -> DataFrame:
 CASCADE_COLUMNS = ("client", "decision", "label", "http_status", "offense_weight", "triggered_by", "malformed_json")
 
 
-def cascade_stream(requests: DataFrame, headers: Column, settings: Settings, late: str = "2 days") -> DataFrame:
-    """The whole cascade on a stream of requests: id and CASCADE_COLUMNS (http_status: status), ban_triggered and seconds_banned.
+def cascade_stream(requests: DataFrame, headers: Column, settings: Settings, late: str = "2 days", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The whole cascade on a stream of requests: id, the kept columns and CASCADE_COLUMNS (http_status: status), ban_triggered and seconds_banned.
 
     The stateless steps are those of the batch; the ban step holds a client's state until its
     ban and its window have passed.  Static denials have no part in it.
@@ -120,14 +120,14 @@ def cascade_stream(requests: DataFrame, headers: Column, settings: Settings, lat
     denied = F.coalesce(F.col("decision") == decision.STATIC_DENY[0], F.lit(False))
     weight = F.when(F.col("offense_weight") > 0, F.col("offense_weight"))
     # a denied client's rows have no weight and lose nothing
-    seen = decided.select("id", F.when(denied, F.concat(F.lit("denied:"), F.col("client"))).otherwise(F.col("client")).alias("ip"), "ts", F.when(~denied, weight).alias("weight"), *CASCADE_COLUMNS)
-    limited = limit_stream(seen, settings.limits, CASCADE_COLUMNS, late)
+    seen = decided.select("id", F.when(denied, F.concat(F.lit("denied:"), F.col("client"))).otherwise(F.col("client")).alias("ip"), "ts", F.when(~denied, weight).alias("weight"), *CASCADE_COLUMNS, *(c for c in keep if c != "ts"))
+    limited = limit_stream(seen, settings.limits, (*CASCADE_COLUMNS, *keep), late)
     banned = F.col("status") == "banned"
     name, label, status, _, by = decision.RATE_LIMIT
     fixed = {"decision": F.lit(name), "label": F.lit(label), "http_status": F.lit(status), "offense_weight": F.lit(0), "triggered_by": F.array(F.lit(by))}
     counted = (F.col("status") == "ban_triggered") & F.col("decision").isin(decision.RECON[0], decision.PAYLOAD[0])
     changed = limited.withColumns({"ban_triggered": counted, "malformed_json": F.col("malformed_json") & ~banned} | {c: F.when(banned, v).otherwise(F.col(c)) for c, v in fixed.items()})
-    return changed.select("id", *CASCADE_COLUMNS, "ban_triggered", "seconds_banned")
+    return changed.select("id", *keep, *CASCADE_COLUMNS, "ban_triggered", "seconds_banned")
 
 
 def payload_stream(segments: DataFrame, port: int = 80) -> DataFrame:

@@ -207,3 +207,15 @@ def test_combined_sources(spark, tmp_path):
     corpus.save_partitions(corpus.build_dataset(spark, own), f"{tmp_path}/out")
     back = corpus.read_csv(spark, f"{tmp_path}/out/train").unionByName(corpus.read_csv(spark, f"{tmp_path}/out/test_clean"))
     assert sorted(map(tuple, back.collect())) == [("2", "sqli"), ("a=1", "benign")]
+
+
+def test_sliding_counts_of_a_busy_client(spark):
+    random.seed(12)
+    limits = Limits(window=50)
+    rows = [(i, random.choice(["hot", "hot", "hot", None]), None if i % 97 == 0 else START + dt.timedelta(seconds=random.randrange(-300, 900)), random.choice([1, 2, None])) for i in range(500)]
+    wanted = {}
+    for id, ip, ts, _ in rows:
+        near = [w for _, other, t, w in rows if other == ip and w and ((t is None and ts is None) or (t and ts and ts - dt.timedelta(seconds=50) <= t <= ts))]
+        wanted[id] = sum(near) or None
+    got = {r["id"]: r["in_window"] for r in ratelimit.sliding_count(spark.createDataFrame(rows, OFFENCES), limits).collect()}
+    assert got == wanted

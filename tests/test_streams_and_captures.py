@@ -157,3 +157,62 @@ def test_requests_arrive_as_lines(spark, tmp_path):
     stream = traffic.request_stream(spark, str(tmp_path / "in"), schema, max_bytes=20)
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+
+
+def test_the_log_rolls_and_survives_a_failing_batch(spark, tmp_path):
+    from sparksentry.streaming import live
+
+    folder, source = str(tmp_path / "log"), str(tmp_path / "in")
+    lines = [f"event {i} {'x' * (i % 40)}" for i in range(300)]
+    for k in range(3):
+        spark.createDataFrame([(x,) for x in lines[100 * k : 100 * k + 100]], "event string").coalesce(1).write.mode("append").parquet(source)
+    failures = [1]
+
+    def sink(df, batch):
+        live.write_log(df, folder, batch, max_bytes=1000)
+        if batch == 1 and failures:
+            failures.pop()
+            raise RuntimeError("lost after the files were written")
+
+    def go():
+        stream = spark.readStream.schema("event string").option("maxFilesPerTrigger", 1).parquet(source)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="lost after"):
+        go()
+    go()
+    files = live.log_files(spark, folder)
+    assert sorted(r["event"] for r in live.read_log(spark, folder).collect()) == sorted(lines)
+    assert len(files) > 8 and all(size <= 1000 for _, size in files)
+    live.write_log(spark.createDataFrame([("last",)], "event string"), folder, 3, 1000, backups=4)
+    kept = live.log_files(spark, folder)
+    assert [f for f, _ in kept][:4] == [f for f, _ in files][-4:] and len(kept) == 5
+    live.write_log(spark.createDataFrame([], "event string"), folder, 4)
+    assert len(live.log_files(spark, folder)) == 5 and live.read_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_counters_are_live(spark, tmp_path):
+    import time
+
+    from sparksentry.operators.decision import METRICS
+    from sparksentry.streaming import live
+
+    schema = "ts timestamp, decision string, ban_triggered boolean"
+    rows = [(START + dt.timedelta(seconds=i), ["allowed", "blocked", "blocked_recon", "blocked_static_deny"][i % 4], i % 8 == 1) for i in range(60)]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "counts")
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(source)
+    scraped = live.Exposition(spark, folder)
+    spark.streams.addListener(scraped)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream.writeStream.foreachBatch(live.counter_sink(folder)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if scraped.triggers == 3 and "waf_requests_allowed_total 15" in scraped.text:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(scraped)
+    said = dict(line.split() for line in scraped.text.splitlines() if not line.startswith("#"))
+    assert scraped.triggers == 3 and len(said) == len(METRICS)
+    assert (said["waf_requests_allowed_total"], said["waf_requests_blocked_total"], said["waf_static_denied_total"], said["waf_bans_triggered_total"], said["waf_uptime_seconds"]) == ("15", "30", "15", "8", "59.0")
