@@ -16,14 +16,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +28,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import ASCII_TOKEN_PATTERN, TOKEN_PATTERN, tokenize
 from ..sources.scratch import bounded_batches, stored
+from .fits import sigmoids, squared_hinge
 from .ranks import stratified
 
 MAX_FEATURES = 4000
@@ -488,47 +486,20 @@ def fit_logistic(train: DataFrame, vocabulary: Vocabulary, labels: list[str], c:
     return Linear(vocabulary, labels[: len(weights)], weights[None], offsets[None])
 
 
-#: Fits of the SVM that run at the same time; each holds the vectors of its folds in memory.
-FITS_AT_ONCE = 2
+def fit_svm(rows: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: int = 3, c: float = 1.0, max_iter: int = 60) -> Linear:
+    """One-vs-rest linear SVMs (squared hinge) over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
 
-
-def fit_svm(train: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: int = 3, c: float = 1.0, max_iter: int = 30) -> Linear:
-    """One-vs-rest linear SVMs over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
-
-    train: id, features, label (a label's number).  Every fold holds its share of each label,
-    and no label passes through one task.
+    rows: id, indices, weights, label (a label's number).  Every fold holds its share of each
+    label, no label passes through one task, and each pass serves all folds and labels.
     """
-    folded = stratified(train, "label", ["id"], folds, name="_fold").cache()
+    slim = stratified(rows.select("id", "indices", "weights", F.col("label").cast("int").alias("label")), "label", ["id"], folds, name="_fold")
+    folded = stored(slim.drop("id"))
     sizes = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}
-
-    def few(df: DataFrame, rows: int) -> DataFrame:
-        # each of the many passes is one job: no more tasks than rows give work for
-        return df.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000 + 1)))
-
-    def fitted(k: int, y: int) -> tuple:
-        one = folded.select("_fold", "features", (F.col("label") == y).cast("double").alias("label"))
-        # a single fold is fitted and calibrated on itself
-        own = one.filter(F.col("_fold") != k) if len(sizes) > 1 else one
-        n = sum(m for f, m in sizes.items() if f != k) or sizes[k]
-        svm = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False).fit(few(own.drop("_fold"), n))
-        margin = svm.transform(few(one.filter(F.col("_fold") == k).drop("_fold"), sizes[k])).select(array_to_vector(F.array(_margin())).alias("features"), "label")
-        sigmoid = LogisticRegression(maxIter=50).fit(margin)
-        return svm.coefficients.toArray(), svm.intercept, float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-
-    # the fits don't depend on one another, and each pass of one leaves most executors idle
-    each = [(k, y) for k in sorted(sizes) for y in range(len(labels))]
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        made = pool.starmap(inheritable_thread_target(train.sparkSession)(fitted), each)
-    parts = [made[i : i + len(labels)] for i in range(0, len(made), len(labels))]
-    folded.unpersist()
-    weights, offsets, slopes, shifts = (np.array([[p[i] for p in part] for part in parts], float) for i in range(4))
-    return Linear(vocabulary, labels, weights, offsets, slopes, np.clip(shifts, -500, 500))
-
-
-def _margin(name: str = "rawPrediction") -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(name))[1]
+    which = np.array(sorted(sizes), np.int64)
+    points = squared_hinge(folded, len(vocabulary.terms), len(labels), which, c, np.array([sizes[k] for k in sorted(sizes)], float), max_iter)
+    slopes, shifts = sigmoids(folded, points, len(labels), which)
+    shape = (len(which), len(labels))
+    return Linear(vocabulary, labels, points[:-1].T.reshape(*shape, -1), points[-1].reshape(shape), slopes.reshape(shape), np.clip(shifts, -500, 500).reshape(shape))
 
 
 MODELS = ("naive_bayes", "logistic_regression", "svm")

@@ -78,9 +78,10 @@ def fit_weighted(name: str, weighted: DataFrame, vocabulary: models.Vocabulary,
     rows = weighted.filter("label is not null")
     labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]  # a few
     number = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("double") - 1
-    train = models.vectors(rows, len(vocabulary.terms), ("id", "label")).withColumn("label", number)
     limit = {} if max_iter is None else {"max_iter": max_iter}
-    return {"logistic_regression": models.fit_logistic, "svm": models.fit_svm}[name](train, vocabulary, labels, **limit)
+    if name == "svm":
+        return models.fit_svm(rows.withColumn("label", number), vocabulary, labels, **limit)
+    return models.fit_logistic(models.vectors(rows, len(vocabulary.terms), ("id", "label")).withColumn("label", number), vocabulary, labels, **limit)
 
 
 def load(spark: SparkSession, name: str, folder: str) -> TextClassifier:
