@@ -56,23 +56,34 @@ def _sql_pick(values: list, by: str) -> str:
     return f"(([{', '.join(map(_sql, values))}])[CAST({by} AS BIGINT) % {len(values)} + 1])"
 
 
+def _with_pages(spark: SparkSession, sf_dir: str, *columns: Column) -> DataFrame:
+    """The events, each with these columns of the page that its id points at, or nulls where there is none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", *columns)
+    events = table(spark, sf_dir, "events")
+    return events.join(pages, F.pmod(F.col("event_id"), F.lit(max(pages.count(), 1))) == F.col("page_id"), "left")
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, payload, label: every event's sample string."""
+    """id, payload, label: for every event a sample string, most with something of the event or its page behind it."""
     id = F.col("event_id")
-    return table(spark, sf_dir, "events").select(id.alias("id"), _pick([p for _, p in SAMPLES], id).alias("payload"), _pick([s for s, _ in SAMPLES], id).alias("label"))
+    own = (
+        F.when(id % 5 == 1, F.concat(F.lit("&ref="), F.coalesce("url", F.lit(""))))
+        .when(id % 5 == 2, F.concat(F.lit("&n="), id.cast("string")))
+        .when(id % 5 == 3, F.concat(F.lit("#"), F.left(F.md5(id.cast("string").cast("binary")), F.lit(8))))
+        .when(id % 5 == 4, F.concat(F.lit("&p="), F.coalesce("props", F.lit(""))))
+        .otherwise("")
+    )
+    return _with_pages(spark, sf_dir, F.col("url")).select(id.alias("id"), F.concat(_pick([p for _, p in SAMPLES], id), own).alias("payload"), _pick([s for s, _ in SAMPLES], id).alias("label"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for each event; its URL is that of the page that its id points at."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"https?://[^/]+(.*)", 1).alias("_path"))
-    events = table(spark, sf_dir, "events")
-    n = pages.count()
+    """One request for each event; its URL is that of the page that its id points at, or / where there is none."""
     id = F.col("event_id")
-    df = events.join(pages, F.pmod(id, F.lit(n)) == F.col("page_id"))
+    df = _with_pages(spark, sf_dir, F.regexp_extract("url", r"https?://[^/]+(.*)", 1).alias("_path"))
     method = F.when(F.col("event_type") == "click", "POST").when(F.col("event_type") == "error", "PUT").otherwise("GET")
     return df.select(
         id.alias("id"), F.col("ts"), F.concat(F.lit("10.0.0."), F.col("user_id")).alias("remote"), method.alias("method"),
-        F.concat("_path", _pick(SUFFIXES, id)).alias("rel_url"), _pick(AGENTS, id).alias("user_agent"), _pick(FORWARDED, id).alias("xff"),
+        F.concat(F.coalesce("_path", F.lit("/")), _pick(SUFFIXES, id)).alias("rel_url"), _pick(AGENTS, id).alias("user_agent"), _pick(FORWARDED, id).alias("xff"),
         _pick(LENGTHS, id).alias("content_length"), _pick(ENCODINGS, id).alias("transfer_encoding"), _pick(CONNECTIONS, id).alias("connection"), _pick(UPGRADES, id).alias("upgrade"),
         _pick(CONTENT_TYPES, id).alias("content_type"), F.when(F.col("event_type") == "click", _pick(BODIES, id)).otherwise("").alias("body"),
     )
@@ -89,9 +100,11 @@ def headers_map() -> Column:
     return F.map_filter(every, lambda k, v: v.isNotNull())
 
 
-PAYLOADS_SQL = f"SELECT event_id AS id, {_sql_pick([p for _, p in SAMPLES], 'event_id')} AS payload, {_sql_pick([s for s, _ in SAMPLES], 'event_id')} AS label FROM events"
+_PAGES_SQL = "events LEFT JOIN pages ON event_id % greatest((SELECT count(*) FROM pages), 1) = page_id"
+PAYLOADS_SQL = f"""SELECT event_id AS id, {_sql_pick([p for _, p in SAMPLES], 'event_id')} || CASE event_id % 5 WHEN 1 THEN '&ref=' || coalesce(url, '') WHEN 2 THEN '&n=' || event_id
+WHEN 3 THEN '#' || left(md5(CAST(event_id AS VARCHAR)), 8) WHEN 4 THEN '&p=' || coalesce(props, '') ELSE '' END AS payload, {_sql_pick([s for s, _ in SAMPLES], 'event_id')} AS label FROM {_PAGES_SQL}"""
 REQUESTS_SQL = f"""SELECT event_id AS id, ts, '10.0.0.' || user_id AS remote, CASE event_type WHEN 'click' THEN 'POST' WHEN 'error' THEN 'PUT' ELSE 'GET' END AS method,
-regexp_extract(url, 'https?://[^/]+(.*)', 1) || {_sql_pick(SUFFIXES, 'event_id')} AS rel_url, {_sql_pick(AGENTS, 'event_id')} AS user_agent, {_sql_pick(FORWARDED, 'event_id')} AS xff,
+coalesce(regexp_extract(url, 'https?://[^/]+(.*)', 1), '/') || {_sql_pick(SUFFIXES, 'event_id')} AS rel_url, {_sql_pick(AGENTS, 'event_id')} AS user_agent, {_sql_pick(FORWARDED, 'event_id')} AS xff,
 {_sql_pick(LENGTHS, 'event_id')} AS content_length, {_sql_pick(ENCODINGS, 'event_id')} AS transfer_encoding, {_sql_pick(CONNECTIONS, 'event_id')} AS connection, {_sql_pick(UPGRADES, 'event_id')} AS upgrade,
 {_sql_pick(CONTENT_TYPES, 'event_id')} AS content_type, CASE WHEN event_type = 'click' THEN {_sql_pick(BODIES, 'event_id')} ELSE '' END AS body
-FROM events JOIN pages ON event_id % (SELECT count(*) FROM pages) = page_id"""
+FROM {_PAGES_SQL}"""
