@@ -71,6 +71,7 @@ WEBSOCKET = ("blocked_websocket", "websocket_not_allowed", 400, 0, "websocket_up
 PASSED_THROUGH = ("allowed_websocket_passthrough", "benign", 200, 0, None)
 PAYLOAD = ("blocked", None, 403, 1, None)
 ALLOWED = ("allowed", "benign", 200, 0, None)
+FAILED = ("error", "internal_error", 500, 0, None)
 MALFORMED_JSON = ("note_malformed_json", "malformed_json", None, 0, "json_extraction")
 FIELDS = ("decision", "label", "status", "offense_weight", "triggered_by")
 
@@ -90,12 +91,17 @@ def cascade(requests: DataFrame, headers: Column, settings: Settings) -> DataFra
     websocket, the ensemble over the decoded URL and the body (a JSON body's strings and keys), the
     signature rules over header texts, allow.  A step is only computed for rows that no earlier one
     has decided.  with_bans applies the ban step, which needs the clients' history.
+
+    A request that can't be handled, having no URL or method or a body whose walk breaks off, gets
+    an error with status 500, which says nothing of the cause: one bad row ends no job.
+    It is neither counted nor logged as a decision.
     """
     trusted = list(settings.trusted_proxies)
     deny = F.col("client").isin(*settings.static_deny_ips) & ~F.col("client").isin(*settings.static_allow_ips)
     df = requests.withColumn("client", rules.client_ip(F.col("remote"), F.col("xff"), trusted)).withColumn("_deny", deny)
-    df = df.withColumn("_recon", F.when(~F.col("_deny"), rules.recon(F.col("rel_url"), headers, F.col("client"), trusted)))
-    df = df.withColumn("_open", ~F.col("_deny") & ~F.col("_recon")["flagged"])
+    unfit = F.col("rel_url").isNull() | F.col("method").isNull()
+    df = df.withColumn("_recon", F.when(~F.col("_deny") & ~unfit, rules.recon(F.col("rel_url"), headers, F.col("client"), trusted)))
+    df = df.withColumn("_open", F.coalesce(~F.col("_recon")["flagged"], F.lit(False)))
     df = df.withColumn("_bad", F.when(F.col("_open"), rules.integrity_reason(F.col("content_length"), F.col("transfer_encoding"))))
     df = df.withColumn("_ws", F.col("_open") & F.col("_bad").isNull() & rules.websocket_upgrade(F.col("connection"), F.col("upgrade")))
     df = df.withColumn("_left", F.col("_open") & F.col("_bad").isNull() & ~F.col("_ws"))
@@ -113,6 +119,7 @@ def cascade(requests: DataFrame, headers: Column, settings: Settings) -> DataFra
     passed = rules.path_of(F.col("rel_url")).isin(*settings.allow_websocket_paths)
     made = (
         F.when(F.col("_deny"), _decision(STATIC_DENY))
+        .when(unfit | F.coalesce(F.col("_json")["failed"], F.lit(False)), _decision(FAILED))
         .when(F.col("_recon")["flagged"], _decision(RECON, triggered_by=F.col("_recon")["reasons"]))
         .when(F.col("_bad").isNotNull(), _decision(MALFORMED, triggered_by=F.array("_bad")))
         .when(F.col("_ws") & passed, _decision(PASSED_THROUGH))
@@ -158,6 +165,7 @@ def with_bans(decided: DataFrame, limits: ratelimit.Limits) -> DataFrame:
 def log_events(decided: DataFrame) -> DataFrame:
     """The rows to log: every decision, and a note before it where a JSON body is malformed."""
     none = F.array().cast("array<string>")
+    decided = decided.filter(F.col("decision") != FAILED[0])
     notes = decided.filter("malformed_json").withColumns({"decision": F.lit(MALFORMED_JSON[0]), "label": F.lit(MALFORMED_JSON[1]), "status": F.lit(None).cast("int"), "offense_weight": F.lit(0), "triggered_by": F.array(F.lit(MALFORMED_JSON[4]))})
     return decided.withColumn("triggered_by", F.coalesce("triggered_by", none)).unionByName(notes)
 

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The limits of the walk.
 MAX_DEPTH, MAX_STRINGS = 25, 200
-SCHEMA = "string_values array<string>, was_valid_json boolean, max_depth int"
+SCHEMA = "string_values array<string>, was_valid_json boolean, max_depth int, failed boolean"
 
 
 def walk(body: bytes | None) -> tuple[list[str], bool, int]:
@@ -37,6 +38,13 @@ def walk(body: bytes | None) -> tuple[list[str], bool, int]:
     return out, True, deepest
 
 
+def _walked(body: bytes | None) -> tuple[list[str], bool, int, bool]:
+    try:
+        return *walk(body), False
+    except Exception:  # noqa: BLE001  one body must not end the job: its request gets an error of its own
+        return [], False, 0, True
+
+
 def json_strings(body: Column) -> Column:
-    """struct(string_values, was_valid_json, max_depth) of a binary or string body."""
-    return F.udf(walk, SCHEMA, useArrow=True)(body.cast("binary"))
+    """struct(string_values, was_valid_json, max_depth, failed) of a binary or string body; failed: the walk broke off."""
+    return F.udf(_walked, SCHEMA, useArrow=True)(body.cast("binary"))
