@@ -30,8 +30,7 @@ def folded(rows, limits):
     return out
 
 
-@pytest.mark.parametrize("steps", [4096, 0])
-@pytest.mark.parametrize(("limits", "span"), [(Limits(30, 3, 10), 900), (Limits(5, 4, 60), 400), (Limits(1000, 2, 1), 5000), (Limits(60, 3, 100), 90)])
+@pytest.mark.parametrize(("limits", "span", "steps"), [(Limits(30, 3, 10), 900, 0), (Limits(5, 4, 60), 400, 4096), (Limits(1000, 2, 1), 5000, 4096), (Limits(60, 3, 100), 90, 4096)])
 def test_a_busy_client_is_folded_in_parallel(spark, monkeypatch, limits, span, steps):
     monkeypatch.setattr(ratelimit, "STEPS", steps)
     random.seed(span)
