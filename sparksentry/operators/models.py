@@ -29,7 +29,7 @@ from pyspark.sql.types import StructField, StructType
 from ..functions.text import ASCII_TOKEN_PATTERN, TOKEN_PATTERN, tokenize
 from ..sources.scratch import bounded_batches, stored
 from .fits import sigmoids, squared_hinge
-from .ranks import stratified
+from .ranks import BROADCAST_ROWS, stratified
 
 MAX_FEATURES = 4000
 #: Tokens, or bytes of texts, whose terms are counted together.
@@ -490,10 +490,14 @@ def fit_svm(rows: DataFrame, vocabulary: Vocabulary, labels: list[str], folds: i
     """One-vs-rest linear SVMs (squared hinge) over folds, each calibrated by a sigmoid on its own fold; probabilities are averaged.
 
     rows: id, indices, weights, label (a label's number).  Every fold holds its share of each
-    label, no label passes through one task, and each pass serves all folds and labels.
+    label's ids (rows of one id stay together), no label passes through one task, and each
+    pass serves all folds and labels.
     """
-    slim = stratified(rows.select("id", "indices", "weights", F.col("label").cast("int").alias("label")), "label", ["id"], folds, name="_fold")
-    folded = stored(slim.drop("id"))
+    rows = rows.select("id", "indices", "weights", F.col("label").cast("int").alias("label"))
+    # only the ids are sorted
+    ids = stored(stratified(rows.select("id", "label").distinct(), "label", ["id"], folds, name="_fold").select(F.struct("id", "label").alias("_key"), "_fold"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    folded = stored(rows.join(ids, F.struct("id", "label") == F.col("_key")).select("indices", "weights", "label", "_fold"))
     sizes = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}
     which = np.array(sorted(sizes), np.int64)
     points = squared_hinge(folded, len(vocabulary.terms), len(labels), which, c, np.array([sizes[k] for k in sorted(sizes)], float), max_iter)
