@@ -575,7 +575,7 @@ def _captures(spark, sf_dir):
 @query
 def capture_requests(spark, sf_dir):
     """Requests put together from captured segments, and the text that is inspected of each."""
-    found = capture.requests_in(capture.packets(stored(_captures(spark, sf_dir))))
+    found = capture.requests_in(capture.packets(capture.kept(_captures(spark, sf_dir))))
     return found.select("src", "src_port", "dst", "nth", decision.request_payload(F.col("request")).alias("payload")).filter("payload is not null")
 
 

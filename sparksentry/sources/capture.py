@@ -12,12 +12,13 @@ from __future__ import annotations
 import ipaddress
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import LARGE_ROWS, bounded_batches, stored
 
 PACKETS = "path string, ts timestamp, src string, src_port int, dst string, dst_port int, seq long, flags int, payload binary"
 FLOW = ["src", "src_port", "dst", "dst_port"]
@@ -53,6 +54,16 @@ def frames_of(content: bytes, path: str = "") -> Iterator[tuple[int, int, bytes]
         at += size
 
 
+@lru_cache(1 << 14)
+def shown(address: bytes) -> str:
+    return str(ipaddress.ip_address(address))
+
+
+@lru_cache(1 << 14)
+def packed(address: str) -> bytes:
+    return ipaddress.ip_address(address).packed
+
+
 def tcp_of(link: int, frame: bytes) -> tuple[str, int, str, int, int, int, bytes] | None:
     """src, src_port, dst, dst_port, seq, flags, payload of a TCP packet; None for anything else."""
     at = 0
@@ -80,7 +91,7 @@ def tcp_of(link: int, frame: bytes) -> tuple[str, int, str, int, int, int, bytes
     src_port, dst_port, seq = struct.unpack_from(">HHI", frame, tcp)
     body = tcp + (frame[tcp + 12] >> 4) * 4
     # Ethernet fills up short frames, so the datagram's own length counts
-    return str(ipaddress.ip_address(src)), src_port, str(ipaddress.ip_address(dst)), dst_port, seq, frame[tcp + 13], frame[body : min(end, len(frame))]
+    return shown(src), src_port, shown(dst), dst_port, seq, frame[tcp + 13], frame[body : min(end, len(frame))]
 
 
 def packets(captures: DataFrame) -> DataFrame:
@@ -113,7 +124,7 @@ def capture_of(rows: list[dict]) -> bytes:
     out = [struct.pack("<IHHiIII", MAGIC_MICRO, 2, 4, 0, 0, 65535, ETHERNET)]
     for r in rows:
         tcp = struct.pack(">HHIIBBHHH", r["src_port"], r["dst_port"], r["seq"], 0, 5 << 4, r["flags"], 65535, 0, 0) + (r["payload"] or b"")
-        ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(tcp), 0, 0, 64, TCP, 0, *(ipaddress.ip_address(r[c]).packed for c in ("src", "dst")))
+        ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(tcp), 0, 0, 64, TCP, 0, packed(r["src"]), packed(r["dst"]))
         frame = bytes(12) + struct.pack(">H", IPV4) + ip + tcp
         out.append(struct.pack("<IIII", *divmod(r["us"], 1_000_000), len(frame), len(frame)) + frame)
     return b"".join(out)
@@ -135,6 +146,11 @@ def captured(packets: DataFrame, most: int = 2000) -> DataFrame:
     return packets.mapInArrow(run, "path string, content binary")
 
 
+def kept(captures: DataFrame) -> DataFrame:
+    """The captures from a table in the shared folder, whose readers hold a few files at a time, however many there are."""
+    return stored(captures, **LARGE_ROWS)
+
+
 class Requests:
     """Cuts a stream of bytes into HTTP/1.x requests: a head, and as many bytes of a body as it says."""
 

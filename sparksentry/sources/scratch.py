@@ -25,14 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: lineage is cut and columns can be read alone."""
     path = f"{scratch(df.sparkSession)}/table"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be long, unless the session has its own bound."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Write options for a table whose rows may be large: a row group, which a reader decodes as one, ends after a few MB (compressed) or rows.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "64", "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64"}
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds the rows and bytes of an Arrow batch, as texts may be long, unless the session has its own bounds."""
+    for key, usual, bound in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))

@@ -218,3 +218,18 @@ def test_sliding_counts_of_a_busy_client(spark):
         wanted[id] = sum(near) or None
     got = {r["id"]: r["in_window"] for r in ratelimit.sliding_count(spark.createDataFrame(rows, OFFENCES), limits).collect()}
     assert got == wanted
+
+
+def test_readers_hold_a_few_captures(spark):
+    """What a reader decodes as one, a row group, doesn't grow with the number of capture files."""
+    import pyarrow.parquet as pq
+
+    from sparksentry.sources import capture
+
+    packet = F.struct(F.col("id").alias("us"), F.lit("10.0.0.1").alias("src"), F.lit(2000).alias("src_port"), F.lit("10.0.0.9").alias("dst"), F.lit(80).alias("dst_port"), F.col("id").alias("seq"), F.lit(24).alias("flags"), F.encode(F.repeat(F.sha2(F.col("id").cast("string"), 512), 8), "UTF-8").alias("payload"))
+    sent = spark.range(60_000, numPartitions=1).select(packet.alias("p")).select("p.*")
+    kept = capture.kept(capture.captured(sent, most=100))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 60_000_000 and max(groups) < 25_000_000
+    assert capture.packets(kept).agg(F.count("*"), F.count_distinct("seq")).first()[:] == (60_000, 60_000)
