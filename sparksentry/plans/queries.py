@@ -582,7 +582,7 @@ def capture_requests(spark, sf_dir):
 @query
 def capture_summary(spark, sf_dir):
     """The session's summary of a capture: packets, requests, and how many of them the signature rules call malicious."""
-    seen = capture.packets(stored(_captures(spark, sf_dir)))
+    seen = capture.packets(capture.kept(_captures(spark, sf_dir)))
     label = rules.signature(decision.request_payload(F.col("request")))
     counted = capture.requests_in(seen).agg(F.count("*").alias("requests"), F.count_if(label != "benign").alias("malicious"))
     return seen.agg(F.count("*").alias("packets")).crossJoin(counted)  # one row each
