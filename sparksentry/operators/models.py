@@ -78,6 +78,8 @@ def coded(tokens: pa.Array) -> Coded:
     for text in tokens.to_pylist():
         found = (_ASCII if text.isascii() else _ANY).findall(text) if text else ()
         each.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+    # the dictionary holds itself by this method: it would stay until Python looks for cycles, which strings hardly ever cause
+    number.default_factory = None
     # only identifiers begin with a letter or '_'
     lower = [t.lower() if t[0] == "_" or t[0].isalpha() else t for t in number]
     found = pa.array(lower, pa.string()).dictionary_encode()
@@ -152,6 +154,7 @@ def heavy_terms(tokenised: DataFrame, most: int, capacity: int) -> list[str] | N
             for part in slices(batch):
                 summary.add(*heaviest(coded(part.column("tokens")), capacity))
         names, count = summary.merge()
+        pa.default_memory_pool().release_unused()  # the worker process stays for later tasks
         # the row without a term says what was lost
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(count, summary.lost))], ["term", "n"])
 

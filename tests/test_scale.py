@@ -233,3 +233,23 @@ def test_readers_hold_a_few_captures(spark):
     groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
     assert sum(groups) > 60_000_000 and max(groups) < 25_000_000
     assert capture.packets(kept).agg(F.count("*"), F.count_distinct("seq")).first()[:] == (60_000, 60_000)
+
+
+def test_what_a_slice_took_is_freed():
+    """Without a search for cycles: a task counts many slices and makes few objects that would set one off."""
+    import gc
+
+    texts = pa.array([f"select name{i} from table{i}" for i in range(200)])
+    models.coded(texts)
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(5):
+            models.coded(texts)
+        gc.set_debug(gc.DEBUG_SAVEALL)
+        gc.collect()
+        assert not [x for x in gc.garbage if isinstance(x, dict) and "select" in x]
+    finally:
+        gc.set_debug(0)
+        gc.garbage.clear()
+        gc.enable()
