@@ -138,8 +138,9 @@ def tokens_top(spark, sf_dir):
 
 @query
 def ngrams_top(spark, sf_dir):
-    grams = folded(spark, sf_dir).select(F.explode(text.one_two_grams(text.tokenize(F.col("text")))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+    # only terms that can be among the largest are counted exactly, by row, so not all pairs of words are shuffled
+    found = models.fit_features(models.tokens(folded(spark, sf_dir)), 100).vocabulary
+    return spark.createDataFrame(list(zip(found.terms, found.total.tolist())), "gram string, n long").orderBy(F.desc("n"), "gram")
 
 
 def _features(spark, sf_dir) -> models.Features:

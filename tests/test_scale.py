@@ -253,3 +253,13 @@ def test_what_a_slice_took_is_freed():
         gc.set_debug(0)
         gc.garbage.clear()
         gc.enable()
+
+
+def test_pairs_of_words_are_not_shuffled(spark, monkeypatch):
+    from sparksentry.functions import text
+    from sparksentry.plans import queries
+
+    grams = queries.folded(spark, SMALL).select(F.explode(text.one_two_grams(text.tokenize(F.col("text")))).alias("gram"))
+    plain = [tuple(r) for r in grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(100).collect()]
+    monkeypatch.delattr(text, "one_two_grams")
+    assert [tuple(r) for r in queries.ngrams_top(spark, SMALL).collect()] == plain
