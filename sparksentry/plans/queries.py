@@ -502,16 +502,24 @@ def limiter_state(spark, sf_dir):
         return stored(traffic.tracked(traffic.limiter_state(spark, f"{path}/checkpoint"), F.lit(last)))
 
 
+#: Rows of a file of the request stream, about: a trigger's files are read by as many tasks.
+FILE_ROWS = 25_000
+
+
 def _request_stream(spark, sf_dir):
-    """The requests as a stream that arrives in four parts, in time order."""
-    asked = stored(requests(spark, sf_dir))
+    """The requests as a stream that arrives in four parts, in time order, each in the same number of files."""
+    asked = requests(spark, sf_dir)
     us, path = F.unix_micros(F.col("ts").cast("timestamp")), scratch(spark)
-    # the first three quarters, by time, end here
-    ends = asked.agg(F.percentile(us, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first()["q"] or []
-    part = sum((F.when(us > e, 1).otherwise(0) for e in ends), F.lit(0))
-    for k in range(4):
-        asked.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/requests")
-    return spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/requests")
+    times = table(spark, sf_dir, "events").select(us.alias("us"))
+    # the first three quarters, by time, end about here
+    ends = sorted(set(times.agg(F.percentile_approx("us", [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []))
+    part = lambda c: sum((F.when(c > e, 1).otherwise(0) for e in ends), F.lit(0))
+    sizes = dict(times.groupBy(part(F.col("us"))).count().collect())
+    # no part has so few rows that one of its files would be empty, and so missing
+    files = 1 + min(sizes.values(), default=0) // FILE_ROWS
+    for k in sorted(sizes) or [0]:
+        asked.filter(part(us) == k).repartition(files).write.mode("append").parquet(f"{path}/requests")
+    return spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/requests")
 
 
 @query

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import decision
 from ..operators.decision import DETECTORS, known, request_payload
 from ..operators.ratelimit import NEVER, Client, Limits
 from ..operators.settings import Settings
 
+#: Groups that the limiter's clients are hashed into: a group's clients are folded in one call and share one row of the state.
+GROUPS = 1024
+#: That row: clients, the ends of their bans, how many offences each has, and all offence times.
+HELD = "ips array<string>, until array<long>, sizes array<int>, offences array<long>"
+
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Tumbling-window counts by key; rows later than `late` are left out."""
@@ -27,79 +33,84 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str = "6 hours", l
     return stamped.groupBy(F.session_window("_ts", gap).alias("w"), key).count().select(F.col("w.start").alias("session_start"), key, F.col("count").alias("n"))
 
 
-class LimiterProcessor(StatefulProcessor):
-    """The limiter's state for each client: offence times and the end of the ban.
+def _last(client: Client, limits: Limits) -> int:
+    """The time from which on nothing of a client's state counts."""
+    return max([client.until, *(t + limits.window * 1_000_000 + 1 for t in client.offences)])
+
+
+def _held(state: GroupState) -> dict[str | None, Client]:
+    clients, at = {}, 0
+    if state.exists:
+        ips, until, sizes, offences = state.get
+        for ip, end, n in zip(ips, until, sizes):
+            clients[ip] = Client(deque(offences[at : at + n]), end)
+            at += n
+    return clients
+
+
+def limiter(limits: Limits, carried: tuple[str, ...] = (), forget: bool = False) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Folds the rows of a group of clients; its state has offence times and the end of the ban of each client that offended.
 
-    carried: columns that go through as they are.  With forget, a client's state is cleared by an
-    event-time timer as soon as it can't matter any more, when the watermark has passed its
-    ban and the window of its last offence: only clients that offended lately are held.
+    carried: columns that go through as they are.  With forget, a client is dropped as soon as its
+    state can't matter any more, when the watermark has passed its ban and the window of its last
+    offence; a group that gets no rows is woken for that by a timeout of event time.
     """
 
-    def __init__(self, limits: Limits, carried: tuple[str, ...] = (), forget: bool = False):
-        self.limits, self.carried, self.forget = limits, carried, forget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        one = StructType([StructField("us", LongType())])
-        self.handle = handle
-        self.offences, self.until = handle.getListState("offences", one), handle.getValueState("until", one)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        client = Client(until=self.until.get()[0] if self.until.exists() else NEVER)
-        client.offences.extend(r[0] for r in self.offences.get())
-        batch = pd.concat(list(rows)).sort_values(["us", "id"])
-        known = lambda x: None if pd.isna(x) else int(x)
-        status, left = [], []
-        for us, w in zip(batch["us"], batch["weight"]):
-            status.append("passed" if pd.isna(us) else client.step(int(us), known(w), self.limits))
-            left.append(0 if pd.isna(us) else client.left(int(us)))
-        if client.offences:
-            self.offences.put([(int(x),) for x in client.offences])
-        else:
-            self.offences.clear()
-        if client.until != NEVER:
-            self.until.update((int(client.until),))
-        if self.forget:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old if isinstance(old, int) else old[0])
-            last = max([client.until, *(t + self.limits.window * 1_000_000 + 1 for t in client.offences)])
-            if last != NEVER:
-                self.handle.registerTimer(-(-last // 1000))
-        own = {"id": batch["id"].to_numpy(), "ip": key[0], "status": status, "seconds_banned": left}
-        yield pd.DataFrame(own | {c: batch[c].to_numpy() for c in self.carried})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.offences.clear()
-        self.until.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clients = _held(state)
+        if full := [f for f in frames if len(f)]:
+            batch = pd.concat(full, ignore_index=True) if len(full) > 1 else full[0].reset_index(drop=True)
+            code, names = pd.factorize(batch["ip"], use_na_sentinel=False)
+            names = [None if pd.isna(x) else x for x in names]
+            order = pd.DataFrame({"code": code, "us": batch["us"], "id": batch["id"]}).sort_values(["code", "us", "id"]).index.to_numpy()
+            batch, status, left, own, client = batch.take(order), [], [], -1, Client()
+            for c, us, weight in zip(code[order].tolist(), batch["us"].tolist(), batch["weight"].tolist()):
+                if c != own:
+                    own, client = c, clients.setdefault(names[c], Client())
+                status.append("passed" if us == NEVER else client.step(us, weight or None, limits))
+                left.append(0 if us == NEVER else client.left(us))
+            made = {"id": batch["id"].to_numpy(), "ip": batch["ip"].to_numpy(), "status": status, "seconds_banned": left}
+            yield pd.DataFrame(made | {c: batch[c].to_numpy() for c in carried})
+        # rows up to this watermark still come in this batch, but in none after it
+        passed = state.getCurrentWatermarkMs() * 1000 if forget else NEVER
+        kept = {ip: c for ip, c in clients.items() if _last(c, limits) > passed}
+        if not kept:
+            if state.exists:
+                state.remove()
+            return
+        state.update(([*kept], [c.until for c in kept.values()], [len(c.offences) for c in kept.values()], [t for c in kept.values() for t in c.offences]))
+        if forget:
+            state.setTimeoutTimestamp(max(1, min(-(-_last(c, limits) // 1000) for c in kept.values())))
+
+    return run
 
 
 def limit_stream(offences: DataFrame, limits: Limits = Limits(), carried: tuple[str, ...] = (), late: str | None = None) -> DataFrame:
     """id, ip, status, seconds_banned and the carried columns of a stream of (id, ip, ts, weight); each batch is folded in (ts, id) order.
 
-    A client's rows of one batch are sorted in memory: bound a batch by the source's own options
-    (maxFilesPerTrigger, maxOffsetsPerTrigger).  Null ts and weight count as in rate_limit.
+    Clients are hashed into GROUPS groups, whose rows of one batch are sorted in memory: bound a batch by the
+    source's own options (maxFilesPerTrigger, maxOffsetsPerTrigger).  Null ts and weight count as in rate_limit.
     late: how late rows may come in event time; then clients are forgotten when nothing of
-    them counts any more.  Without it every client stays in the state.
+    them counts any more.  Without it every client that offended stays in the state.
     """
     stamped = offences.withColumn("ts", F.col("ts").cast("timestamp"))
     stamped = stamped.withWatermark("ts", late) if late else stamped
     extra = [c for c in carried if c not in ("id", "ip")]
-    slim = stamped.select("id", "ip", F.unix_micros("ts").alias("us"), F.col("weight").cast("int").alias("weight"), *([F.col("ts").alias("_time")] if late and "ts" not in extra else []), *extra)
+    # no time: NEVER; no weight: 0
+    us = F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("us")
+    weight = F.when(F.col("weight").isNull(), 0).otherwise(F.greatest(F.col("weight").cast("int"), F.lit(1)))
+    group = F.pmod(F.xxhash64("ip"), F.lit(GROUPS)).cast("int").alias("_group")
+    slim = stamped.select(group, "id", "ip", us, weight.alias("weight"), *([F.col("ts").alias("_time")] if late and "ts" not in extra else []), *extra)
     shown = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in extra)
     schema = f"id {slim.schema['id'].dataType.simpleString()}, ip string, status string, seconds_banned long{shown}"
-    return slim.groupBy("ip").transformWithStateInPandas(LimiterProcessor(limits, tuple(extra), bool(late)), outputStructType=schema, outputMode="Append", timeMode="EventTime" if late else "None")
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return slim.groupBy("_group").applyInPandasWithState(limiter(limits, tuple(extra), bool(late)), schema, HELD, "append", timeout)
 
 
 def limiter_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """ip, until (microseconds; null: no ban yet) of every client that a stopped limit_stream holds, read from its checkpoint."""
-    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-    until = read("until").select(F.col("key.ip").alias("ip"), F.col("value.us").alias("until"))
-    offending = spark.read.format("statestore").option("stateVarName", "offences").option("flattenCollectionTypes", True).load(checkpoint).select(F.col("key.ip").alias("ip")).distinct()
-    both = offending.withColumn("until", F.lit(None).cast("long")).unionByName(until)
-    return both.groupBy("ip").agg(F.max("until").alias("until"))
+    held = spark.read.format("statestore").load(checkpoint).select(F.explode(F.arrays_zip("value.groupState.ips", "value.groupState.until")).alias("c"))
+    return held.select("c.ips", F.nullif(F.col("c.until"), F.lit(NEVER))).toDF("ip", "until")
 
 
 def tracked(state: DataFrame, now: Column) -> DataFrame:
