@@ -165,9 +165,11 @@ def with_bans(decided: DataFrame, limits: ratelimit.Limits) -> DataFrame:
 def log_events(decided: DataFrame) -> DataFrame:
     """The rows to log: every decision, and a note before it where a JSON body is malformed."""
     none = F.array().cast("array<string>")
-    decided = decided.filter(F.col("decision") != FAILED[0])
-    notes = decided.filter("malformed_json").withColumns({"decision": F.lit(MALFORMED_JSON[0]), "label": F.lit(MALFORMED_JSON[1]), "status": F.lit(None).cast("int"), "offense_weight": F.lit(0), "triggered_by": F.array(F.lit(MALFORMED_JSON[4]))})
-    return decided.withColumn("triggered_by", F.coalesce("triggered_by", none)).unionByName(notes)
+    # one pass over the decisions, which may be a stream's
+    both = F.when(F.col("malformed_json"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = decided.filter(F.col("decision") != FAILED[0]).withColumn("triggered_by", F.coalesce("triggered_by", none)).withColumn("_note", F.explode(both))
+    note = {"decision": F.lit(MALFORMED_JSON[0]), "label": F.lit(MALFORMED_JSON[1]), "status": F.lit(None).cast("int"), "offense_weight": F.lit(0), "triggered_by": F.array(F.lit(MALFORMED_JSON[4]))}
+    return rows.withColumns({c: F.when(F.col("_note"), v).otherwise(F.col(c)) for c, v in note.items()}).drop("_note")
 
 
 def logged_path() -> Column:

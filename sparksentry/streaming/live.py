@@ -58,10 +58,11 @@ def write_log(events: DataFrame, folder: str, batch: int, max_bytes: int = 10 <<
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """event: the lines that the log holds."""
-    files = [path for path, _ in log_files(spark, folder)]
-    if not files:
+    fs, at = _folder(spark, f"{folder}/batch=*/part-*")
+    if not fs.globStatus(at):
         return spark.createDataFrame([], StructType([StructField("event", StringType())]))
-    return spark.read.text(files).withColumnRenamed("value", "event")
+    # Spark lists the files, however many there are
+    return spark.read.text(f"{folder}/batch=*").withColumnRenamed("value", "event")
 
 
 def log_sink(folder: str, max_bytes: int = 10 << 20, backups: int | None = None) -> Callable[[DataFrame, int], None]:
@@ -69,11 +70,11 @@ def log_sink(folder: str, max_bytes: int = 10 << 20, backups: int | None = None)
 
     def write(decided: DataFrame, batch: int) -> None:
         # the trigger is read more than once, but its state may be moved on once only
-        shown = decided.withColumnRenamed("http_status", "status").persist()
+        lines = decision.log_events(decided.withColumnRenamed("http_status", "status")).select(decision.log_json().alias("event")).persist()
         try:
-            write_log(decision.log_events(shown).select(decision.log_json().alias("event")), folder, batch, max_bytes, backups)
+            write_log(lines, folder, batch, max_bytes, backups)
         finally:
-            shown.unpersist()
+            lines.unpersist()
 
     return write
 
