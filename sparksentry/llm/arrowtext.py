@@ -43,6 +43,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that all bits of a hash can be used."""
     x = x ^ (x >> np.uint64(30))

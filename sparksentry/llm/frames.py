@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrowtext
+
 #: Rows in an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = "1000"
 _shipped: set[str] = set()
@@ -36,6 +41,15 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def release_memory() -> None:
+    """Gives memory that was freed back to the system, which Arrow and C's allocator otherwise keep: the driver lives on after a fit."""
+    arrowtext.forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, mix64, span_hashes, word_blocks
-from .frames import map_arrow, prepare
+from .frames import map_arrow, prepare, release_memory
 from .labelled import labelled_sample
 
 WORD_TERMS, SHAPE_TERMS, LENGTH_TERMS, REPEAT_TERMS = 512, 480, 16, 16
@@ -87,18 +87,23 @@ class LatentVotes:
 def fit_votes(texts: pa.Array, labels: np.ndarray) -> LatentVotes:
     if not len(texts):
         return LatentVotes(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    counts = np.concatenate([term_counts(words) for _, _, words in word_blocks(texts)])
+    counts = np.empty((len(texts), TERMS), np.float32)
+    for first, last, words in word_blocks(texts):
+        counts[first:last] = term_counts(words)
     filled = counts.any(axis=1)
-    counts, y = counts[filled], labels[filled]
+    counts, y = counts if filled.all() else counts[filled], labels[filled]
     share = float(labels.mean())
     if not len(y):
         return LatentVotes(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), share)
     idf = (np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x = np.log1p(counts) * idf
+    # in place, as LatentVotes.latent does it
+    x = np.log1p(counts, out=counts)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
     votes = LatentVotes(idf, np.ascontiguousarray(axes[:, ::-1][:, :LATENT]).astype(np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0), share)
-    votes.vectors = votes.latent(counts).astype(np.float32)
+    z = x @ votes.axes
+    votes.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     votes.labels = y.astype(np.float64)
     return votes
 
@@ -117,7 +122,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, rows=VECTORS)
     texts = sample.column("text").combine_chunks() if len(sample) else pa.array([], pa.string())
-    return fit_votes(texts, sample.column("label").to_numpy() if len(sample) else np.zeros(0))
+    y = sample.column("label").to_numpy() if len(sample) else np.zeros(0)
+    del sample
+    votes = fit_votes(texts, y)
+    del texts
+    release_memory()
+    return votes
 
 
 def score_quality(docs: DataFrame, votes: LatentVotes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, ragged_sum_index, word_blocks
-from .frames import map_arrow, prepare
+from .frames import map_arrow, prepare, release_memory
 from .labelled import labelled_sample
 
 HASH_BITS = 21
@@ -229,7 +229,17 @@ def train(texts: pa.Array, labels: np.ndarray, langs: list[str | None], epochs:
     net.filters = [rng.normal(0, DIM**-0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     net.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
     made = [(net.slots[buckets(words)], np.diff(words.at)) for _, _, words in word_blocks(texts)]
-    slots, sizes = np.concatenate([s for s, _ in made]), np.concatenate([n for _, n in made])
+    # the table of slots and the powers aren't needed while it is trained
+    net.__dict__.pop("slots", None)
+    sizes = np.concatenate([n for _, n in made])
+    slots, at = np.empty((int(sizes.sum()), 1 + len(PREFIXES)), np.int32), 0
+    made.reverse()
+    while made:
+        some = made.pop()[0]
+        slots[at : at + len(some)] = some
+        at += len(some)
+    del texts
+    release_memory()
     first = np.cumsum(sizes) - sizes
     base = np.array([net.base], np.float32)
     params = [net.embed, *net.filters, net.bias, net.out, base]
@@ -318,8 +328,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, FIT_ROWS, FIT_BYTES)
     once = sample.group_by("text", use_threads=False).aggregate([("label", "max"), ("lang", "first")]) if len(sample) else sample
     texts = once.column("text").combine_chunks() if len(once) else pa.array([], pa.string())
-    y = once.column("label_max").to_numpy() if len(once) else np.zeros(0, int)
-    return train(texts, y.astype(int), once.column("lang_first").to_pylist() if len(once) else [])
+    y = once.column("label_max").to_numpy().astype(int) if len(once) else np.zeros(0, int)
+    langs = once.column("lang_first").to_pylist() if len(once) else []
+    del sample, once
+    net = train(texts, y, langs)
+    del texts
+    release_memory()
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: ConvNet, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
